@@ -1,0 +1,154 @@
+import datetime as dt
+
+import numpy as np
+import pandas as pd
+import pytest
+from pyspark.sql import functions as F
+
+from windspan.functions import clock, missing, names, output, physics
+from windspan.operators.aggregates import weighted_mae
+
+
+@pytest.fixture(scope="module")
+def weather():
+    rng = np.random.default_rng(7)
+    n = 400
+    return pd.DataFrame(
+        {
+            "time": pd.date_range("2024-02-28", periods=n, freq="h").astype("datetime64[us]"),
+            "ta_1p5m": rng.uniform(250, 310, n),
+            "rh_1p5m": rng.uniform(5, 100, n),
+            "pmsl": rng.uniform(980, 1040, n),
+            "fvmax_50m": rng.uniform(0, 30, n),
+            "fvmin_50m": rng.uniform(-5, 20, n),
+            "uws_10m": rng.uniform(-20, 20, n),
+            "vws_10m": rng.uniform(-20, 20, n),
+            "turbine_rad": 56.5,
+        }
+    )
+
+
+def test_derived_features_match_numpy(spark, weather):
+    made = physics.derived_features(spark.createDataFrame(weather)).orderBy("time").toPandas()
+    w = weather
+    celsius = w.ta_1p5m - 273.15
+    vapour = w.rh_1p5m * 6.112 * np.exp(17.67 * celsius / (celsius + 243.5)) / 100
+    speed = np.hypot(w.uws_10m, w.vws_10m)
+    wind = np.degrees(np.arctan2(w.vws_10m, w.uws_10m)) % 360
+    storm = np.degrees(np.arctan2(w.fvmin_50m, w.fvmax_50m)) % 360
+    density = w.pmsl * 100 / (287.05 * w.ta_1p5m)
+    want = {
+        "absolute_humidity": 216.7 * vapour / w.ta_1p5m,
+        "turbine_area": np.full(len(w), np.pi * 56.5**2),
+        "storm_speed": np.hypot(w.fvmax_50m, w.fvmin_50m),
+        "air_density": density,
+        "wind_speed": speed,
+        "wind_speed_squared": speed**2,
+        "wind_direction": wind,
+        "storm_direction": storm,
+        "wind_direction_diff": (wind - storm).abs(),
+        "wind_speed_direction_interaction": w.uws_10m,
+        "turbulence_intensity": (w.fvmax_50m - w.fvmin_50m) / (speed + 0.1),
+        "wind_energy": 0.5 * density * np.pi * 56.5**2 * speed**3 / 3.6e6,
+        "year": w.time.dt.year,
+        "month": w.time.dt.month,
+        "day": w.time.dt.day,
+        "hour": w.time.dt.hour,
+    }
+    for name, values in want.items():
+        np.testing.assert_allclose(made[name], values, rtol=1e-9, atol=1e-9, err_msg=name)
+    assert made.wind_direction.between(0, 360, inclusive="left").all()
+    assert made.storm_direction.between(0, 360, inclusive="left").all()
+    assert "turbine_rad" not in made
+
+
+def test_zero_divisor_gives_null(spark):
+    row = spark.range(1).select(
+        physics.air_density(F.lit(1000.0), F.lit(0.0)).alias("d"),
+        physics.absolute_humidity(F.lit(0.0), F.lit(50.0)).alias("h"),
+    ).first()
+    assert row.d is None and row.h is None
+
+
+def test_nan_becomes_null(spark):
+    df = spark.createDataFrame([(float("nan"), 1), (2.0, 2)], "x double, k int")
+    assert [r.x for r in missing.normalise_missing(df).orderBy("k").collect()] == [None, 2.0]
+
+
+def test_names(spark):
+    paths = [
+        "file:/r/20240101/2024-01-01_05_00_00.parquet",
+        "file:/r/20240101/deeper/2024-01-01_06_00_00.parquet",
+        "file:/r/day=20240101/hour_file=2024-01-01_07_00_00.parquet/part-0.snappy.parquet",
+        "file:/r/notes/2024-01-01_05_00_00.parquet",
+        "file:/r/20240101/broken.parquet",
+    ]
+    df = spark.createDataFrame([(i, p) for i, p in enumerate(paths)], "i int, path string")
+    rows = (
+        df.select(
+            "i",
+            names.folder_date_text("path").alias("folder"),
+            names.stem_time(names.file_stem("path")).alias("time"),
+            names.stem_date_text(names.file_stem("path")).alias("day"),
+        )
+        .orderBy("i")
+        .collect()
+    )
+    assert [r.folder for r in rows] == ["20240101", "20240101", "20240101", "", "20240101"]
+    assert [r.time for r in rows[:3]] == [dt.datetime(2024, 1, 1, h) for h in (5, 6, 7)]
+    assert rows[4].time is None
+    assert [r.day for r in rows[:3]] == ["20240101"] * 3
+
+
+@pytest.mark.parametrize(
+    "stem, pattern, tag",
+    [
+        ("gyeongju_target", None, "target"),
+        ("wind_gyeongju", None, "gyeongju"),
+        ("gyeongju", None, "gyeongju"),
+        ("gyeongju_target", r"^([a-z]+)_target$", "gyeongju"),
+    ],
+)
+def test_tags(spark, stem, pattern, tag):
+    assert spark.range(1).select(names.matched_tag(F.lit(stem), pattern)).first()[0] == tag
+
+
+def test_date_between(spark):
+    texts = ["20240101", "20240105", "20240106", "2024010", "abc", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    kept = df.filter(clock.date_between("t", "2024-01-01", "2024-01-05")).collect()
+    assert [r.t for r in kept] == ["20240101", "20240105"]
+
+
+def test_wall_clock(spark):
+    row = spark.sql("select timestamp '2024-06-01 00:00:00Z' as t").select(
+        clock.wall_clock("t", "Asia/Seoul").alias("t")
+    )
+    assert row.dtypes == [("t", "timestamp_ntz")]
+    assert row.first().t == dt.datetime(2024, 6, 1, 9)
+
+
+def test_output_columns(spark):
+    df = spark.createDataFrame(
+        [(5.0, 1.0), (10.0, 1.0), (100.0, 1.0), (-3.0, 1.0), (None, 1.0)], "p double, low double"
+    )
+    cap = F.lit(100.0)
+    rows = df.select(
+        "p",
+        output.regime("p", cap).alias("regime"),
+        output.gate("p", "low", cap).alias("gated"),
+        output.uplift_clip("p", cap).alias("final"),
+    ).collect()
+    assert [r.regime for r in rows] == ["low", "high", "high", "low", None]
+    assert [r.gated for r in rows] == [1.0, 10.0, 100.0, 1.0, 1.0]
+    assert [r.final for r in rows] == [5.0, 10.5, 100.0, 0.0, None]
+
+
+def test_weighted_mae_divides_by_rows(spark):
+    y, p = np.array([5.0, 20.0, 100.0]), np.array([6.0, 18.0, 90.0])
+    df = spark.createDataFrame(
+        [("a", float(a), float(b), 100.0) for a, b in zip(y, p)],
+        "site string, energy_kwh double, prediction double, capacity double",
+    )
+    want = np.mean(np.where(y >= 10, 2.0, 1.0) * np.abs(y - p))
+    assert weighted_mae(df).first().weighted_mae == pytest.approx(want)

@@ -89,75 +89,63 @@ def interpolate(
         placed = df.withColumn("slot", F.floor(F.col(pos) / slot_rows))
         at = pos
 
-    def known(c: str):
-        return F.when(
-            F.col(f"`{c}`").isNotNull(),
-            F.struct(F.col(at).alias("p"), F.col(f"`{c}`").cast("double").alias("v")),
-        )
-
-    # Plain numbers per slot, so the partial aggregate stays a hash aggregate.
-    def known_at(c: str):
-        return F.when(F.col(f"`{c}`").isNotNull(), F.col(at))
-
+    by = ", ".join(f"`{k}`" for k in keys)
     numbers = range(len(columns))
+    # SQL text: with dozens of columns, building these as Column objects takes longer than
+    # running them on a small series.
     aggs = []
     for i, c in enumerate(columns):
-        v = F.col(f"`{c}`").cast("double")
+        known_at = f"if(`{c}` is null, null, {at})"
+        # Plain numbers per slot, so the partial aggregate stays a hash aggregate.
         aggs += [
-            F.max(known_at(c)).alias(f"_lp{i}"),
-            F.max_by(v, known_at(c)).alias(f"_lv{i}"),
-            F.min(known_at(c)).alias(f"_fp{i}"),
-            F.min_by(v, known_at(c)).alias(f"_fv{i}"),
+            F.expr(f"max({known_at}) as _lp{i}"),
+            F.expr(f"max_by(cast(`{c}` as double), {known_at}) as _lv{i}"),
+            F.expr(f"min({known_at}) as _fp{i}"),
+            F.expr(f"min_by(cast(`{c}` as double), {known_at}) as _fv{i}"),
         ]
     edges = placed.groupBy(*keys, "slot").agg(*aggs)
 
-    def pair(p: str, v: str):
-        return F.when(F.col(p).isNotNull(), F.struct(F.col(p).alias("p"), F.col(v).alias("v")))
+    def carry(p: str, v: str, order: str) -> str:
+        pair = f"if({p} is null, null, named_struct('p', {p}, 'v', {v}))"
+        return (
+            f"last({pair}, true) over (partition by {by} order by {order}"
+            " rows between unbounded preceding and 1 preceding)"
+        )
 
-    earlier = Window.partitionBy(*keys).orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
-    later = (
-        Window.partitionBy(*keys)
-        .orderBy(F.col("slot").desc())
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
-    carried = edges.select(
+    carried = edges.selectExpr(
         *keys,
         "slot",
-        *[
-            F.last(pair(f"_lp{i}", f"_lv{i}"), ignorenulls=True).over(earlier).alias(f"_in{i}")
-            for i in numbers
-        ],
-        *[
-            F.last(pair(f"_fp{i}", f"_fv{i}"), ignorenulls=True).over(later).alias(f"_out{i}")
-            for i in numbers
-        ],
+        *[f"{carry(f'_lp{i}', f'_lv{i}', 'slot')} as _in{i}" for i in numbers],
+        *[f"{carry(f'_fp{i}', f'_fv{i}', 'slot desc')} as _out{i}" for i in numbers],
     )
+
+    def nearest(c: str, order: str) -> str:
+        pair = f"if(`{c}` is null, null, named_struct('p', {at}, 'v', cast(`{c}` as double)))"
+        return (
+            f"last({pair}, true) over (partition by {by}, slot order by {order}"
+            " rows between unbounded preceding and current row)"
+        )
+
     # A look ahead is a look back in reverse order; a frame that ends at the last row would be
     # summed anew for every row.
-    back = (
-        Window.partitionBy(*keys, "slot").orderBy(at).rowsBetween(Window.unboundedPreceding, 0)
-    )
-    ahead = (
-        Window.partitionBy(*keys, "slot")
-        .orderBy(F.col(at).desc())
-        .rowsBetween(Window.unboundedPreceding, 0)
-    )
-    joined = placed.join(carried, [*keys, "slot"], "left")
-    around = joined.withColumns(
-        {f"_b{i}": F.last(known(c), ignorenulls=True).over(back) for i, c in enumerate(columns)}
-    ).withColumns(
-        {f"_a{i}": F.last(known(c), ignorenulls=True).over(ahead) for i, c in enumerate(columns)}
+    around = (
+        placed.join(carried, [*keys, "slot"], "left")
+        .selectExpr("*", *[f"{nearest(c, at)} as _b{i}" for i, c in enumerate(columns)])
+        .selectExpr("*", *[f"{nearest(c, f'{at} desc')} as _a{i}" for i, c in enumerate(columns)])
+        .selectExpr(
+            "*",
+            *[f"coalesce(_b{i}, _in{i}) as _before{i}" for i in numbers],
+            *[f"coalesce(_a{i}, _out{i}) as _after{i}" for i in numbers],
+        )
     )
 
-    def filled(i: int, c: str):
-        b = F.coalesce(f"_b{i}", f"_in{i}")
-        a = F.coalesce(f"_a{i}", f"_out{i}")
-        share = (F.col(at) - b["p"]) / (a["p"] - b["p"])
+    def filled(i: int, c: str) -> str:
+        b, a = f"_before{i}", f"_after{i}"
         return (
-            F.when(F.col(f"`{c}`").isNotNull(), F.col(f"`{c}`").cast("double"))
-            .when(a.isNull(), b["v"])
-            .otherwise(b["v"] + (a["v"] - b["v"]) * share)
+            f"case when `{c}` is not null then cast(`{c}` as double)"
+            f" when {a} is null then {b}.v"
+            f" else {b}.v + ({a}.v - {b}.v) * (({at} - {b}.p) / ({a}.p - {b}.p)) end as `{c}`"
         )
 
     made = {c: filled(i, c) for i, c in enumerate(columns)}
-    return around.select(*[made[c].alias(c) if c in made else F.col(f"`{c}`") for c in df.columns])
+    return around.selectExpr(*[made.get(c, f"`{c}`") for c in df.columns])

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 # A site list is written out by hand, so its length is known before any plan is built. Up to
 # this many rows it may be broadcast; beyond, callers use a shuffled join.
@@ -117,26 +118,10 @@ DEFAULT_SITES = (
     ),
 )
 
-_SITES_SCHEMA = T.StructType(
-    [
-        T.StructField("site", T.StringType(), False),
-        T.StructField("plant_name", T.StringType(), False),
-        T.StructField("target_tag", T.StringType(), False),
-        T.StructField("lat_min", T.DoubleType(), False),
-        T.StructField("lat_max", T.DoubleType(), False),
-        T.StructField("lon_min", T.DoubleType(), False),
-        T.StructField("lon_max", T.DoubleType(), False),
-        T.StructField("start_date", T.DateType(), False),
-        T.StructField("end_date", T.DateType(), False),
-        T.StructField("turbine_rad", T.DoubleType(), False),
-        T.StructField("capacity_factor", T.DoubleType(), False),
-        T.StructField("tz", T.StringType(), False),
-    ]
-)
-
-
 def check_sites(sites: Sequence[Site]) -> None:
     """Names and tags are join keys, so each must be unique."""
+    if not sites:
+        raise ValueError("no sites")
     for field in ("site", "target_tag"):
         values = [getattr(s, field) for s in sites]
         if len(set(values)) != len(values):
@@ -151,24 +136,26 @@ def check_sites(sites: Sequence[Site]) -> None:
 
 
 def sites_frame(spark: SparkSession, sites: Sequence[Site] = DEFAULT_SITES) -> DataFrame:
-    import datetime as dt
-
+    """The site list as a local table of known size."""
     check_sites(sites)
-    rows = [
-        (
-            s.site,
-            s.plant_name,
-            s.target_tag,
-            *s.box,
-            dt.date.fromisoformat(s.start_date),
-            dt.date.fromisoformat(s.end_date),
-            s.turbine_rad,
-            s.capacity_factor,
-            s.tz,
-        )
-        for s in sites
-    ]
-    return spark.createDataFrame(rows, _SITES_SCHEMA)
+    south, north, west, east = zip(*(s.box for s in sites))
+    table = pa.table(
+        {
+            "site": pa.array([s.site for s in sites], pa.string()),
+            "plant_name": pa.array([s.plant_name for s in sites], pa.string()),
+            "target_tag": pa.array([s.target_tag for s in sites], pa.string()),
+            "lat_min": pa.array(south, pa.float64()),
+            "lat_max": pa.array(north, pa.float64()),
+            "lon_min": pa.array(west, pa.float64()),
+            "lon_max": pa.array(east, pa.float64()),
+            "start_date": pa.array([dt.date.fromisoformat(s.start_date) for s in sites]),
+            "end_date": pa.array([dt.date.fromisoformat(s.end_date) for s in sites]),
+            "turbine_rad": pa.array([s.turbine_rad for s in sites], pa.float64()),
+            "capacity_factor": pa.array([s.capacity_factor for s in sites], pa.float64()),
+            "tz": pa.array([s.tz for s in sites], pa.string()),
+        }
+    )
+    return spark.createDataFrame(table)
 
 
 def small_side(df: DataFrame, rows: int) -> DataFrame:
