@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.feature import VectorAssembler, VectorSlicer
 from pyspark.ml.regression import (
     GBTRegressor,
     LinearRegression,
     LinearRegressionModel,
     RandomForestRegressor,
 )
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -43,22 +45,59 @@ def penalty(alpha: float, l1_ratio: float, label_std: float) -> tuple[float, flo
     return strength, (l1 / strength if strength > 0 else 0.0)
 
 
-def label_spread(train: DataFrame, label: str = LABEL) -> tuple[int, float]:
+def _summary(train: DataFrame, label: str) -> tuple[int, float, list[int], int]:
+    """Row count, the label's standard deviation, which features vary, and how many there are;
+    in one pass."""
     row = train.agg(
-        F.count(label).alias("n"), F.stddev_pop(F.col(label).cast("double")).alias("s")
+        F.count(label).alias("n"),
+        F.stddev_pop(F.col(label).cast("double")).alias("spread"),
+        Summarizer.metrics("max", "min").summary(F.col(VECTOR)).alias("s"),
     ).first()
-    return row.n, row.s or 0.0
+    high, low = row.s["max"].toArray(), row.s["min"].toArray()
+    live = [i for i in range(len(high)) if high[i] > low[i]]
+    return row.n, row.spread or 0.0, live, len(high)
+
+
+@dataclass
+class LinearFit:
+    """A fitted linear model over the features that vary; the others have weight 0."""
+
+    model: LinearRegressionModel
+    live: list[int]
+    width: int
+
+    @property
+    def coefficients(self) -> list[float]:
+        weights = [0.0] * self.width
+        for i, w in zip(self.live, self.model.coefficients):
+            weights[i] = float(w)
+        return weights
+
+    @property
+    def intercept(self) -> float:
+        return self.model.intercept
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        return self.model.transform(_sliced(df, self.live)).drop(_LIVE)
+
+
+_LIVE = "_live_features"
+
+
+def _sliced(df: DataFrame, live: list[int]) -> DataFrame:
+    return VectorSlicer(inputCol=VECTOR, outputCol=_LIVE, indices=live).transform(df)
 
 
 def fit_linear(
     train: DataFrame, kind: str, alpha: float, l1_ratio: float = 0.5, label: str = LABEL
-) -> LinearRegressionModel:
+) -> LinearFit:
     """Elastic net, lasso or ridge with the usual meaning of alpha. `train` is assembled.
 
     The solver gathers the feature cross-products in one pass, in partial sums, and solves on
-    a matrix whose size is the number of features.
+    a matrix whose size is the number of features. A constant feature would make that matrix
+    singular, and the solver's way round it applies the penalty twice, so it is left out.
     """
-    n, spread = label_spread(train, label)
+    n, spread, live, width = _summary(train, label)
     if kind == "ridge":
         # Ridge weighs the penalty against the sum of squares, not their mean.
         strength, mix = penalty(alpha / n, 0.0, spread)
@@ -68,8 +107,9 @@ def fit_linear(
         strength, mix = penalty(alpha, l1_ratio, spread)
     else:
         raise ValueError(f"not a linear model: {kind}")
-    return LinearRegression(
-        featuresCol=VECTOR,
+    live = live or [0]
+    model = LinearRegression(
+        featuresCol=_LIVE,
         labelCol=label,
         predictionCol=PREDICTION,
         regParam=strength,
@@ -78,7 +118,8 @@ def fit_linear(
         solver="normal",
         maxIter=2000,
         tol=1e-11,
-    ).fit(train)
+    ).fit(_sliced(train, live))
+    return LinearFit(model, live, width)
 
 
 def tree_estimator(kind: str, label: str = LABEL, seed: int = SEED):
@@ -105,7 +146,7 @@ def tree_params(estimator, drawn: dict) -> dict:
         made[estimator.minInstancesPerNode] = int(leaf)
     if "max_features" in drawn:
         made[estimator.featureSubsetStrategy] = drawn["max_features"]
-    if "learning_rate" in drawn:
+    if boosted and "learning_rate" in drawn:
         made[estimator.stepSize] = float(drawn["learning_rate"])
     if "subsample" in drawn:
         made[estimator.subsamplingRate] = float(min(drawn["subsample"], 1.0))

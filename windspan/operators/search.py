@@ -7,7 +7,6 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.ml import Model
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import DataFrame
@@ -174,7 +173,7 @@ class Chosen:
     regime: str
     params: dict
     mae: float
-    model: Model
+    model: object
     tried: list[tuple[dict, float]]
 
 
