@@ -117,7 +117,7 @@ def _sql(views: str, body: str) -> str:
     return f"with {head}\n{body}"
 
 
-def _filled(rows: str, columns: list[str], extra: str = "") -> str:
+def _filled(rows: str, columns: list[str], extra: str = "", places: int = 6) -> str:
     """Linear interpolation by position `pos` over a named set of rows."""
     around = ",\n".join(
         f"""last_value(case when {c} is not null then pos end ignore nulls) over back as bp_{c},
@@ -128,7 +128,7 @@ def _filled(rows: str, columns: list[str], extra: str = "") -> str:
     )
     made = ", ".join(
         f"""round(case when {c} is not null then {c} when ap_{c} is null then bv_{c}
-          else bv_{c} + (av_{c} - bv_{c}) * (pos - bp_{c}) / (ap_{c} - bp_{c}) end, 6) as {c}"""
+          else bv_{c} + (av_{c} - bv_{c}) * (pos - bp_{c}) / (ap_{c} - bp_{c}) end, {places}) as {c}"""
         for c in columns
     )
     return f"""around as (select *, {around} from {rows}
@@ -157,6 +157,79 @@ def _smooth(window: int) -> str:
     )
 
 
+_DERIVED = {
+    "absolute_humidity": """216.7e0 * (rh_1p5m * (6.112e0 * exp(17.67e0 * (ta_1p5m - 273.15e0)
+        / (ta_1p5m - 273.15e0 + 243.5e0))) / 100) / ta_1p5m""",
+    "turbine_area": "area",
+    "air_density": "density",
+    "storm_speed": "sqrt(fvmax_50m * fvmax_50m + fvmin_50m * fvmin_50m)",
+    "wind_speed": "speed",
+    "wind_speed_squared": "speed * speed",
+    "wind_direction": "bearing",
+    "storm_direction": "storm_bearing",
+    "wind_direction_diff": "abs(bearing - storm_bearing)",
+    "wind_speed_direction_interaction": "speed * cos(radians(bearing))",
+    "turbulence_intensity": "(fvmax_50m - fvmin_50m) / (speed + 0.1e0)",
+    "wind_energy": "0.5e0 * density * area * speed_cubed / 1000 / 3600",
+}
+_FEATURES = [*_SERIES_COLUMNS.split(", "), *_DERIVED]
+# Complete rows of one site, a spine for the others; both with row positions.
+_PLACED = f"""full_rows as (
+      select p.site, p.time, t.energy_kwh, {_SERIES_COLUMNS},
+        {", ".join(f"{sql} as {name}" for name, sql in _DERIVED.items())}
+      from physics p left join site_target t on p.site = t.site and p.time = t.end_datetime
+      where p.time <> timestamp '2024-01-01 00:00:00'),
+    spine as (
+      select site, unnest(generate_series(timestamp '2024-01-01 01:00:00',
+        timestamp '2024-01-30 23:00:00', interval 1 hour)) as time
+      from sites where site <> 'gyeongju'),
+    placed as (
+      select s.site, s.time, row_number() over (partition by s.site order by s.time) - 1 as pos,
+        energy_kwh, {", ".join(_FEATURES)}
+      from spine s left join full_rows r on s.site = r.site and s.time = r.time
+      union all
+      select site, time, row_number() over (partition by site order by time) - 1, energy_kwh,
+        {", ".join(_FEATURES)}
+      from full_rows where site = 'gyeongju')"""
+_CALENDAR = """, energy_kwh, cast(year(time) as int) as year, cast(month(time) as int) as month,
+      cast(day(time) as int) as day, cast(hour(time) as int) as hour"""
+
+_FORECAST = f"""with {_PLACED},
+    regular as (select * from (with {_filled("placed", ["wind_speed"], ", energy_kwh", 15)})),
+    caps as (
+      select site, plant_name, max(energy_kwh) * max(capacity_factor) as capacity
+      from regular join sites using (site) group by site, plant_name),
+    fits as (
+      select site, is_high, sign(c) * greatest(abs(c) - 0.5e0, 0e0) / (q + 1.5e0) as w, mx, my
+      from (
+        select site, energy_kwh >= 0.1e0 * capacity as is_high,
+          covar_pop(wind_speed, energy_kwh) as c, var_pop(wind_speed) as q,
+          avg(wind_speed) as mx, avg(energy_kwh) as my
+        from regular join caps using (site)
+        where day(time) % 2 = 1 and energy_kwh is not null
+        group by 1, 2 having count(*) >= 3)),
+    scored as (
+      select r.site, r.time, k.plant_name, k.capacity,
+        h.my + h.w * (wind_speed - h.mx) as h, l.my + l.w * (wind_speed - l.mx) as l
+      from regular r join caps k on r.site = k.site
+        left join (select * from fits where is_high) h on h.site = r.site
+        left join (select * from fits where not is_high) l on l.site = r.site
+      where day(r.time) % 2 = 0),
+    gated as (
+      select site, time, plant_name, capacity,
+        case when coalesce(h, l) >= 0.1e0 * capacity then coalesce(h, l) else coalesce(l, h) end
+          as p
+      from scored),
+    final as (
+      select site, time, plant_name, least(greatest(
+        case when p >= 0.1e0 * capacity then p * 1.05e0 else p end, 0e0), capacity) as p
+      from gated)
+    select site, time, plant_name,
+      round(case when count(*) over (partition by site) < 5 then p
+        else sum(p) over (partition by site order by time
+          rows between 2 preceding and 2 following) / 5 end, 2) as energy_kwh
+    from final"""
+
 _SLOPES = """with m as (
       select covar_pop(n_orders, energy_kwh) as c, var_pop(n_orders) as q, avg(n_orders) as mx,
         avg(energy_kwh) as my, count(*) as n
@@ -473,5 +546,10 @@ def oracle_sql() -> dict[str, str]:
         "linear_slopes": _sql("daily_all", _SLOPES),
         "search_scores": _sql("days", _search_scores()),
         "dual_model": _sql("daily_all", _DUAL),
+        "regular_rows": _sql(
+            "physics site_target",
+            f"with {_PLACED}, {_filled('placed', _FEATURES, _CALENDAR)}",
+        ),
+        "site_forecast": _sql("physics site_target", _FORECAST),
         "stream_ingest": mirror,
     }
