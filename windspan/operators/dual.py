@@ -11,7 +11,14 @@ from pyspark.sql import functions as F
 from windspan.functions.output import HIGH, HIGH_SHARE, LOW, gate, regime
 from windspan.operators.models import LABEL, PREDICTION, assemble
 from windspan.operators.rows import contiguous_folds
-from windspan.operators.search import Chosen, SearchSettings, check_kind, search
+from windspan.operators.search import (
+    Chosen,
+    SearchSettings,
+    check_kind,
+    regime_rows,
+    search,
+    usable_regimes,
+)
 from windspan.session import written
 
 
@@ -69,9 +76,8 @@ def fit_dual(
         ),
         "training",
     )
-    per_regime = ready.groupBy("regime").agg(F.count(F.lit(1)).alias("n"))
-    counts = {r["regime"]: r["n"] for r in per_regime.collect()}
-    usable = [r for r in (HIGH, LOW) if counts.get(r, 0) >= settings.folds]
+    counts = regime_rows(ready)
+    usable = usable_regimes(counts, settings)
     if not usable:
         raise ValueError(f"too few rows to train on: {counts}")
     found = search(ready, features, kind, usable, settings)

@@ -363,6 +363,16 @@ def search_linear(
     return chosen
 
 
+def regime_rows(train: DataFrame) -> dict[str, int]:
+    counts = train.groupBy("regime").agg(F.count(F.lit(1)).alias("n"))
+    return {r["regime"]: r["n"] for r in counts.collect()}
+
+
+def usable_regimes(counts: dict[str, int], settings: SearchSettings) -> list[str]:
+    """The regimes with a row for every fold."""
+    return [r for r in (HIGH, LOW) if counts.get(r, 0) >= settings.folds]
+
+
 def search(
     train: DataFrame,
     features: Sequence[str],

@@ -272,22 +272,22 @@ def _search_scores() -> str:
 
 
 _DUAL = """with cap as (select max(energy_kwh) * 1.05e0 as capacity from daily_all),
-    train as (
-      select d.*, energy_kwh >= 0.5e0 * capacity as is_high from daily_all d, cap
-      where month(time) % 2 = 1),
     fits as (
-      select is_high, covar_pop(n_orders, energy_kwh) / (var_pop(n_orders) + 2e0 / count(*)) as w,
+      select energy_kwh >= 0.5e0 * capacity as is_high,
+        covar_pop(n_orders, energy_kwh) / (var_pop(n_orders) + 2e0 / count(*)) as w,
         avg(n_orders) as mx, avg(energy_kwh) as my
-      from train group by is_high),
+      from daily_all, cap where month(time) % 2 = 1 group by 1 having count(*) >= 3),
     scored as (
-      select d.site, d.time, h.my + h.w * (n_orders - h.mx) as p_high,
-        l.my + l.w * (n_orders - l.mx) as p_low, capacity
-      from daily_all d, cap, (select * from fits where is_high) h,
-        (select * from fits where not is_high) l
-      where month(d.time) % 2 = 0)
+      select d.site, d.time, h.my + h.w * (n_orders - h.mx) as h,
+        l.my + l.w * (n_orders - l.mx) as l
+      from daily_all d left join (select * from fits where is_high) h on true
+        left join (select * from fits where not is_high) l on true
+      where month(d.time) % 2 = 0),
+    paired as (
+      select site, time, coalesce(h, l) as p_high, coalesce(l, h) as p_low from scored)
     select site, time, round(p_high, 3) as p_high, round(p_low, 3) as p_low,
       round(case when p_high >= 0.5e0 * capacity then p_high else p_low end, 3) as prediction
-    from scored"""
+    from paired, cap"""
 
 _SPLIT = """select site, time, energy_kwh, n_orders, cast(year(time) as int) as year,
       cast(month(time) as int) as month, cast(day(time) as int) as day,

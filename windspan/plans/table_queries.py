@@ -29,7 +29,13 @@ from windspan.operators.dual import fit_dual
 from windspan.operators.gaps import interpolate, on_spine
 from windspan.operators.models import assemble, fit_linear, tree_estimator, tree_params
 from windspan.operators.rows import contiguous_folds, moving_average
-from windspan.operators.search import SearchSettings, Whole, search
+from windspan.operators.search import (
+    SearchSettings,
+    Whole,
+    regime_rows,
+    search,
+    usable_regimes,
+)
 from windspan.operators.selection import (
     TARGET_EXTRAS,
     drop_incomplete,
@@ -558,7 +564,8 @@ def search_scores(spark, d):
     """Cross-validated error of each ridge candidate on one feature, per regime."""
     days = _days_with_regime(spark, d)
     ready = written(contiguous_folds(days, ["site", "regime"], 3), "training")
-    found = search(ready, DAY_FEATURES, "ridge", ["high", "low"], SEARCH_TRIES)
+    regimes = usable_regimes(regime_rows(ready), SEARCH_TRIES)
+    found = search(ready, DAY_FEATURES, "ridge", regimes, SEARCH_TRIES)
     rows = [
         (regime_name, n, float(params["alpha"]), score)
         for regime_name, chosen in found.items()
@@ -591,7 +598,8 @@ def forest_search(spark, d):
     days = _days_with_regime(spark, d).withColumns(calendar_parts("time"))
     ready = written(contiguous_folds(days, ["site", "regime"], 3), "training")
     settings = SearchSettings(draws={"high": 2, "low": 2}, spaces=TREE_SPACE)
-    found = search(ready, DAY_CALENDAR, "rf", ["high", "low"], settings)
+    regimes = usable_regimes(regime_rows(ready), settings)
+    found = search(ready, DAY_CALENDAR, "rf", regimes, settings)
     rows = [
         (name, n, score) for name, c in found.items() for n, (_, score) in enumerate(c.tried)
     ]
