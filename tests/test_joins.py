@@ -63,6 +63,15 @@ def test_cells_of_sites_is_the_range_join(spark, cells, monkeypatch, count, limi
     assert joins.cells_of_sites(df, sites).count() == len(want)
 
 
+def test_tiles_stay_few():
+    small = [made_site(i, 0.0, i * 0.1, 0.01, 0.01) for i in range(100)]
+    assert joins._tile_step(small) == 0.02
+    mixed = [*small, made_site(100, 0.0, 0.0, 60.0, 60.0)]
+    step = joins._tile_step(mixed)
+    assert joins._tile_count(mixed, step) <= joins.MAX_TILES
+    assert step < 2
+
+
 def test_box_edges_are_inside(spark):
     df = spark.createDataFrame(
         [(1.0, 2.0), (0.5, 2.5), (0.49, 2.0)], "latitude double, longitude double"
@@ -127,8 +136,9 @@ def test_target_join_multiplies_and_matches_missing_times(spark):
         joins.join_target(series, target.withColumn("x", F.lit(1)))
 
 
-@pytest.mark.parametrize("bound", [None, 10])
-def test_attach_per_key(spark, bound):
+@pytest.mark.parametrize("bound, limit", [(None, 100_000), (None, 0), (10, 100_000)])
+def test_attach_per_key(spark, monkeypatch, bound, limit):
+    monkeypatch.setattr(site_module, "BROADCAST_ROWS", limit)
     df = spark.range(1000).selectExpr(
         "if(id % 3 = 0, null, concat('k', id % 2)) as site", "id as time"
     )

@@ -10,23 +10,27 @@ from pyspark.sql import functions as F
 from windspan.functions.missing import nan_to_null
 from windspan.functions.output import weighted_error
 from windspan.operators.joins import with_site_columns
-from windspan.operators.selection import numeric_columns, numeric_projection
+from windspan.operators.selection import numeric_projection
 from windspan.sites import Site
 
 
-def largest(df: DataFrame, name: str) -> Column:
-    """max() that passes over NaN."""
-    c = F.col(f"`{name}`")
-    if dict(df.dtypes)[name] in ("double", "float"):
-        c = nan_to_null(c)
-    return F.max(c).alias(name)
+def largest(df: DataFrame, *names: str) -> list[Column]:
+    """max() of each column, passing over NaN."""
+    kinds = dict(df.dtypes)
+
+    def text(c: str) -> str:
+        value = f"`{c}`"
+        if kinds[c] in ("double", "float"):
+            value = f"nullif({value}, cast('NaN' as {kinds[c]}))"
+        return f"max({value}) as `{c}`"
+
+    return [F.expr(text(c)) for c in names]
 
 
 def site_series(cells: DataFrame, keys: Sequence[str] = ("site", "time")) -> DataFrame:
     """One row per site and hour: the maximum of every numeric column, doubles as float."""
     narrow = numeric_projection(cells, keep=keys)
-    values = [c for c in numeric_columns(narrow) if c not in keys]
-    return narrow.groupBy(*keys).agg(*[largest(narrow, c) for c in values])
+    return narrow.groupBy(*keys).agg(*largest(narrow, *[c for c in narrow.columns if c not in keys]))
 
 
 def site_hours(hours: DataFrame, sites: Sequence[Site], dated=True) -> DataFrame:
@@ -54,9 +58,9 @@ def restore_hours(series: DataFrame, expected: DataFrame) -> DataFrame:
 
 def capacity(df: DataFrame, sites: Sequence[Site], value="energy_kwh") -> DataFrame:
     """Estimated capacity per site: the largest output times the site's factor."""
-    peak = df.groupBy("site").agg(largest(df, value).alias("_peak"))
-    return with_site_columns(peak, sites, ["capacity_factor"]).select(
-        "site", (F.col("_peak") * F.col("capacity_factor")).alias("capacity")
+    peak = df.groupBy("site").agg(*largest(df, value))
+    return with_site_columns(peak, sites, ["capacity_factor"]).selectExpr(
+        "site", f"{value} * capacity_factor as capacity"
     )
 
 

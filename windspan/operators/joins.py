@@ -5,13 +5,17 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from windspan import sites as site_module
 from windspan.operators.selection import near_any_site
-from windspan.sites import BROADCAST_ROWS, Site, sites_frame, small_side
+from windspan.session import written
+from windspan.sites import Site, sites_frame, small_side
 
 SALT_BUCKETS = 64
+MIN_TILE = 0.001
+MAX_TILES = 20_000
 
 
 def site_of_tag(df: DataFrame, sites: Sequence[Site], tag="filename", strict=True) -> DataFrame:
@@ -43,8 +47,13 @@ def with_site_columns(
 
 
 def _tile_step(sites: Sequence[Site]) -> float:
-    """Tile edge: the widest box, so that a box touches at most two tiles each way."""
-    return max(max(2 * s.lat_range, 2 * s.lon_range) for s in sites) or 1.0
+    """Tile edge in degrees: as small as the smallest box, so that few boxes share a tile, but
+    doubled until the list of tiles stays short."""
+    widths = [2 * float(w) for s in sites for w in (s.lat_range, s.lon_range) if w > 0]
+    step = max(min(widths, default=1.0), MIN_TILE)
+    while step < 360 and _tile_count(sites, step) > max(MAX_TILES, 4 * len(sites)):
+        step *= 2
+    return step
 
 
 def _tile_count(sites: Sequence[Site], step: float) -> int:
@@ -67,30 +76,30 @@ def cells_of_sites(
     tile. A cell falls in one tile and a site is listed there once, so no pair is doubled.
     """
     step = _tile_step(sites)
+    tile = f"floor({{}} / {step!r}D)"
 
-    def tile(c: Column) -> Column:
-        return F.floor(c / F.lit(step))
+    def tiles(low: str, high: str) -> str:
+        return f"explode(sequence({tile.format(low)}, {tile.format(high)}))"
 
     boxes = (
         sites_frame(grid.sparkSession, sites)
-        .select("site", "lat_min", "lat_max", "lon_min", "lon_max")
-        .withColumn(
-            "_tile_lat", F.explode(F.sequence(tile(F.col("lat_min")), tile(F.col("lat_max"))))
+        .selectExpr(
+            "site as _site",
+            "lat_min",
+            "lat_max",
+            "lon_min",
+            "lon_max",
+            f"{tiles('lat_min', 'lat_max')} as _tile_lat",
         )
-        .withColumn(
-            "_tile_lon", F.explode(F.sequence(tile(F.col("lon_min")), tile(F.col("lon_max"))))
-        )
-    )
-    cells = grid.filter(near_any_site(sites)).withColumns(
-        {"_tile_lat": tile(F.col(lat)), "_tile_lon": tile(F.col(lon))}
+        .selectExpr("*", f"{tiles('lon_min', 'lon_max')} as _tile_lon")
     )
-    hit = F.col(lat).between(F.col("lat_min"), F.col("lat_max")) & F.col(lon).between(
-        F.col("lon_min"), F.col("lon_max")
+    cells = grid.filter(near_any_site(sites, lat, lon)).selectExpr(
+        "*", f"{tile.format(lat)} as _tile_lat", f"{tile.format(lon)} as _tile_lon"
     )
     return (
         cells.join(small_side(boxes, _tile_count(sites, step)), ["_tile_lat", "_tile_lon"])
-        .filter(hit)
-        .select("site", *grid.columns)
+        .filter(f"{lat} between lat_min and lat_max and {lon} between lon_min and lon_max")
+        .selectExpr("_site as site", *[f"`{c}`" for c in grid.columns])
     )
 
 
@@ -118,17 +127,21 @@ def attach_per_key(
 ) -> DataFrame:
     """Add the columns of a one-row-per-key table to every row of `df`.
 
-    With a proven bound on the table it is broadcast. Without one, rows of a key are spread
-    over salt buckets by their `spread_by` columns and the table is repeated once per bucket,
-    so a key with a third of all rows is shared by many tasks. Missing keys match each other.
+    Where the caller knows no bound on the table, it is stored and its rows are counted from
+    the file footers. A table within the bound is broadcast. Beyond it, rows of a key are
+    spread over salt buckets by their `spread_by` columns and the table is repeated once per
+    bucket, so a key with a third of all rows is shared by many tasks. Missing keys match each
+    other.
     """
     keys = list(keys)
-    if max_rows is not None and max_rows <= BROADCAST_ROWS:
+    if max_rows is None:
+        per_key = written(per_key, "per-key")
+        max_rows = per_key.count()
+    if max_rows <= site_module.BROADCAST_ROWS:
         return _null_safe(df, F.broadcast(per_key), keys)
-    salted = df.withColumn("_salt", F.pmod(F.xxhash64(*spread_by), F.lit(SALT_BUCKETS)))
-    repeated = per_key.withColumn(
-        "_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALT_BUCKETS - 1).cast("long")))
-    )
+    salt = f"pmod(xxhash64({', '.join(spread_by)}), {SALT_BUCKETS}L)"
+    salted = df.selectExpr("*", f"{salt} as _salt")
+    repeated = per_key.selectExpr("*", f"explode(sequence(0L, {SALT_BUCKETS - 1}L)) as _salt")
     return _null_safe(salted, repeated, [*keys, "_salt"]).drop("_salt")
 
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from windspan.functions.clock import epoch_seconds
@@ -18,39 +18,43 @@ from windspan.functions.clock import epoch_seconds
 SLOT_SECONDS = 4096 * 3600
 
 
-def _unique(key_columns: Sequence[str]):
-    return F.raise_error(F.lit(f"duplicate row order key: {', '.join(key_columns)}"))
-
-
 def with_positions(
     df: DataFrame, keys: Sequence[str], time="time", slot_seconds: int = SLOT_SECONDS
 ) -> DataFrame:
     """Add `slot`, `pos` (0-based row position in the key by time) and `n` (rows of the key).
 
-    `time` must be unique in a key; a duplicate fails the job.
+    `time` must be unique in a key; a duplicate fails the job. `df` is read twice, once for
+    its keys and times alone.
     """
     keys = list(keys)
+    by = ", ".join(f"`{k}`" for k in keys)
     slotted = df.withColumn("slot", F.floor(epoch_seconds(time) / slot_seconds))
-    per_slot = slotted.groupBy(*keys, "slot").agg(F.count(F.lit(1)).alias("_rows"))
-    slots = Window.partitionBy(*keys).orderBy("slot")
-    offsets = per_slot.select(
-        *keys,
-        "slot",
-        F.coalesce(
-            F.sum("_rows").over(slots.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
-        ).alias("_before"),
-        F.sum("_rows").over(Window.partitionBy(*keys)).alias("n"),
+    offsets = (
+        slotted.groupBy(*keys, "slot")
+        .agg(F.count(F.lit(1)).alias("_rows"))
+        .selectExpr(
+            *[f"`{k}`" for k in keys],
+            "slot",
+            f"""coalesce(sum(_rows) over (partition by {by} order by slot
+                rows between unbounded preceding and 1 preceding), 0) as _before""",
+            f"sum(_rows) over (partition by {by}) as n",
+        )
     )
-    within = Window.partitionBy(*keys, "slot").orderBy(time)
-    local = F.row_number().over(within) - 1
-    repeated = F.col(time).eqNullSafe(F.lag(time).over(within)) & (local > 0)
+    within = f"over (partition by {by}, slot order by `{time}`)"
+    doubled = f"raise_error('duplicate row order key: {', '.join([*keys, time])}')"
     return (
-        slotted.withColumn(
-            "_local", F.when(repeated, _unique([*keys, time]).cast("int")).otherwise(local)
+        slotted.selectExpr(
+            "*",
+            f"row_number() {within} - 1 as _local",
+            f"`{time}` <=> lag(`{time}`) {within} as _same",
         )
         .join(offsets, [*keys, "slot"], "left")
-        .withColumn("pos", F.col("_before") + F.col("_local"))
-        .select(*df.columns, "slot", "pos", "n")
+        .selectExpr(
+            *[f"`{c}`" for c in df.columns],
+            "slot",
+            f"if(_same and _local > 0, cast({doubled} as bigint), _before + _local) as pos",
+            "n",
+        )
     )
 
 
@@ -59,13 +63,13 @@ def contiguous_folds(
 ) -> DataFrame:
     """Unshuffled k-fold number in row order; the first n % k folds hold one row more."""
     placed = with_positions(df, keys, time, **kw)
-    size = F.floor(F.col("n") / folds)
-    longer = F.col("n") % folds
-    head = longer * (size + 1)
-    fold = F.when(F.col("pos") < head, F.floor(F.col("pos") / (size + 1))).otherwise(
-        longer + F.floor((F.col("pos") - head) / F.greatest(size, F.lit(1)))
+    size, longer = f"(n div {folds})", f"(n % {folds})"
+    head = f"({longer} * ({size} + 1))"
+    fold = f"""if(pos < {head}, pos div ({size} + 1),
+        {longer} + (pos - {head}) div greatest({size}, 1))"""
+    return placed.selectExpr(
+        *[f"`{c}`" for c in df.columns if c != name], f"cast({fold} as int) as `{name}`"
     )
-    return placed.withColumn(name, fold.cast("int")).drop("slot", "pos", "n")
 
 
 def moving_average(
@@ -86,27 +90,22 @@ def moving_average(
     keys = list(keys)
     block = max(block, window)
     back, ahead = window // 2, window - 1 - window // 2
-    placed = with_positions(df, keys, time, **kw)
-    home = F.floor(F.col("pos") / block)
-    offset = F.col("pos") % block
-    homes = F.array(
-        home,
-        F.when((offset < ahead) & (home > 0), home - 1),
-        F.when(offset >= block - back, home + 1),
-    )
-    spread = placed.withColumn("_home", home).withColumn(
-        "_block", F.explode(F.array_compact(homes))
-    )
-    frame = (
-        Window.partitionBy(*keys, "_block").orderBy("pos").rowsBetween(-back, ahead)
-    )
-    complete = F.count(value).over(frame) == F.count(F.lit(1)).over(frame)
-    smooth = F.when(F.col("n") < window, F.col(value)).when(
-        complete, F.sum(value).over(frame) / window
+    by = ", ".join(f"`{k}`" for k in keys)
+    homes = f"""array_compact(array(_home,
+        if(pos % {block} < {ahead} and _home > 0, _home - 1, null),
+        if(pos % {block} >= {block - back}, _home + 1, null)))"""
+    spread = (
+        with_positions(df, keys, time, **kw)
+        .selectExpr("*", f"pos div {block} as _home")
+        .selectExpr("*", f"explode({homes}) as _block")
     )
+    frame = f"""over (partition by {by}, _block order by pos
+        rows between {back} preceding and {ahead} following)"""
+    v = f"`{value}`"
+    smooth = f"""case when n < {window} then {v}
+        when count({v}) {frame} = count(*) {frame} then sum({v}) {frame} / {window} end"""
     return (
-        spread.withColumn("_smooth", smooth)
-        .filter(F.col("_block") == F.col("_home"))
-        .withColumn(value, F.col("_smooth"))
-        .select(*df.columns)
+        spread.selectExpr("*", f"{smooth} as _smooth")
+        .filter("_block = _home")
+        .selectExpr(*["_smooth as " + v if c == value else f"`{c}`" for c in df.columns])
     )

@@ -24,6 +24,7 @@ from windspan.operators.models import (
     tree_estimator,
     tree_params,
 )
+from windspan.session import side_by_side
 
 
 @dataclass(frozen=True)
@@ -346,8 +347,8 @@ def search_linear(
                 np.array([i for _, i in fits]),
             )
     scores = linear_scores(train, features, weights, centre)
-    chosen = []
-    for regime in regimes:
+
+    def refit(regime: str) -> Chosen:
         mae = np.mean([scores[regime, f] for f in range(settings.folds)], axis=0)
         best = int(np.argmin(mae))
         params = drawn[regime][best]
@@ -357,10 +358,10 @@ def search_linear(
             params["alpha"],
             params.get("l1_ratio", 1.0),
         )
-        chosen.append(
-            Chosen(regime, params, float(mae[best]), model, list(zip(drawn[regime], map(float, mae))))
-        )
-    return chosen
+        tried = list(zip(drawn[regime], map(float, mae)))
+        return Chosen(regime, params, float(mae[best]), model, tried)
+
+    return side_by_side(train.sparkSession, refit, regimes, settings.parallelism)
 
 
 def regime_rows(train: DataFrame) -> dict[str, int]:

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,41 +18,45 @@ MAX_BOX_TERMS = 64
 TARGET_EXTRAS = ("구분", "시간", "energy_mwh", "plant_name", "period_hours")
 JOIN_LEFTOVERS = ("end_datetime", "filename", "date", "hour")
 NOT_FEATURES = ("site", "time", "energy_kwh")
+# The types that take part in a series.
+NUMERIC = (T.DoubleType, T.FloatType, T.LongType)
+
+
+def box_text(box: tuple[float, float, float, float], lat="latitude", lon="longitude") -> str:
+    south, north, west, east = (f"{float(x)!r}D" for x in box)
+    return f"({lat} between {south} and {north} and {lon} between {west} and {east})"
 
 
 def in_box(box: tuple[float, float, float, float], lat="latitude", lon="longitude") -> Column:
     """Inside or on the edge of (lat_min, lat_max, lon_min, lon_max)."""
-    south, north, west, east = box
-    return F.col(lat).between(south, north) & F.col(lon).between(west, east)
+    return F.expr(box_text(box, lat, lon))
 
 
-def near_any_site(sites: Sequence[Site]) -> Column:
+def near_any_site(sites: Sequence[Site], lat="latitude", lon="longitude") -> Column:
     """A literal test that reaches the Parquet scan and drops row groups far from all sites."""
     boxes = [s.box for s in sites]
-    if not boxes:
-        return F.lit(False)
     if len(boxes) > MAX_BOX_TERMS:
         souths, norths, wests, easts = zip(*boxes)
         boxes = [(min(souths), max(norths), min(wests), max(easts))]
-    return reduce(lambda a, b: a | b, (in_box(b) for b in boxes))
+    return F.expr(" or ".join(box_text(b, lat, lon) for b in boxes))
 
 
 def numeric_columns(df: DataFrame) -> list[str]:
     """Double, float and 64-bit integer columns; all other types are left out."""
-    kept = (T.DoubleType, T.FloatType, T.LongType)
-    return [f.name for f in df.schema if isinstance(f.dataType, kept)]
+    return [f.name for f in df.schema if isinstance(f.dataType, NUMERIC)]
 
 
 def numeric_projection(df: DataFrame, keep: Iterable[str] = ()) -> DataFrame:
     """Numeric columns with doubles narrowed to float, after the `keep` columns."""
     keep = list(keep)
-    wide = {f.name for f in df.schema if isinstance(f.dataType, T.DoubleType)}
-    cols = [F.col(f"`{c}`") for c in keep]
-    for name in numeric_columns(df):
-        if name not in keep:
-            c = F.col(f"`{name}`")
-            cols.append(c.cast("float").alias(name) if name in wide else c)
-    return df.select(*cols)
+    cols = [f"`{c}`" for c in keep]
+    for field in df.schema:
+        name = f"`{field.name}`"
+        if field.name in keep or not isinstance(field.dataType, NUMERIC):
+            continue
+        wide = isinstance(field.dataType, T.DoubleType)
+        cols.append(f"cast({name} as float) as {name}" if wide else name)
+    return df.selectExpr(*cols)
 
 
 def exclude_times(df: DataFrame, excluded: dict[str, str], key="site", time="time") -> DataFrame:

@@ -40,7 +40,7 @@ from windspan.operators.selection import (
     split_rows,
 )
 from windspan.operators.unions import concat_fill
-from windspan.session import written
+from windspan.session import side_by_side, written
 from windspan.sites import DEFAULT_SITES, Site, check_sites
 from windspan.sources.snapshots import (
     done_dates,
@@ -51,6 +51,7 @@ from windspan.sources.snapshots import (
     write_mirror,
 )
 from windspan.sources.tables import (
+    if_present,
     localise_target,
     read_features,
     read_series,
@@ -108,7 +109,8 @@ def regular_features(
         parts.append(drop_incomplete(features.filter(F.col("site").isin(dropped))).select(*order))
     if len(dropped) < len(sites):
         gappy = features.filter(~F.col("site").isin(dropped)) if dropped else features
-        full = on_spine(gappy, spine_bounds(features.sparkSession, sites))
+        # Read twice by the interpolation, so the spine join is not done twice.
+        full = written(on_spine(gappy, spine_bounds(features.sparkSession, sites)), "spine")
         parts.append(interpolate(full, numbers, pos="pos").select(*order))
     made = concat_fill(parts)
     return made.withColumns(calendar_parts("time")) if calendar == "time" else made
@@ -161,11 +163,9 @@ class SiteForecast:
         dates = site_hours(days, self.sites).select(
             "site", F.date_format("time", "yyyyMMdd").alias("date")
         )
-        try:
-            dates = pending_dates(dates, done_dates(self.spark, path))
-        except Exception as error:  # no copy yet
-            if "PATH_NOT_FOUND" not in str(error):
-                raise
+        copied = if_present(lambda: done_dates(self.spark, path))
+        if copied is not None:
+            dates = pending_dates(dates, copied)
         todo = written(dates, "pending")
         first, last = todo.agg(F.to_date(F.min("date"), "yyyyMMdd"), F.to_date(F.max("date"), "yyyyMMdd")).first()
         if first is not None:
@@ -215,8 +215,8 @@ class SiteForecast:
     def fit_and_score(self, features: DataFrame) -> DataFrame:
         caps = {r.site: r.capacity for r in capacity(features, self.sites).collect()}
         columns = feature_columns(features)
-        scored = []
-        for s in self.sites:
+
+        def one(s: Site) -> DataFrame:
             rows = features.filter(F.col("site") == s.site)
             train, test = split_rows(rows, s.train_when, s.test_when)
             cap = caps.get(s.site)
@@ -225,14 +225,14 @@ class SiteForecast:
             known = self._known_columns(rows, columns)
             model = fit_dual(train, known, cap, s.model_type, self.settings, self.share)
             self.models[s.site] = model
-            scored.append(
-                model.score(test).select(
-                    "site",
-                    "time",
-                    uplift_clip(PREDICTION, F.lit(cap), self.share).alias("energy_kwh"),
-                    F.lit(s.plant_name).alias("plant_name"),
-                )
+            return model.score(test).select(
+                "site",
+                "time",
+                uplift_clip(PREDICTION, F.lit(cap), self.share).alias("energy_kwh"),
+                F.lit(s.plant_name).alias("plant_name"),
             )
+
+        scored = side_by_side(self.spark, one, self.sites, self.settings.parallelism)
         forecast = written(concat_fill(scored), "scored")
         return moving_average(forecast, "energy_kwh", SMOOTHING).select(
             "time", "energy_kwh", "plant_name"

@@ -49,7 +49,7 @@ from windspan.operators.unions import concat_fill, concat_strict
 from windspan.plans import table_views as v
 from windspan.plans.forecast import SMOOTHING, features_of, regular_features
 from windspan.plans.table_views import SITES, doubles, rounded
-from windspan.session import new_table_dir, written
+from windspan.session import new_table_dir, side_by_side, written
 from windspan.sites import site_named
 from windspan.sources import snapshots, tables
 from windspan.streaming import ingest as stream
@@ -249,7 +249,7 @@ def bias(spark, d):
 def interpolated(spark, d):
     columns = ["ta_1p5m", "pmsl"]
     hours = written(v.series(spark, d).select("site", "time", *columns), "series")
-    full = on_spine(hours, _bounds(hours))
+    full = written(on_spine(hours, _bounds(hours)), "spine")
     return rounded(interpolate(full, columns, pos="pos"), *columns)
 
 
@@ -261,7 +261,7 @@ def interpolated_minutes(spark, d):
         F.sqrt("value").alias("value"),
     )
     rows = written(minute.groupBy("site", "time").agg(F.max("value").alias("value")), "minutes")
-    full = on_spine(rows, _bounds(rows), step_seconds=60)
+    full = written(on_spine(rows, _bounds(rows), step_seconds=60), "spine")
     return rounded(interpolate(full, ["value"], pos="pos"), "value")
 
 
@@ -298,55 +298,43 @@ def unite_fill(spark, d):
 
 # Scalars.
 def humidity(spark, d):
-    made = v.series(spark, d).select(
-        "site", "time", physics.absolute_humidity("ta_1p5m", "rh_1p5m").alias("absolute_humidity")
-    )
-    return rounded(made, "absolute_humidity")
+    made = physics.absolute_humidity("ta_1p5m", "rh_1p5m")
+    return v.series(spark, d).selectExpr("site", "time", f"round({made}, 6) as absolute_humidity")
 
 
 def density(spark, d):
-    made = v.series(spark, d).select(
-        "site", "time", physics.air_density("pmsl", "ta_1p5m").alias("air_density")
-    )
-    return rounded(made, "air_density")
+    made = physics.air_density("pmsl", "ta_1p5m")
+    return v.series(spark, d).selectExpr("site", "time", f"round({made}, 6) as air_density")
 
 
 def wind(spark, d):
-    made = v.series(spark, d).select(
-        "site", "time", *[c.alias(n) for n, c in physics.wind_columns().items()]
-    )
-    return rounded(made, *physics.wind_columns())
+    names = [*physics.WIND, *physics.WIND_SQUARED]
+    return rounded(physics.wind_features(v.series(spark, d)).select("site", "time", *names), *names)
 
 
 def direction(spark, d):
-    made = v.series(spark, d).select(
-        "site", "time", *[c.alias(n) for n, c in physics.direction_columns().items()]
-    )
-    return rounded(made, *physics.direction_columns())
+    names = [*physics.DIRECTION, *physics.DIRECTION_MIX]
+    made = physics.direction_features(physics.wind_features(v.series(spark, d)))
+    return rounded(made.select("site", "time", *names), *names)
 
 
 def turbulence(spark, d):
-    speed = physics.magnitude("uws_10m", "vws_10m")
-    made = v.series(spark, d).select(
-        "site",
-        "time",
-        physics.turbulence_intensity("fvmax_50m", "fvmin_50m", speed).alias("turbulence_intensity"),
+    made = physics.turbulence_intensity(
+        "fvmax_50m", "fvmin_50m", physics.magnitude("uws_10m", "vws_10m")
+    )
+    return v.series(spark, d).selectExpr(
+        "site", "time", f"round({made}, 6) as turbulence_intensity"
     )
-    return rounded(made, "turbulence_intensity")
 
 
 def energy(spark, d):
-    radius = joins.with_site_columns(v.series(spark, d), SITES, ["turbine_rad"])
     area = physics.rotor_area("turbine_rad")
-    made = radius.select(
-        "site",
-        "time",
-        area.alias("turbine_area"),
-        physics.wind_energy(
-            physics.air_density("pmsl", "ta_1p5m"), area, physics.magnitude("uws_10m", "vws_10m")
-        ).alias("wind_energy"),
+    made = physics.wind_energy(
+        physics.air_density("pmsl", "ta_1p5m"), area, physics.magnitude("uws_10m", "vws_10m")
+    )
+    return joins.with_site_columns(v.series(spark, d), SITES, ["turbine_rad"]).selectExpr(
+        "site", "time", f"round({area}, 6) as turbine_area", f"round({made}, 6) as wind_energy"
     )
-    return rounded(made, "turbine_area", "wind_energy")
 
 
 def calendar(spark, d):
@@ -641,19 +629,19 @@ def site_forecast(spark, d):
     One feature and one candidate, so that the fits have a closed form to compare with."""
     rows = written(_regular(spark, d), "regular")
     caps = {r.site: r.capacity for r in agg.capacity(rows, SITES).collect()}
-    scored = []
-    for s in SITES:
+
+    def one(s):
         train, test = split_rows(rows.filter(F.col("site") == s.site), s.train_when, s.test_when)
         model = fit_dual(train, ["wind_speed"], caps[s.site], s.model_type, ONE_NET)
-        scored.append(
-            model.score(test).select(
-                "site",
-                "time",
-                uplift_clip("prediction", F.lit(caps[s.site])).alias("energy_kwh"),
-                F.lit(s.plant_name).alias("plant_name"),
-            )
+        return model.score(test).select(
+            "site",
+            "time",
+            uplift_clip("prediction", F.lit(caps[s.site])).alias("energy_kwh"),
+            F.lit(s.plant_name).alias("plant_name"),
         )
-    smooth = moving_average(written(concat_fill(scored), "scored"), "energy_kwh", SMOOTHING)
+
+    scored = written(concat_fill(side_by_side(spark, one, SITES)), "scored")
+    smooth = moving_average(scored, "energy_kwh", SMOOTHING)
     return rounded(smooth, "energy_kwh", places=2)
 
 

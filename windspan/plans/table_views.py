@@ -104,9 +104,12 @@ def series(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def doubles(df: DataFrame) -> DataFrame:
     """Floats as doubles, for comparison."""
-    floats = [c for c, t in df.dtypes if t == "float"]
-    return df.withColumns({c: F.col(c).cast("double") for c in floats})
+    return df.selectExpr(
+        *[f"cast({c} as double) as {c}" if t == "float" else c for c, t in df.dtypes]
+    )
 
 
 def rounded(df: DataFrame, *names: str, places: int = 6) -> DataFrame:
-    return df.withColumns({c: F.round(F.col(c).cast("double"), places) for c in names})
+    return df.selectExpr(
+        *[f"round(cast({c} as double), {places}) as {c}" if c in names else c for c in df.columns]
+    )

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterable
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -47,3 +50,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = new_table_dir(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def side_by_side(spark: SparkSession, work: Callable, items: Iterable, threads: int = 4) -> list:
+    """Results of `work` on each item, in order, submitting jobs from a few threads so that one
+    item's small jobs do not leave the cluster idle."""
+    items = list(items)
+    if len(items) < 2:
+        return [work(i) for i in items]
+    with ThreadPool(min(threads, len(items))) as pool:
+        return pool.map(inheritable_thread_target(spark)(work), items)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -20,8 +20,14 @@ from windspan.sites import Site, sites_frame
 _MISSING = ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA")
 
 
-def _is_missing(error: AnalysisException) -> bool:
-    return (error.getCondition() or "").startswith(_MISSING)
+def if_present(read: Callable[[], DataFrame]) -> DataFrame | None:
+    """What `read` reads, or None if there is no such path or no file in it."""
+    try:
+        return read()
+    except AnalysisException as error:
+        if (error.getCondition() or "").startswith(_MISSING):
+            return None
+        raise
 
 
 def allow_nanosecond_times(spark: SparkSession) -> None:
@@ -60,12 +66,9 @@ def write_series(series: DataFrame, parquet: str, csv: str | None = None) -> Non
 
 def read_series(spark: SparkSession, path: str, sites: Sequence[Site]) -> DataFrame:
     """The stored series; every configured site must be there."""
-    try:
-        series = spark.read.parquet(path)
-    except AnalysisException as error:
-        if _is_missing(error):
-            raise FileNotFoundError(f"no series at {path}") from error
-        raise
+    series = if_present(lambda: spark.read.parquet(path))
+    if series is None:
+        raise FileNotFoundError(f"no series at {path}")
     series = series.withColumn("site", F.col("site").cast("string"))
     wanted = sites_frame(spark, sites).select("site")
     absent = wanted.join(series.select("site").distinct(), "site", "left_anti")
@@ -78,17 +81,14 @@ def read_series(spark: SparkSession, path: str, sites: Sequence[Site]) -> DataFr
 def read_target(spark: SparkSession, path: str, pattern: str | None = None) -> DataFrame:
     """All target files, each row tagged by its file name; columns some files lack are NULL."""
     allow_nanosecond_times(spark)
-    try:
-        raw = (
-            spark.read.option("mergeSchema", "true")
-            .option("recursiveFileLookup", "true")
-            .option("pathGlobFilter", "*.parquet")
-            .parquet(path)
-        )
-    except AnalysisException as error:
-        if _is_missing(error):
-            raise FileNotFoundError(f"no target files at {path}") from error
-        raise
+    raw = if_present(
+        lambda: spark.read.option("mergeSchema", "true")
+        .option("recursiveFileLookup", "true")
+        .option("pathGlobFilter", "*.parquet")
+        .parquet(path)
+    )
+    if raw is None:
+        raise FileNotFoundError(f"no target files at {path}")
     tag = matched_tag(file_stem("_metadata.file_path"), pattern)
     kept = [F.col(f"`{c}`") for c in raw.columns if c not in (*TARGET_EXTRAS, "filename")]
     return normalise_missing(micros(raw.select(*kept, tag.alias("filename")), "end_datetime"))
@@ -119,11 +119,8 @@ def read_features(
     allow_nanosecond_times(spark)
     frames, missing = [], []
     for s in sites:
-        try:
-            one = spark.read.parquet(f"{path}/{s.short}.parquet")
-        except AnalysisException as error:
-            if not _is_missing(error):
-                raise
+        one = if_present(lambda: spark.read.parquet(f"{path}/{s.short}.parquet"))
+        if one is None:
             missing.append(s.short)
             continue
         one = micros(one, "time").drop("__index_level_0__")
