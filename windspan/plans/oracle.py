@@ -267,8 +267,9 @@ def _search_scores() -> str:
           join tries t on t.regime = r.regime
           group by all)
         select regime, cast(candidate as int) as candidate, round(alpha, 6) as alpha,
-          round(avg(mae), 3) as mae
-        from scored group by regime, candidate, alpha"""
+          round(mae, 3) as mae, cast(case when row_number() over (
+            partition by regime order by mae, candidate) = 1 then 1 else 0 end as int) as is_best
+        from (select regime, candidate, alpha, avg(mae) as mae from scored group by all)"""
 
 
 _DUAL = """with cap as (select max(energy_kwh) * 1.05e0 as capacity from daily_all),

@@ -549,17 +549,19 @@ SEARCH_TRIES = SearchSettings(draws={"high": 4, "low": 3})
 
 
 def search_scores(spark, d):
-    """Cross-validated error of each ridge candidate on one feature, per regime."""
+    """Cross-validated error of each ridge candidate on one feature, per regime, and the best."""
     days = _days_with_regime(spark, d)
     ready = written(contiguous_folds(days, ["site", "regime"], 3), "training")
     regimes = usable_regimes(regime_rows(ready), SEARCH_TRIES)
     found = search(ready, DAY_FEATURES, "ridge", regimes, SEARCH_TRIES)
     rows = [
-        (regime_name, n, float(params["alpha"]), score)
+        (regime_name, n, float(params["alpha"]), score, int(params is chosen.params))
         for regime_name, chosen in found.items()
         for n, (params, score) in enumerate(chosen.tried)
     ]
-    made = spark.createDataFrame(rows, "regime string, candidate int, alpha double, mae double")
+    made = spark.createDataFrame(
+        rows, "regime string, candidate int, alpha double, mae double, is_best int"
+    )
     return rounded(rounded(made, "alpha"), "mae", places=3)
 
 
