@@ -11,6 +11,7 @@ from trees import site_maxima, tree
 
 from windspan.functions.output import HIGH, LOW
 from windspan.operators.search import SearchSettings
+from windspan.operators.selection import near_any_site
 from windspan.plans.forecast import SiteForecast, regular_features
 from windspan.plans.table_views import SITES
 from windspan.streaming.ingest import ingest, ingested, snapshot_stream
@@ -141,7 +142,8 @@ def test_stream_equals_batch(spark, tmp_path):
     schema = spark.read.option("recursiveFileLookup", "true").parquet(str(root)).schema
 
     def take_in():
-        cells = snapshot_stream(spark, str(root), schema, files_per_batch=4)
+        near = near_any_site(RUN_SITES)
+        cells = snapshot_stream(spark, str(root), schema, files_per_batch=4, where=near)
         ingest(cells, RUN_SITES, mirror, checkpoint).awaitTermination()
         return ingested(spark, mirror)
 

@@ -4,6 +4,7 @@ from trees import hour_cells, put, site_maxima, tree
 
 from windspan.operators.aggregates import restore_hours, site_hours, site_series
 from windspan.operators.joins import cells_of_sites
+from windspan.operators.selection import near_any_site
 from windspan.plans.table_views import SITES
 from windspan.sources import snapshots
 
@@ -96,6 +97,16 @@ def test_dates_prune_files(spark, tmp_path):
     assert leaf.metrics().apply("numFiles").value() == 24
 
 
+def test_cells_are_tested_before_paths(spark, tmp_path):
+    tree(tmp_path, "2024-01-01 00:00", "2024-01-01 03:00")
+    df = snapshots.scan_snapshots(spark, str(tmp_path), where=near_any_site(SITES))
+    assert df.count() == 4 * 6
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    condition = next(line for line in plan.splitlines() if "Filter" in line and "regexp" in line)
+    assert condition.index("latitude") < condition.index("regexp_extract")
+    assert "latitude" in plan.split("PushedFilters")[1].split("ReadSchema")[0]
+
+
 def test_schema_profile(spark, edge_tree, monkeypatch):
     root, *_ = edge_tree
     footers = snapshots.snapshot_footers(snapshots.list_snapshots(spark, root)).cache()

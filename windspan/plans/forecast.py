@@ -37,6 +37,7 @@ from windspan.operators.selection import (
     drop_incomplete,
     exclude_times,
     feature_columns,
+    near_any_site,
     split_rows,
 )
 from windspan.operators.unions import concat_fill
@@ -169,7 +170,14 @@ class SiteForecast:
         todo = written(dates, "pending")
         first, last = todo.agg(F.to_date(F.min("date"), "yyyyMMdd"), F.to_date(F.max("date"), "yyyyMMdd")).first()
         if first is not None:
-            cells = scan_snapshots(self.spark, self.grid, self.schema, str(first), str(last))
+            cells = scan_snapshots(
+                self.spark,
+                self.grid,
+                self.schema,
+                str(first),
+                str(last),
+                where=near_any_site(self.sites),
+            )
             write_mirror(cells, self.sites, path, only=todo)
         return path
 
@@ -183,7 +191,9 @@ class SiteForecast:
                 site_series(within_dates(cells, self.sites)), site_hours(hours, self.sites)
             )
         else:
-            cells = scan_snapshots(self.spark, self.grid, self.schema, start, end)
+            cells = scan_snapshots(
+                self.spark, self.grid, self.schema, start, end, where=near_any_site(self.sites)
+            )
             series = series_of(cells, hours, self.sites)
         write_series(series, self.series_path, f"{self.series_path}_csv" if self.csv else None)
         return self.load_series()

@@ -42,6 +42,7 @@ from windspan.operators.selection import (
     exclude_times,
     feature_columns,
     in_box,
+    near_any_site,
     numeric_projection,
     split_rows,
 )
@@ -427,7 +428,7 @@ def tree_series(spark, d):
     """From a snapshot tree to series, with the hours taken from its files."""
     root = _tree(spark, d)
     hours = snapshots.expected_hours(snapshots.list_snapshots(spark, root))
-    cells = snapshots.scan_snapshots(spark, root)
+    cells = snapshots.scan_snapshots(spark, root, where=near_any_site(SITES))
     series = agg.site_series(joins.cells_of_sites(cells, SITES))
     return doubles(agg.restore_hours(series, agg.site_hours(hours, SITES)))
 

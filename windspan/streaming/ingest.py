@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.query import StreamingQuery
@@ -21,8 +21,13 @@ from windspan.sites import Site
 
 
 def snapshot_stream(
-    spark: SparkSession, root: str, schema: T.StructType, files_per_batch: int = 10_000
+    spark: SparkSession,
+    root: str,
+    schema: T.StructType,
+    files_per_batch: int = 10_000,
+    where: Column | None = None,
 ) -> DataFrame:
+    """Cells of new files; `where` is tested first, before the tests on the file path."""
     cells = (
         spark.readStream.schema(schema)
         .option("recursiveFileLookup", "true")
@@ -31,6 +36,8 @@ def snapshot_stream(
         .option("maxFilesPerTrigger", files_per_batch)
         .parquet(root)
     )
+    if where is not None:
+        cells = cells.filter(where)
     path = F.col("_metadata.file_path")
     stem = file_stem(path)
     return cells.filter(stem_date_text(stem) == folder_date_text(path)).select(
