@@ -14,6 +14,7 @@ from windspan.operators.search import SearchSettings
 from windspan.operators.selection import near_any_site
 from windspan.plans.forecast import SiteForecast, regular_features
 from windspan.plans.table_views import SITES
+from windspan.sources.tables import if_present
 from windspan.streaming.ingest import ingest, ingested, snapshot_stream
 
 START, END = "2024-01-01 00:00", "2024-01-08 23:00"
@@ -98,6 +99,28 @@ def test_from_features(spark, base, run, first):
     pd.testing.assert_frame_equal(by_row(again), by_row(first), rtol=1e-6)
 
 
+def test_resume(spark, base, first):
+    """With neither features nor series, the run starts at the grid files."""
+    fresh = SiteForecast(
+        spark, str(base[0]), RUN_SITES, results="fresh", features="none", settings=SETTINGS, csv=False
+    )
+    made = by_row(fresh.resume().toPandas())
+    pd.testing.assert_frame_equal(made, by_row(first), rtol=1e-6)
+    assert if_present(lambda: spark.read.parquet(fresh.series_path)) is not None
+
+
+def test_capacity_from_training_rows(spark, base, first):
+    some = SiteForecast(
+        spark, str(base[0]), RUN_SITES, results="train", settings=SETTINGS, capacity_from="train"
+    )
+    features = spark.read.parquet(f"{base[0]}/results/mid_output")
+    some.fit_and_score(features)
+    odd = features.filter("day % 2 = 1").groupBy("site").agg({"energy_kwh": "max"}).collect()
+    peaks = {r.site: r["max(energy_kwh)"] for r in odd}
+    for s in RUN_SITES:
+        assert some.models[s.site].capacity == pytest.approx(peaks[s.site] * s.capacity_factor)
+
+
 def test_without_series(spark, tmp_path):
     with pytest.raises(FileNotFoundError):
         SiteForecast(spark, str(tmp_path), RUN_SITES).run()

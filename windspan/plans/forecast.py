@@ -120,7 +120,9 @@ def regular_features(
 class SiteForecast:
     """All stages over one working folder.
 
-    `grid`, `target`, `results` and `features` name its sub-folders.
+    `grid`, `target`, `results` and `features` name its sub-folders. Give `schema`, the grid
+    files' columns, where runs are frequent: without it every footer of the tree is read to
+    find out.
     """
 
     def __init__(
@@ -270,3 +272,8 @@ class SiteForecast:
         series = self.load_series() if skip_weather_processing else self.build_series()
         features = self.build_features(series, self.load_target())
         return self.write_result(self.fit_and_score(features))
+
+    def resume(self) -> DataFrame:
+        """Run from the latest stage present: finished features, else series, else grid files."""
+        stored = if_present(lambda: self.spark.read.parquet(self.series_path))
+        return self.run(skip_weather_processing=stored is not None, use_processed_data=True)

@@ -446,7 +446,7 @@ def oracle_sql() -> dict[str, str]:
             """select site, time, regime, cast(ntile(3) over (partition by site, regime
               order by time) - 1 as int) as fold from regimes""",
         ),
-        "concat_strict": _sql("cells", "select * exclude (site) from cells"),
+        "concat_strict": _sql("cells", "select * from cells"),
         "concat_fill": _sql(
             "grid target",
             """select time, pmsl, null::varchar as filename, null::timestamp as end_datetime,

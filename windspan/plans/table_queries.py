@@ -145,8 +145,13 @@ def drop_missing(spark, d):
     return doubles(drop_incomplete(_with_holes(hours)))
 
 
+def _days(spark, d):
+    """Daily rows, stored: the queries below use them more than once."""
+    return written(v.daily(spark, d), "days")
+
+
 def year_split(spark, d):
-    days = v.daily(spark, d).withColumns(calendar_parts("time"))
+    days = _days(spark, d).withColumns(calendar_parts("time"))
     train, test = split_rows(days, "year <= 1998", "year = 1999")
     return concat_strict(
         [p.withColumn("part", F.lit(n)) for p, n in ((train, "train"), (test, "test"))]
@@ -154,7 +159,7 @@ def year_split(spark, d):
 
 
 def month_parity_split(spark, d):
-    days = v.daily(spark, d).withColumns(calendar_parts("time"))
+    days = _days(spark, d).withColumns(calendar_parts("time"))
     train, test = split_rows(days, "month % 2 = 1", "month % 2 = 0")
     return concat_strict(
         [p.withColumn("part", F.lit(n)) for p, n in ((train, "train"), (test, "test"))]
@@ -162,7 +167,7 @@ def month_parity_split(spark, d):
 
 
 def _regimes(spark, d):
-    days = v.daily(spark, d)
+    days = _days(spark, d)
     caps = agg.capacity_by_factor(days, DAY_FACTOR)
     return joins.attach_per_key(days, caps, ["site"]).withColumn(
         "regime", regime("energy_kwh", "capacity", HIGH_DAY_SHARE)
@@ -229,11 +234,11 @@ def plant_counts(spark, d):
 
 
 def mae(spark, d):
-    return rounded(agg.mean_absolute_error(v.scored_daily(spark, d)), "mae", places=3)
+    return rounded(agg.mean_absolute_error(v.with_stand_in(v.daily(spark, d))), "mae", places=3)
 
 
 def weighted_mae(spark, d):
-    days = v.scored_daily(spark, d)
+    days = v.with_stand_in(_days(spark, d))
     caps = agg.capacity_by_factor(days, DAY_FACTOR)
     return rounded(
         agg.weighted_mae(joins.attach_per_key(days, caps, ["site"])), "weighted_mae", places=3
@@ -241,7 +246,7 @@ def weighted_mae(spark, d):
 
 
 def bias(spark, d):
-    days = v.scored_daily(spark, d).withColumns(calendar_parts("time"))
+    days = v.with_stand_in(_days(spark, d)).withColumns(calendar_parts("time"))
     train, test = split_rows(days, "month % 2 = 1", "month % 2 = 0")
     return rounded(agg.bias(train, test), "bias", places=3)
 
@@ -288,8 +293,9 @@ def fold_id(spark, d):
 
 # Concatenation.
 def unite_strict(spark, d):
-    cells = v.grid(spark, d)
-    return concat_strict([cells.filter(in_box(s.box)) for s in SITES])
+    """Each site's cells, one under another."""
+    cells = written(joins.cells_of_sites(v.grid(spark, d), SITES), "cells")
+    return concat_strict([cells.filter(F.col("site") == s.site) for s in SITES])
 
 
 def unite_fill(spark, d):
@@ -363,7 +369,7 @@ def local_time(spark, d):
 
 
 def adjusted(spark, d):
-    days = v.scored_daily(spark, d)
+    days = v.with_stand_in(_days(spark, d))
     caps = agg.capacity_by_factor(days, DAY_FACTOR)
     made = joins.attach_per_key(days, caps, ["site"]).select(
         "site", "time", uplift_clip("prediction", "capacity", HIGH_DAY_SHARE).alias("energy_kwh")
@@ -567,7 +573,7 @@ def search_scores(spark, d):
 
 
 def _days_with_regime(spark, d):
-    days = v.daily_all(spark, d)
+    days = written(v.daily_all(spark, d), "days")
     caps = agg.capacity_by_factor(days, DAY_FACTOR)
     return written(
         joins.attach_per_key(days, caps, ["site"]).withColumn(
@@ -579,7 +585,7 @@ def _days_with_regime(spark, d):
 
 TREE_SPACE = {
     "rf": {
-        r: {"n_estimators": Whole(3, 6), "max_depth": [3, 4], "max_features": ["sqrt", "log2"]}
+        r: {"n_estimators": Whole(3, 9), "max_depth": [3, 4], "max_features": ["sqrt", "log2"]}
         for r in ("high", "low")
     }
 }

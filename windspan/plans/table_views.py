@@ -93,9 +93,9 @@ def daily_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def scored_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
+def with_stand_in(days: DataFrame) -> DataFrame:
     """Daily rows with a stand-in forecast."""
-    return daily(spark, sf_dir).withColumn("prediction", F.expr("energy_kwh * 0.9e0 + 1000 * n_orders"))
+    return days.selectExpr("*", "energy_kwh * 0.9e0 + 1000 * n_orders as prediction")
 
 
 def series(spark: SparkSession, sf_dir: str) -> DataFrame:
