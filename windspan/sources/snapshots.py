@@ -220,5 +220,14 @@ def read_mirror(spark: SparkSession, path: str, schema: T.StructType | None = No
 
 
 def done_dates(spark: SparkSession, path: str) -> DataFrame:
-    """Dates already written for each site, from the folder names."""
-    return read_mirror(spark, path).select("site", "date").distinct()
+    """Dates already written for each site, from the folder names; no file is opened."""
+    files = (
+        spark.read.format("binaryFile")
+        .option("recursiveFileLookup", "true")
+        .option("pathGlobFilter", "*.parquet")
+        .load(path)
+    )
+    return files.select(
+        F.regexp_extract("path", "/site=([^/]+)/date=", 1).alias("site"),
+        F.regexp_extract("path", "/date=([0-9]{8})/", 1).alias("date"),
+    ).distinct()
