@@ -585,7 +585,7 @@ def _days_with_regime(spark, d):
 
 TREE_SPACE = {
     "rf": {
-        r: {"n_estimators": Whole(3, 9), "max_depth": [3, 4], "max_features": ["sqrt", "log2"]}
+        r: {"n_estimators": Whole(3, 9), "max_depth": [2, 5], "max_features": ["sqrt", "log2"]}
         for r in ("high", "low")
     }
 }
@@ -594,7 +594,7 @@ TREE_SPACE = {
 def forest_search(spark, d):
     days = _days_with_regime(spark, d).withColumns(calendar_parts("time"))
     ready = written(contiguous_folds(days, ["site", "regime"], 3), "training")
-    settings = SearchSettings(draws={"high": 2, "low": 2}, spaces=TREE_SPACE)
+    settings = SearchSettings(draws={"high": 3, "low": 3}, spaces=TREE_SPACE)
     regimes = usable_regimes(regime_rows(ready), settings)
     found = search(ready, DAY_CALENDAR, "rf", regimes, settings)
     rows = [

@@ -67,46 +67,44 @@ def rejected_snapshots(spark: SparkSession, root: str) -> DataFrame:
     return list_snapshots(spark, root).filter(F.col("status") != "ok").select("path", "status")
 
 
-def _open_footer(path: str):
-    import pyarrow.parquet as pq
-    from pyarrow import fs
-
-    # Object stores go by one scheme in Hadoop and another in Arrow.
-    for prefix in ("s3a://", "s3n://"):
-        if path.startswith(prefix):
-            path = "s3://" + path[len(prefix):]
-    if path.startswith("file:"):
-        path = "file://" + "/" + path[len("file:"):].lstrip("/")
-    filesystem, inner = fs.FileSystem.from_uri(path)
-    with filesystem.open_input_file(inner) as handle:
-        return pq.ParquetFile(handle).metadata
-
-
-def _footers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    import pyarrow as pa
-
-    for batch in batches:
-        signatures, counts, fine = [], [], []
-        for path in batch["path"]:
-            try:
-                meta = _open_footer(path)
-                fields = meta.schema.to_arrow_schema()
-                signatures.append(", ".join(f"{f.name}: {f.type}" for f in fields))
-                counts.append(meta.num_rows)
-                fine.append(True)
-            except (OSError, pa.ArrowException):
-                signatures.append(None)
-                counts.append(None)
-                fine.append(False)
-        yield batch.assign(
-            signature=signatures,
-            num_rows=pd.array(counts, dtype="Int64"),
-            readable=fine,
-        )
-
-
 def snapshot_footers(files: DataFrame) -> DataFrame:
     """Read the footer of every listed file, on the executors: its columns and row count."""
+
+    # All inside, so that executors need not have this package installed.
+    def footer(path: str):
+        import pyarrow.parquet as pq
+        from pyarrow import fs
+
+        # Object stores go by one scheme in Hadoop and another in Arrow.
+        for prefix in ("s3a://", "s3n://"):
+            if path.startswith(prefix):
+                path = "s3://" + path[len(prefix):]
+        if path.startswith("file:"):
+            path = "file:///" + path[len("file:"):].lstrip("/")
+        filesystem, inner = fs.FileSystem.from_uri(path)
+        with filesystem.open_input_file(inner) as handle:
+            return pq.ParquetFile(handle).metadata
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import pyarrow as pa
+
+        for batch in batches:
+            signatures, counts, fine = [], [], []
+            for path in batch["path"]:
+                try:
+                    meta = footer(path)
+                    fields = meta.schema.to_arrow_schema()
+                    signatures.append(", ".join(f"{f.name}: {f.type}" for f in fields))
+                    counts.append(meta.num_rows)
+                    fine.append(True)
+                except (OSError, pa.ArrowException):
+                    signatures.append(None)
+                    counts.append(None)
+                    fine.append(False)
+            yield batch.assign(
+                signature=signatures, num_rows=pd.array(counts, dtype="Int64"), readable=fine
+            )
+
     tasks = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     schema = T.StructType(
         [
@@ -116,7 +114,7 @@ def snapshot_footers(files: DataFrame) -> DataFrame:
             T.StructField("readable", T.BooleanType()),
         ]
     )
-    return files.repartition(tasks, "path").mapInPandas(_footers, schema)
+    return files.repartition(tasks, "path").mapInPandas(read, schema)
 
 
 def schema_profile(footers: DataFrame) -> DataFrame:
