@@ -34,6 +34,7 @@ from windspan.session import written
 
 BITS = 64
 SEED = 42  # the seed of Spark's own xxhash64
+BROADCAST_ROWS = 1_000_000  # of 20 bytes; beyond it the variants are shuffled to the join
 CHUNK = 1 << 16  # hashes whose bits are counted at a time
 
 
@@ -136,6 +137,8 @@ def links(nodes: DataFrame, max_bits: int = 2, dense: int = 256) -> DataFrame:
     )
     twos = shared.filter("n = 2").filter(close).select("a", "b")
     more = shared.filter("n > 2").select("variant", "kept", "n")
+    if more.count() <= BROADCAST_ROWS:
+        more = F.broadcast(more)
     members = written(variants.join(more, ["variant", "kept"]), "simhash-members")
     few = members.filter(F.col("n") <= dense)
     left = few.select("variant", "kept", F.col("fp").alias("a"))
