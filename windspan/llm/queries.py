@@ -4,7 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from windspan.llm import language, mixing, sharding, simhash, warc
+from windspan.llm import (
+    decontam,
+    digest,
+    language,
+    mixing,
+    pii,
+    quality,
+    sharding,
+    simhash,
+    warc,
+)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,6 +25,15 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"), shingle=3, max_bits=2)
 
 
+#: The key of the query; a real run passes its own.
+DEMO_KEY = b"windspan demonstration key 000001"
+
+
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = pii.pseudonymised(_table(spark, sf_dir, "documents"), DEMO_KEY)
+    return docs.select("doc_id", "text", "n_values", "kinds")
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(spark, _table(spark, sf_dir, "pages"), revisit_from=0).select(
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
@@ -37,7 +56,32 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = (_table(spark, sf_dir, t) for t in ("documents", "labels"))
+    return quality.classify(docs, labels, cut=0.3)
+
+
+def op8_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digest.fingerprints(_table(spark, sf_dir, "documents"))
+
+
+def op9_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, items = (_table(spark, sf_dir, t) for t in ("documents", "benchmark"))
+    return decontam.leaks(docs, items, window=8, run=13)
+
+
 QUERIES = {
-    f.__name__: f for f in (op1_simhash, op3_warc, op4_sharding, op5_language, op6_mixing)
+    f.__name__: f
+    for f in (
+        op1_simhash,
+        op2_pii,
+        op3_warc,
+        op4_sharding,
+        op5_language,
+        op6_mixing,
+        op7_quality,
+        op8_digest,
+        op9_decontam,
+    )
 }
 ORACLE_SQL: dict[str, str] = {}
