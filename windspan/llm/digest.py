@@ -34,8 +34,8 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
-WINDOW = 64
-REACH = 32  # a power of two
+WINDOW = 32
+REACH = 16  # a power of two
 FILTER_BITS = 2048
 HASHES = 5
 PER_FILTER = 128

@@ -9,6 +9,7 @@ from windspan.llm import (
     digest,
     language,
     mixing,
+    phrases,
     pii,
     quality,
     sharding,
@@ -70,6 +71,10 @@ def op9_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.leaks(docs, items, window=8, run=13)
 
 
+def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.strip_recurring(spark, _table(spark, sf_dir, "documents"), window=35)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -82,6 +87,7 @@ QUERIES = {
         op7_quality,
         op8_digest,
         op9_decontam,
+        op10_substrings,
     )
 }
 ORACLE_SQL: dict[str, str] = {}

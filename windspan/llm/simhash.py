@@ -34,7 +34,7 @@ from windspan.session import written
 
 BITS = 64
 SEED = 42  # the seed of Spark's own xxhash64
-BROADCAST_ROWS = 1_000_000  # of 20 bytes; beyond it the variants are shuffled to the join
+BROADCAST_ROWS = 200_000  # of 20 bytes; beyond it the variants are shuffled to the join
 CHUNK = 1 << 16  # hashes whose bits are counted at a time
 
 
