@@ -1,7 +1,7 @@
 """Language identification by known words, backing off to character n-grams.
 
 Learning counts words and their character n-grams per language on a bounded sample of labelled
-rows: of each language the `per_language` rows whose hashes are smallest. A known word scores its
+rows: of each language the `per_language` distinct texts whose hashes are lowest. A known word scores its
 smoothed log frequency in each language. An unseen word is covered from the left by known n-grams,
 each time the longest that fits: from `longest` characters down to one; a character never seen
 scores alike in all languages.
@@ -28,8 +28,9 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import regex
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
+from windspan.llm.sampling import lowest
 from windspan.session import written
 
 UNKNOWN = "und"
@@ -139,16 +140,18 @@ def learn(
     least: int = 2,
     sharpness: float = 8.0,
 ) -> LanguageModel:
-    """Learn from at most `per_language` rows of each language; words and n-grams that these hold
+    """Learn from at most `per_language` texts of each language; words and n-grams that these hold
     fewer than `least` times are left out."""
     labelled = docs.filter(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(
-        F.col(lang).cast("string").alias("lang"), F.col(text).alias("text")
+        F.col(lang).cast("string").alias("lang"),
+        F.xxhash64(F.col(text)).alias("h"),
+        F.col(text).alias("text"),
     )
-    first = Window.partitionBy("lang").orderBy("h", "text")
+    picked = lowest(labelled.select("lang", "h").distinct(), "lang", "h", per_language)
     sample = (
-        labelled.withColumn("h", F.xxhash64("text"))
-        .withColumn("pick", F.row_number().over(first))
-        .filter(F.col("pick") <= per_language)
+        labelled.join(F.broadcast(picked), ["lang", "h"])  # per_language rows a language
+        .groupBy("lang", "h")
+        .agg(F.min("text").alias("text"))
         .select("lang", "text")
     )
     schema = "lang string, item string, gram boolean, n long"

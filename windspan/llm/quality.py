@@ -15,7 +15,7 @@ Defined results
     labels of one kind, none   every score is the share of good labels, 0.5 without labels
     too few or too short
     texts for training         the blocks themselves serve as raw dictionary
-    repeated or conflicting labels   each counts
+    repeated labels            count once; conflicting ones count each
     empty table                no rows
     other columns              not read
 """
@@ -28,7 +28,9 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import zstandard
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
+
+from windspan.llm.sampling import lowest
 
 BLOCK = 512
 LEVEL = 3
@@ -105,13 +107,10 @@ def _leans(texts: Column, model: QualityModel) -> Column:
 
 
 def _sampled(docs: DataFrame, labels: DataFrame, id: str, text: str, per_label: int) -> DataFrame:
-    """(quality, text) of the `per_label` labelled ids of each label whose hashes are smallest."""
-    lowest = Window.partitionBy("quality").orderBy(F.xxhash64("id"), "id")
-    picked = (
-        labels.withColumn("pick", F.row_number().over(lowest))
-        .filter(F.col("pick") <= per_label)
-        .select("id", "quality")
-    )
+    """(quality, text) of the `per_label` labelled ids of each label whose hashes are lowest."""
+    hashed = labels.select("id", "quality", F.xxhash64("id").alias("h"))
+    picked = lowest(hashed.select("quality", "h").distinct(), "quality", "h", per_label)
+    picked = hashed.join(F.broadcast(picked), ["quality", "h"]).select("id", "quality").distinct()
     # at most 2 * per_label rows
     return docs.select(F.col(id).alias("id"), F.col(text).cast("binary").alias("text")).join(
         F.broadcast(picked), "id"
