@@ -83,10 +83,8 @@ def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, n
             last = pools.pop()
             pools[-1] = [p + q for p, q in zip(pools[-1], last)]
     share, one = np.average(y, weights=w), w.mean()
-    return (
-        np.array([s / n for n, _, s in pools]),
-        np.array([(k + share * one) / (n + one) for n, k, _ in pools]),
-    )
+    chances = np.array([(k + share * one) / (n + one) for n, k, _ in pools])
+    return np.array([s / n for n, _, s in pools]), np.maximum.accumulate(chances)
 
 
 def _dictionary(samples: list[bytes]) -> tuple[bytes, bool]:

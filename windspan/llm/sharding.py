@@ -27,7 +27,6 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from windspan.session import written
 
 MOST_CELL_BITS = 16
-HELPERS = ("__cell", "__slice", "__size", "__crc")
 
 
 def text_level(value: Column, bits: int) -> Column:
@@ -150,12 +149,16 @@ def assign(
         F.coalesce(F.sum("n").over(inside), F.lit(0)).alias("ahead"),
     )
     starts = written(
-        starts.join(cells, "cell").select("cell", "part", (F.col("start") + F.col("ahead")).alias("__start")),
+        starts.join(cells, "cell").select(
+            F.col("cell").alias("__c"),
+            F.col("part").alias("__p"),
+            (F.col("start") + F.col("ahead")).alias("__start"),
+        ),
         "shard-starts",
     )
     order = Window.partitionBy("__cell", "__slice").orderBy(id, "__size", "__crc")
     numbered = placed.join(
-        starts, (F.col("__cell") == F.col("cell")) & (F.col("__slice") == F.col("part"))
+        starts, (F.col("__cell") == F.col("__c")) & (F.col("__slice") == F.col("__p"))
     ).withColumn("__at", F.col("__start") + F.row_number().over(order) - 1)
     shard = F.expr(f"(__at * {shards}) div {max(1, total)}")
     first = F.expr(f"(__shard * {total} + {shards - 1}) div {shards}")

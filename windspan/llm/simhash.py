@@ -215,21 +215,19 @@ def representatives(
     """
     classes = written(
         _classes(_prints(docs, id, text, shingle), max_bits, dense), "simhash-classes"
-    )
-    keep = classes.filter("component_id is not null").select(
-        F.col("component_id").alias("__keep_id")
-    )
+    ).select(*[F.col(c).alias(f"__{c}") for c in ("class_fp", "root", "component_id")])
+    keep = classes.filter("__component_id is not null").select("__component_id").distinct()
     row = F.min(F.struct(*[F.col(c) for c in docs.columns])).alias("__row")
     named = (
-        docs.join(keep.distinct(), docs[id] == F.col("__keep_id"), "left_semi")
+        docs.join(keep, docs[id] == F.col("__component_id"), "left_semi")
         .groupBy(F.col(id).alias("__id"))
         .agg(row)
     )
     nameless = (
         docs.filter(F.col(id).isNull())
         .withColumn("__fp", with_fingerprint(F.col(text), shingle))
-        .join(classes.filter("component_id is null"), F.col("__fp") == F.col("class_fp"))
-        .groupBy("root")
+        .join(classes.filter("__component_id is null"), F.col("__fp") == F.col("__class_fp"))
+        .groupBy("__root")
         .agg(row)
     )
     return named.select("__row").unionByName(nameless.select("__row")).select("__row.*")
