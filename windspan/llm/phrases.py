@@ -271,17 +271,20 @@ def _stripped(window: int):
 def recurring_spans(texts: DataFrame, window: int, shingle: int) -> DataFrame:
     """(key, spans): packed runs of recurring windows (first << 32 | last) of each text."""
     placed = written(texts.mapInArrow(_anchored(window, shingle), ANCHOR_SCHEMA), "anchors")
-    shared = (
+    # Written before the join, so that Spark can split a hot key's side of it.
+    anchors_kept = written(
         placed.groupBy("anchor")
         .agg(
             F.sum("copies").alias("places"),
             (F.min("stretch") == F.max("stretch")).alias("alike"),
         )
         .filter("places > 1")
-        .select("anchor", "alike")
+        .select("anchor", "alike"),
+        "anchor-kinds",
     )
     shared = written(
-        placed.select("key", "copies", "anchor", "span").join(shared, "anchor"), "shared-anchors"
+        placed.select("key", "copies", "anchor", "span").join(anchors_kept, "anchor"),
+        "shared-anchors",
     )
     unlike = (
         shared.filter("not alike")
@@ -291,11 +294,12 @@ def recurring_spans(texts: DataFrame, window: int, shingle: int) -> DataFrame:
     windows = written(
         texts.join(unlike, "key").mapInArrow(_windows(window), WINDOW_SCHEMA), "windows"
     )
-    again = (
+    again = written(
         windows.groupBy("anchor", "hash")
         .agg(F.sum("copies").alias("n"))
         .filter("n > 1")
-        .select("anchor", "hash")
+        .select("anchor", "hash"),
+        "recurring-windows",
     )
     single = F.expr("shiftleft(cast(place as bigint), 32) + place").alias("span")
     spans = (
