@@ -1,5 +1,6 @@
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 from trees import hour_cells, put, site_maxima, tree
 
 from windspan.operators.aggregates import restore_hours, site_hours, site_series
@@ -133,3 +134,61 @@ def test_mirror_replaces_only_its_dates(spark, tmp_path):
     assert dict(back.dtypes)["date"] == "string"
     done = {tuple(r) for r in snapshots.done_dates(spark, copy).collect()}
     assert done == {(s.site, d) for s in SITES for d in ("20240101", "20240102")}
+
+
+def test_base_below_a_folder_of_digits(spark, tmp_path):
+    root = tmp_path / "20231231" / "ldaps"
+    tree(root, "2024-01-01 00:00", "2024-01-01 02:00")
+    (root / "notes").mkdir()
+    put(root, stamp("2024-01-01 03:00"), hour_cells(stamp("2024-01-01 03:00")), folder="notes")
+    for name in (str(root), f"file:{root}", f"file://{root}/"):
+        listed = snapshots.list_snapshots(spark, name).collect()
+        assert [r.folder_date for r in listed] == ["20240101"] * 3
+        assert {r.status for r in listed} == {"ok"}
+        assert snapshots.scan_snapshots(spark, name).count() == 3 * 7
+
+
+def test_hours_that_a_zone_skips(spark, tmp_path):
+    root, zone = tmp_path / "grid", spark.conf.get("spark.sql.session.timeZone")
+    hours = tree(root, "2024-03-10 00:00", "2024-03-10 04:00")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+        cells = snapshots.scan_snapshots(spark, str(root)).select("time").distinct().collect()
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+    assert sorted(r.time for r in cells) == [h.to_pydatetime() for h in hours]
+
+
+def test_damaged_page_fails(spark, tmp_path):
+    at = stamp("2024-01-01 00:00")
+    cells = pd.concat([hour_cells(at)] * 2000, ignore_index=True)
+    path = put(tmp_path, at, cells)
+    data = bytearray(path.read_bytes())
+    data[200:4000] = bytes(3800)
+    path.write_bytes(bytes(data))
+    with pytest.raises(Exception):
+        snapshots.scan_snapshots(spark, str(tmp_path)).agg({"pmsl": "max", "latitude": "max"}).collect()
+
+
+def test_file_that_cannot_be_opened_fails(spark, tmp_path):
+    tree(tmp_path, "2024-01-01 00:00", "2024-01-01 02:00")
+    listed = snapshots.list_snapshots(spark, str(tmp_path))
+    odd = listed.withColumn("path", F.regexp_replace("path", "^file:", "unknownfs://x"))
+    with pytest.raises(Exception):
+        snapshots.expected_hours(odd).collect()
+
+
+def test_rejects_name_unreadable_files(spark, edge_tree):
+    root, *_ = edge_tree
+    found = {r.path.rsplit("/", 1)[1]: r.status for r in snapshots.rejected_snapshots(spark, root, True).collect()}
+    assert found == {
+        "not-a-time.parquet": "bad_name",
+        "2024-01-02_05_00_00.parquet": "wrong_folder",
+        "2024-01-02_07_00_00.parquet": "unreadable",
+    }
+
+
+def test_hours_of_the_series_stay(spark):
+    series = spark.sql("select 'a' as site, timestamp_ntz'2024-01-01 00:00:00' as time, 1.0D as x")
+    expected = spark.sql("select 'a' as site, timestamp_ntz'2024-01-01 01:00:00' as time")
+    assert {r.x for r in restore_hours(series, expected).collect()} == {1.0, None}

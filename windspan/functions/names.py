@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -10,7 +13,7 @@ from pyspark.sql import functions as F
 # and folders may be written in key=value form.
 FOLDER_DATE = r"/(?:[^/=]+=)?([0-9]{8})/"
 SNAPSHOT_STEM = r"/(?:[^/=]+=)?([^/=]+)\.parquet(?:/[^/]*)?$"
-STEM_TIME = "yyyy-MM-dd_HH_mm_ss"
+STEM_PARTS = r"^([0-9]{4})-([0-9]{2})-([0-9]{2})_([0-9]{2})_([0-9]{2})_([0-5][0-9])$"
 
 
 def _c(c: Column | str) -> Column:
@@ -21,14 +24,27 @@ def file_stem(path: Column | str) -> Column:
     return F.regexp_extract(_c(path), SNAPSHOT_STEM, 1)
 
 
-def folder_date_text(path: Column | str) -> Column:
-    """The all-digits folder in a path, or an empty string."""
-    return F.regexp_extract(_c(path), FOLDER_DATE, 1)
+def below(path: Column | str, root: str) -> Column:
+    """What a path says after `root`, counted in folders, whatever the scheme and its spelling."""
+    bare = re.sub(r"^[A-Za-z][A-Za-z0-9+.-]*:(?://[^/]*)?", "", root)
+    if bare == root and not root.startswith("/"):
+        bare = os.path.abspath(root)
+    depth = len([part for part in bare.split("/") if part not in ("", ".")])
+    whole = r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?(?://[^/]*(?=/))?(?:/+[^/]+){%d}(/.*)$" % depth
+    return F.regexp_extract(_c(path), whole, 1)
+
+
+def folder_date_text(path: Column | str, root: str | None = None) -> Column:
+    """The all-digits folder in a path, or an empty string; with `root`, below it only."""
+    return F.regexp_extract(_c(path) if root is None else below(path, root), FOLDER_DATE, 1)
 
 
 def stem_time(stem: Column | str) -> Column:
-    """Event time held in a file stem; NULL if the name does not say one."""
-    return F.try_to_timestamp(_c(stem), F.lit(STEM_TIME)).cast("timestamp_ntz")
+    """Event time held in a file stem; NULL if the name does not say one.
+
+    Put together from its parts, so no session zone shifts it."""
+    parts = [F.regexp_extract(_c(stem), STEM_PARTS, i).try_cast("int") for i in range(1, 7)]
+    return F.try_make_timestamp_ntz(*parts)
 
 
 def stem_date_text(stem: Column | str) -> Column:

@@ -52,8 +52,8 @@ def site_hours(hours: DataFrame, sites: Sequence[Site], dated=True) -> DataFrame
 
 
 def restore_hours(series: DataFrame, expected: DataFrame) -> DataFrame:
-    """Give hours without a single matching cell a row of NULLs."""
-    return expected.select("site", "time").join(series, ["site", "time"], "left")
+    """Give hours without a single matching cell a row of NULLs. No hour of `series` goes."""
+    return expected.select("site", "time").join(series, ["site", "time"], "full")
 
 
 def capacity(df: DataFrame, sites: Sequence[Site], value="energy_kwh") -> DataFrame:
@@ -98,9 +98,10 @@ def weighted_mae(
 
 
 def bias(train: DataFrame, scored: DataFrame, y="energy_kwh", p="prediction") -> DataFrame:
-    """Mean of the training output less mean of the forecast, per site."""
+    """Mean of the training output less mean of the forecast, per site; NULL for a site with only
+    one of them."""
     actual = train.groupBy("site").agg(F.avg(y).alias("_actual"))
     forecast = scored.groupBy("site").agg(F.avg(p).alias("_forecast"))
-    return actual.join(forecast, "site").select(
+    return actual.join(forecast, "site", "full").select(
         "site", (F.col("_actual") - F.col("_forecast")).alias("bias")
     )

@@ -247,7 +247,7 @@ def _search_scores() -> str:
     from windspan.operators.search import SPACES, draw
 
     tries = []
-    for regime, n in (("high", 4), ("low", 3)):
+    for regime, n in (("high", 20), ("low", 7)):
         for i, d in enumerate(draw(SPACES["ridge"][regime], n)):
             tries.append(f"('{regime}', {i}, {d['alpha']!r}::double)")
     return f"""with folded as (
@@ -534,6 +534,13 @@ def oracle_sql() -> dict[str, str]:
             from (select distinct time from grid) h cross join sites s
               left join series r on r.site = s.site and r.time = h.time""",
         ),
+        "tree_rejects": _sql(
+            "grid",
+            """select distinct case when hour(time) % 7 = 1 then 'copy-of-' else '' end
+                || strftime(time, '%Y-%m-%d_%H_%M_%S') as stem,
+              case when hour(time) % 7 = 1 then 'bad_name' else 'wrong_folder' end as status
+            from grid where hour(time) % 7 < 2""",
+        ),
         "tree_dates": _sql("grid", "select distinct strftime(time, '%Y%m%d') as date from grid"),
         "mirror_copy": mirror,
         "mirror_resume": mirror,

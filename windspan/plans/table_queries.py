@@ -393,7 +393,7 @@ def path_parts(spark, d):
     return _paths(spark, d).select(
         "event_id",
         stem.alias("stem"),
-        folder_date_text("path").alias("folder_date"),
+        folder_date_text("path", "/root").alias("folder_date"),
         stem_date_text(stem).alias("name_date"),
     )
 
@@ -443,6 +443,34 @@ def tree_dates(spark, d):
     return snapshots.folder_dates(spark, _tree(spark, d))
 
 
+def tree_rejects(spark, d):
+    """Files of a tree in which some hours lie in another day's folder and some have no time in
+    their names, with the reason why they are left out."""
+    root = new_table_dir(spark, "tree")
+    hour = F.hour("time")
+    stem = F.date_format("time", "yyyy-MM-dd_HH_mm_ss")
+    (
+        v.grid(spark, d)
+        .withColumns(
+            {
+                "day": F.when(hour % 7 == 0, "19991231").otherwise(F.date_format("time", "yyyyMMdd")),
+                "hour_file": F.concat(
+                    F.when(hour % 7 == 1, F.concat(F.lit("copy-of-"), stem)).otherwise(stem),
+                    F.lit(".parquet"),
+                ),
+            }
+        )
+        .hint("rebalance", "day", "hour_file")
+        .write.partitionBy("day", "hour_file")
+        .parquet(root)
+    )
+    return (
+        snapshots.rejected_snapshots(spark, root, footers=True)
+        .select(file_stem("path").alias("stem"), "status")
+        .distinct()
+    )
+
+
 def schema_profile(spark, d):
     """Files of the grid tree and of the given tables by their columns."""
     files = snapshots.list_snapshots(spark, _tree(spark, d)).select("path")
@@ -552,7 +580,7 @@ def _tree_scores(kind):
     return query
 
 
-SEARCH_TRIES = SearchSettings(draws={"high": 4, "low": 3})
+SEARCH_TRIES = SearchSettings()  # 20 draws for the high regime, 7 for the low one
 
 
 def search_scores(spark, d):
@@ -719,6 +747,7 @@ QUERIES: dict[str, Query] = {
     "tree_scan": tree_scan,
     "tree_series": tree_series,
     "tree_dates": tree_dates,
+    "tree_rejects": tree_rejects,
     "schema_profile": schema_profile,
     "mirror_copy": mirror_copy,
     "mirror_resume": mirror_resume,

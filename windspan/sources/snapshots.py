@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from urllib.parse import quote
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -10,16 +11,22 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from windspan.functions.clock import date_between
-from windspan.functions.names import file_stem, folder_date_text, stem_date_text, stem_time
+from windspan.functions.names import (
+    below,
+    file_stem,
+    folder_date_text,
+    stem_date_text,
+    stem_time,
+)
 from windspan.operators.joins import cells_of_sites
 from windspan.sites import Site
 
 SAMPLE_PATHS = 5
 
 
-def _with_names(df: DataFrame, path: str) -> DataFrame:
+def _with_names(df: DataFrame, path: str, root: str) -> DataFrame:
     return df.withColumns(
-        {"folder_date": folder_date_text(path), "stem": file_stem(path)}
+        {"folder_date": folder_date_text(path, root), "stem": file_stem(path)}
     ).withColumn("time", stem_time("stem"))
 
 
@@ -44,7 +51,7 @@ def list_snapshots(
         .load(root)
         .select("path", "length")
     )
-    named = _in_range(_with_names(files, "path").filter(F.col("folder_date") != ""), start, end)
+    named = _in_range(_with_names(files, "path", root).filter(F.col("folder_date") != ""), start, end)
     return named.withColumn(
         "status",
         F.when(F.col("time").isNull(), "bad_name")
@@ -63,15 +70,26 @@ def folder_dates(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
-def rejected_snapshots(spark: SparkSession, root: str) -> DataFrame:
-    return list_snapshots(spark, root).filter(F.col("status") != "ok").select("path", "status")
+def rejected_snapshots(spark: SparkSession, root: str, footers: bool = False) -> DataFrame:
+    """Files left out and why; with `footers`, unreadable ones too, which opens every file."""
+    files = list_snapshots(spark, root)
+    named = files.filter(F.col("status") != "ok").select("path", "status")
+    if not footers:
+        return named
+    broken = snapshot_footers(files.filter(F.col("status") == "ok")).filter("not readable")
+    return named.unionByName(broken.select("path", F.lit("unreadable").alias("status")))
 
 
 def snapshot_footers(files: DataFrame) -> DataFrame:
-    """Read the footer of every listed file, on the executors: its columns and row count."""
+    """Read the footer of every listed file, on the executors: its columns and row count.
+
+    A file whose footer is no Parquet is unreadable. One that cannot be opened fails the job: it
+    may hold cells.
+    """
 
     # All inside, so that executors need not have this package installed.
     def footer(path: str):
+        import pyarrow as pa
         import pyarrow.parquet as pq
         from pyarrow import fs
 
@@ -83,24 +101,27 @@ def snapshot_footers(files: DataFrame) -> DataFrame:
             path = "file:///" + path[len("file:"):].lstrip("/")
         filesystem, inner = fs.FileSystem.from_uri(path)
         with filesystem.open_input_file(inner) as handle:
-            return pq.ParquetFile(handle).metadata
+            handle.read_at(1, 0)
+            try:
+                return pq.ParquetFile(handle).metadata
+            except OSError as broken:
+                if broken.errno:  # the system's, not the format's
+                    raise
+            except pa.ArrowInvalid:
+                pass
+            return None
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import pyarrow as pa
-
         for batch in batches:
-            signatures, counts, fine = [], [], []
+            signatures, counts = [], []
             for path in batch["path"]:
-                try:
-                    meta = footer(path)
-                    fields = meta.schema.to_arrow_schema()
-                    signatures.append(", ".join(f"{f.name}: {f.type}" for f in fields))
-                    counts.append(meta.num_rows)
-                    fine.append(True)
-                except (OSError, pa.ArrowException):
-                    signatures.append(None)
-                    counts.append(None)
-                    fine.append(False)
+                meta = footer(path)
+                fields = [] if meta is None else meta.schema.to_arrow_schema()
+                signatures.append(
+                    None if meta is None else ", ".join(f"{f.name}: {f.type}" for f in fields)
+                )
+                counts.append(None if meta is None else meta.num_rows)
+            fine = [n is not None for n in counts]
             yield batch.assign(
                 signature=signatures, num_rows=pd.array(counts, dtype="Int64"), readable=fine
             )
@@ -152,19 +173,32 @@ def scan_snapshots(
     Dates, names and the name/folder guard are tests on the file path, so Spark drops files by
     them before it opens any. Spark also repeats such tests on every row, so give the test on
     cells that drops most rows (`near_any_site`) as `where`: it comes first and is far cheaper.
-    Without a schema, the footers' schemas are merged.
+    Without a schema, the footers' schemas are merged. `skip_unreadable` leaves out files whose
+    footer is no Parquet, found first; a file that turns out damaged further on fails the job, as
+    half of its cells would give a wrong maximum.
     """
-    reader = (
-        spark.read.option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", "*.parquet")
-        .option("ignoreCorruptFiles", str(skip_unreadable).lower())
-    )
-    reader = reader.schema(schema) if schema else reader.option("mergeSchema", "true")
-    cells = reader.parquet(root)
+    reader = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet")
+    path = F.col("_metadata.file_path")
+    unreadable: list[str] = []
+    if skip_unreadable:
+        files = list_snapshots(spark, root, start, end).filter(F.col("status") != "bad_name")
+        bad = snapshot_footers(files).filter("not readable")
+        # Few files; as the scan may spell them, so that it drops them before it opens any.
+        tails = [r.tail for r in bad.select(below("path", root).alias("tail")).collect()]
+        unreadable = sorted({*tails, *map(quote, tails)})
+        if schema is None:
+            merging = reader.option("mergeSchema", "true").option("ignoreCorruptFiles", "true")
+            schema = merging.parquet(root).schema
+    cells = (
+        reader.option("ignoreCorruptFiles", "false").option("mergeSchema", "false").schema(schema)
+        if schema
+        else reader.option("mergeSchema", "true")
+    ).parquet(root)
+    if unreadable:
+        cells = cells.filter(~below(path, root).isin(unreadable))
     if where is not None:
         cells = cells.filter(where)
-    path = F.col("_metadata.file_path")
-    folder, stem = folder_date_text(path), file_stem(path)
+    folder, stem = folder_date_text(path, root), file_stem(path)
     wanted = (folder != "") & stem_time(stem).isNotNull()
     if same_date:
         wanted = wanted & (stem_date_text(stem) == folder)

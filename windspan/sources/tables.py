@@ -72,7 +72,7 @@ def read_series(spark: SparkSession, path: str, sites: Sequence[Site]) -> DataFr
     series = series.withColumn("site", F.col("site").cast("string"))
     wanted = sites_frame(spark, sites).select("site")
     absent = wanted.join(series.select("site").distinct(), "site", "left_anti")
-    names = [r.site for r in absent.take(10)]
+    names = [r.site for r in absent.collect()]  # no more than the site list
     if names:
         raise FileNotFoundError(f"no series at {path} for: {', '.join(sorted(names))}")
     return normalise_missing(series.filter(F.col("site").isin([s.site for s in sites])))

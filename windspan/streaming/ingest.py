@@ -26,13 +26,17 @@ def snapshot_stream(
     schema: T.StructType,
     files_per_batch: int = 10_000,
     where: Column | None = None,
+    skip_damaged: bool = False,
 ) -> DataFrame:
-    """Cells of new files; `where` is tested first, before the tests on the file path."""
+    """Cells of new files; `where` is tested first, before the tests on the file path.
+
+    A damaged file fails the batch, which can be repeated once the file is mended or gone.
+    `skip_damaged` takes in what can be read of such files instead, and nothing of it later."""
     cells = (
         spark.readStream.schema(schema)
         .option("recursiveFileLookup", "true")
         .option("pathGlobFilter", "*.parquet")
-        .option("ignoreCorruptFiles", "true")
+        .option("ignoreCorruptFiles", str(skip_damaged).lower())
         .option("maxFilesPerTrigger", files_per_batch)
         .parquet(root)
     )
@@ -40,7 +44,7 @@ def snapshot_stream(
         cells = cells.filter(where)
     path = F.col("_metadata.file_path")
     stem = file_stem(path)
-    return cells.filter(stem_date_text(stem) == folder_date_text(path)).select(
+    return cells.filter(stem_date_text(stem) == folder_date_text(path, root)).select(
         "*", stem_time(stem).alias("time")
     ).filter(F.col("time").isNotNull())
 
