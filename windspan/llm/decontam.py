@@ -38,6 +38,7 @@ UNITS = (
     "minutos hora horas dia dias semana semanas mes meses dollar dollars euro euros cent cents usd "
     "eur percent degrees k c f hz khz mhz ghz w kw mw v a pa bar j kj cal kcal mph kmh"
 ).split()
+BROADCAST_KEYS = 1_000_000  # documents of about 20 bytes
 BROADCAST_ROWS = 2_000_000  # benchmark windows of about 40 bytes; more are joined by a shuffle
 
 
@@ -125,6 +126,11 @@ def covered(places: Column, window: int) -> Column:
     )
 
 
+def _small(keys: DataFrame) -> DataFrame:
+    """`keys` of documents, marked for broadcast if counted as few; else Spark shuffles."""
+    return F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
+
+
 def _leaks(
     docs: DataFrame,
     items: DataFrame,
@@ -154,7 +160,9 @@ def _leaks(
     # The texts of documents that met an item, once more, now with values.
     keyed = rows.withColumnsRenamed({"doc_id": "d", "doc_key": "k"})
     same = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("doc_key") == F.col("k"))
-    found = with_templates(met.join(keyed.distinct(), same), "t", values=True)
+    those = _small(met.select("doc_id", "doc_key").distinct())
+    keyed = keyed.join(those, same, "left_semi").distinct()
+    found = with_templates(met.join(keyed, same), "t", values=True)
     found = found.join(
         parts.withColumnsRenamed({"item_id": "i", "item_key": "ik"}),
         F.col("item_id").eqNullSafe(F.col("i")) & (F.col("item_key") == F.col("ik")),
@@ -252,4 +260,4 @@ def clean(
         "bench-leaks",
     )
     same = docs[id].eqNullSafe(F.col("__id")) & (F.xxhash64(docs[text]) == F.col("__key"))
-    return docs.join(found, same, "left_anti")
+    return docs.join(_small(found), same, "left_anti")
