@@ -72,6 +72,23 @@ def test_tiles_stay_few():
     assert step < 2
 
 
+@pytest.mark.parametrize("n", [1, 64, 65, 5000])
+def test_filter_of_spread_out_sites_prunes(n):
+    boxes = [made_site(i, (i * 37) % 80, (i * 61) % 179, 0.01, 0.01).box for i in range(n)]
+    merged = selection.merged_boxes(boxes)
+    assert len(merged) == min(n, selection.BOX_TERMS)
+    for b in boxes:
+        assert any(m[0] <= b[0] and b[1] <= m[1] and m[2] <= b[2] and b[3] <= m[3] for m in merged)
+    area = sum((m[1] - m[0]) * (m[3] - m[2]) for m in merged)
+    assert area <= 80 * 179
+
+
+def test_merged_boxes_follow_clusters():
+    boxes = [made_site(i, 10.0 * (i % 50), i // 50 * 0.1, 0.01, 0.01).box for i in range(500)]
+    area = sum((m[1] - m[0]) * (m[3] - m[2]) for m in selection.merged_boxes(boxes))
+    assert area < 0.02 * 490 * 0.92
+
+
 def test_box_edges_are_inside(spark):
     df = spark.createDataFrame(
         [(1.0, 2.0), (0.5, 2.5), (0.49, 2.0)], "latitude double, longitude double"

@@ -162,9 +162,46 @@ def test_dual_model(data, kind):
 
 def test_empty_regime_uses_the_other_model(data):
     pdf, df = data
-    model = dual.fit_dual(df, FEATURES, 1e-6, "ridge", SMALL)
+    with pytest.raises(ValueError, match="0 in regime low"):
+        dual.fit_dual(df, FEATURES, 1e-6, "ridge", SMALL)
+    model = dual.fit_dual(df, FEATURES, 1e-6, "ridge", SMALL, other_for_empty=True)
     assert model.low is model.high
     made = model.score(df).toPandas()
     np.testing.assert_array_equal(made.p_low, made.p_high)
     with pytest.raises(ValueError, match="too few rows"):
         dual.fit_dual(df.filter("false"), FEATURES, 1.0, "ridge", SMALL)
+
+
+def test_small_regime_fails_where_there_is_a_choice(data):
+    pdf, df = data
+    cap = float(np.sort(pdf.energy_kwh)[2])  # two rows below, the rest above
+    with pytest.raises(ValueError, match="2 in regime low"):
+        dual.fit_dual(df, FEATURES, cap, "ridge", SMALL, share=1.0)
+    one = search.SearchSettings(
+        draws={HIGH: 1, "low": 1}, spaces={"ridge": {r: {"alpha": [1.0]} for r in (HIGH, "low")}}
+    )
+    model = dual.fit_dual(df, FEATURES, cap, "ridge", one, share=1.0)
+    assert model.counts == {"high": len(pdf) - 2, "low": 2} and model.low is not model.high
+
+
+def test_small_spread_beside_a_large_one():
+    rng = np.random.default_rng(4)
+    x = np.column_stack([rng.normal(0, 1e-3, 500), rng.normal(0, 2000, 500), np.full(500, 7.0)])
+    y = 1e6 * x[:, 0]
+    rows = np.column_stack([np.ones(500), x - x.mean(axis=0), y - y.mean()])
+    w, _ = search.solve_linear(rows.T @ rows, "elasticnet", 1e-9, 0.5)
+    assert w[0] == pytest.approx(1e6, rel=0.01) and w[2] == 0
+
+
+def test_sweeps_that_do_not_settle_fail():
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(50, 5))
+    x[:, 1] = x[:, 0] + 1e-3 * x[:, 1]
+    rows = np.column_stack([np.ones(50), x, x @ np.arange(5.0)])
+    with pytest.raises(ArithmeticError, match="did not settle"):
+        search.solve_linear(rows.T @ rows, "lasso", 1e-6, sweeps=3)
+
+
+def test_too_deep_trees_fail():
+    with pytest.raises(ValueError, match="31"):
+        models.tree_params(models.tree_estimator("rf"), {"n_estimators": 3, "max_depth": 31})

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import re
+from collections.abc import Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -57,6 +58,14 @@ def stem_tag(stem: Column | str) -> Column:
     return F.element_at(F.split(_c(stem), "_"), -1)
 
 
-def matched_tag(stem: Column | str, pattern: str | None = None) -> Column:
-    """Tag by `pattern` (its first group) where given, else the last part."""
-    return stem_tag(stem) if pattern is None else F.regexp_extract(_c(stem), pattern, 1)
+def matched_tag(
+    stem: Column | str, pattern: str | None = None, known: Sequence[str] = ()
+) -> Column:
+    """Tag by `pattern` (its first group) where given, else the last part of the stem that is a
+    `known` tag, else its last part."""
+    if pattern is not None:
+        return F.regexp_extract(_c(stem), pattern, 1)
+    if not known:
+        return stem_tag(stem)
+    parts = F.filter(F.split(_c(stem), "_"), lambda p: p.isin(list(known)))
+    return F.coalesce(F.try_element_at(parts, F.lit(-1)), stem_tag(stem))

@@ -54,11 +54,13 @@ def fit_dual(
     kind: str,
     settings: SearchSettings | None = None,
     share: float = HIGH_SHARE,
+    other_for_empty: bool = False,
 ) -> DualModel:
     """Fit one site's two models on rows with `site`, `time`, the features and the label.
 
-    Rows without a label belong to neither regime. A regime too small to be cut into folds
-    is served by the other one's model.
+    Rows without a label belong to neither regime. A regime without rows, or with fewer rows
+    than folds where there is more than one candidate, fails the fit; with `other_for_empty` the
+    other regime's model serves one without rows.
     """
     settings = settings or SearchSettings()
     check_kind(kind)
@@ -77,9 +79,10 @@ def fit_dual(
         "training",
     )
     counts = regime_rows(ready)
-    usable = usable_regimes(counts, settings)
-    if not usable:
-        raise ValueError(f"too few rows to train on: {counts}")
+    names = sorted(str(r.site) for r in ready.select("site").distinct().take(3))
+    usable = usable_regimes(
+        counts, kind, settings, f" of {', '.join(names)}" if names else "", other_for_empty
+    )
     found = search(ready, features, kind, usable, settings)
     high, low = found.get(HIGH), found.get(LOW)
     return DualModel(capacity, share, list(features), counts, high or low, low or high)

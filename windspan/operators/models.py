@@ -137,9 +137,11 @@ def tree_estimator(kind: str, label: str = LABEL, seed: int = SEED):
 def tree_params(estimator, drawn: dict) -> dict:
     """A drawn candidate as a Spark param map. Settings Spark trees do not have are left out."""
     boosted = isinstance(estimator, GBTRegressor)
+    if (drawn["max_depth"] or DEEPEST) > DEEPEST:
+        raise ValueError(f"trees are at most {DEEPEST} deep, not {drawn['max_depth']}")
     made = {
         estimator.maxIter if boosted else estimator.numTrees: int(drawn["n_estimators"]),
-        estimator.maxDepth: min(int(drawn["max_depth"] or DEEPEST), DEEPEST),
+        estimator.maxDepth: int(drawn["max_depth"] or DEEPEST),
     }
     leaf = drawn.get("min_samples_leaf", drawn.get("min_child_samples"))
     if leaf is not None:

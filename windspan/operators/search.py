@@ -258,7 +258,9 @@ def solve_linear(
         l1 = alpha * (1.0 if kind == "lasso" else l1_ratio)
         l2 = alpha - l1
         scale = np.diag(c) + l2
-        live = np.flatnonzero(np.diag(c) > 1e-12 * max(float(np.diag(c).max()), 1e-300))
+        # A feature that is constant here, against its own size about the overall mean.
+        own = np.diag(moments)[1:-1] / n
+        live = np.flatnonzero(np.diag(c) > 1e-12 * own)
         w = np.zeros(d)
         fit = np.zeros(d)
         for _ in range(sweeps):
@@ -273,6 +275,8 @@ def solve_linear(
                     w[j] = new
             if moved <= 1e-10 * np.sqrt(max(spread[-1, -1], 1e-300)):
                 break
+        else:
+            raise ArithmeticError(f"{kind} with alpha {alpha} did not settle in {sweeps} sweeps")
     return w, float(mean[-1] - w @ mean[:-1])
 
 
@@ -328,12 +332,15 @@ def search_linear(
 ) -> list[Chosen]:
     """Search both regimes together: one pass for means, one for moments, one for scores."""
     train = train.filter(F.col("regime").isin(list(regimes)))
+    drawn = {
+        r: draw(settings.space(kind, r), settings.n_draws(kind, r), settings.seed) for r in regimes
+    }
+    counts = regime_rows(train)
+    # With one candidate there is nothing to choose: fewer rows than folds will do.
+    scored = [r for r in regimes if len(drawn[r]) > 1 or counts[r] >= settings.folds]
     centre, moments = fold_moments(train, features)
-    drawn, weights = {}, {}
-    for regime in regimes:
-        drawn[regime] = draw(
-            settings.space(kind, regime), settings.n_draws(kind, regime), settings.seed
-        )
+    weights = {}
+    for regime in scored:
         everything = sum(moments[regime, f] for f in range(settings.folds))
         for f in range(settings.folds):
             fits = [
@@ -346,10 +353,13 @@ def search_linear(
                 np.column_stack([w for w, _ in fits]),
                 np.array([i for _, i in fits]),
             )
-    scores = linear_scores(train, features, weights, centre)
+    rows = train.filter(F.col("regime").isin(scored))
+    scores = linear_scores(rows, features, weights, centre) if scored else {}
 
     def refit(regime: str) -> Chosen:
-        mae = np.mean([scores[regime, f] for f in range(settings.folds)], axis=0)
+        mae = np.full(len(drawn[regime]), np.nan)
+        if regime in scored:
+            mae = np.mean([scores[regime, f] for f in range(settings.folds)], axis=0)
         best = int(np.argmin(mae))
         params = drawn[regime][best]
         model = fit_linear(
@@ -369,9 +379,26 @@ def regime_rows(train: DataFrame) -> dict[str, int]:
     return {r["regime"]: r["n"] for r in counts.collect()}
 
 
-def usable_regimes(counts: dict[str, int], settings: SearchSettings) -> list[str]:
-    """The regimes with a row for every fold."""
-    return [r for r in (HIGH, LOW) if counts.get(r, 0) >= settings.folds]
+def usable_regimes(
+    counts: dict[str, int],
+    kind: str,
+    settings: SearchSettings,
+    where: str = "",
+    other_for_empty: bool = False,
+) -> list[str]:
+    """The regimes to fit. An empty one raises unless the other one's model may stand in; one
+    with fewer rows than folds raises if there are candidates to choose from."""
+    usable = []
+    for r in (HIGH, LOW):
+        n = counts.get(r, 0)
+        if n == 0 and other_for_empty:
+            continue
+        if n == 0 or (n < settings.folds and settings.n_draws(kind, r) > 1):
+            raise ValueError(f"too few rows to train on: {n} in regime {r}{where}, counts {counts}")
+        usable.append(r)
+    if not usable:
+        raise ValueError(f"too few rows to train on{where}: {counts}")
+    return usable
 
 
 def search(

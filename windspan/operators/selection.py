@@ -10,8 +10,8 @@ from pyspark.sql import types as T
 
 from windspan.sites import Site
 
-# Past this many boxes, one box around them all prunes the scan instead of one term each.
-MAX_BOX_TERMS = 64
+# Terms of the scan's filter; near boxes are merged until there are no more.
+BOX_TERMS = 64
 
 # Columns a target file may carry that are of no use, and those of the target
 # that must not become features.
@@ -32,12 +32,38 @@ def in_box(box: tuple[float, float, float, float], lat="latitude", lon="longitud
     return F.expr(box_text(box, lat, lon))
 
 
+def merged_boxes(boxes: Sequence[tuple], terms: int = BOX_TERMS) -> list[tuple]:
+    """At most `terms` boxes that hold all of `boxes`: parted at the widest gap, along either
+    axis, as often as there are terms, so that none is drawn round boxes far from one another."""
+
+    def widest_gap(group: list[tuple]) -> tuple[float, list[tuple], list[tuple]]:
+        best = (-1.0, group, [])
+        for low in (0, 2):
+            ordered = sorted(group, key=lambda b: b[low])
+            reach = ordered[0][low + 1]
+            for i, box in enumerate(ordered[1:], 1):
+                if box[low] - reach > best[0]:
+                    best = (box[low] - reach, ordered[:i], ordered[i:])
+                reach = max(reach, box[low + 1])
+        if not best[2] and len(group) > 1:  # all overlap
+            return (-1.0, group[: len(group) // 2], group[len(group) // 2 :])
+        return best
+
+    parts = [widest_gap(list(boxes))]
+    while len(parts) < min(terms, len(boxes)):
+        first = max((p for p in parts if p[2]), key=lambda p: p[0])
+        parts.remove(first)
+        parts += [widest_gap(first[1]), widest_gap(first[2])]
+    groups = [one + other for _, one, other in parts]
+    return [
+        (min(b[0] for b in g), max(b[1] for b in g), min(b[2] for b in g), max(b[3] for b in g))
+        for g in groups
+    ]
+
+
 def near_any_site(sites: Sequence[Site], lat="latitude", lon="longitude") -> Column:
     """A literal test that reaches the Parquet scan and drops row groups far from all sites."""
-    boxes = [s.box for s in sites]
-    if len(boxes) > MAX_BOX_TERMS:
-        souths, norths, wests, easts = zip(*boxes)
-        boxes = [(min(souths), max(norths), min(wests), max(easts))]
+    boxes = merged_boxes([s.box for s in sites])
     return F.expr(" or ".join(box_text(b, lat, lon) for b in boxes))
 
 

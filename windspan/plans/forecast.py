@@ -143,6 +143,7 @@ class SiteForecast:
         target_pattern: str | None = None,
         mirror: bool = False,
         csv: bool = True,
+        other_for_empty: bool = False,
     ):
         check_sites(sites)
         if capacity_from not in ("all", "train"):
@@ -154,6 +155,7 @@ class SiteForecast:
         self.schema, self.settings, self.share = schema, settings or SearchSettings(), share
         self.calendar, self.capacity_from = calendar, capacity_from
         self.target_pattern, self.mirror, self.csv = target_pattern, mirror, csv
+        self.other_for_empty = other_for_empty
         self.series_path = f"{self.results}/series"
         self.models: dict[str, DualModel] = {}
 
@@ -205,7 +207,7 @@ class SiteForecast:
 
     def load_target(self) -> DataFrame:
         target = localise_target(
-            read_target(self.spark, self.target, self.target_pattern), self.sites
+            read_target(self.spark, self.target, self.target_pattern, self.sites), self.sites
         )
         path = f"{self.results}/target.parquet"
         write_target(target, path)
@@ -235,7 +237,9 @@ class SiteForecast:
             if self.capacity_from == "train":
                 cap = capacity(train, [s]).first().capacity
             known = self._known_columns(rows, columns)
-            model = fit_dual(train, known, cap, s.model_type, self.settings, self.share)
+            model = fit_dual(
+                train, known, cap, s.model_type, self.settings, self.share, self.other_for_empty
+            )
             self.models[s.site] = model
             return model.score(test).select(
                 "site",

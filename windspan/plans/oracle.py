@@ -207,7 +207,7 @@ _FORECAST = f"""with {_PLACED},
           avg(wind_speed) as mx, avg(energy_kwh) as my
         from regular join caps using (site)
         where day(time) % 2 = 1 and energy_kwh is not null
-        group by 1, 2 having count(*) >= 3)),
+        group by 1, 2)),
     scored as (
       select r.site, r.time, k.plant_name, k.capacity,
         h.my + h.w * (wind_speed - h.mx) as h, l.my + l.w * (wind_speed - l.mx) as l
@@ -277,7 +277,7 @@ _DUAL = """with cap as (select max(energy_kwh) * 1.05e0 as capacity from daily_a
       select energy_kwh >= 0.5e0 * capacity as is_high,
         covar_pop(n_orders, energy_kwh) / (var_pop(n_orders) + 2e0 / count(*)) as w,
         avg(n_orders) as mx, avg(energy_kwh) as my
-      from daily_all, cap where month(time) % 2 = 1 group by 1 having count(*) >= 3),
+      from daily_all, cap where month(time) % 2 = 1 group by 1),
     scored as (
       select d.site, d.time, h.my + h.w * (n_orders - h.mx) as h,
         l.my + l.w * (n_orders - l.mx) as l

@@ -587,7 +587,9 @@ def search_scores(spark, d):
     """Cross-validated error of each ridge candidate on one feature, per regime, and the best."""
     days = _days_with_regime(spark, d)
     ready = written(contiguous_folds(days, ["site", "regime"], 3), "training")
-    regimes = usable_regimes(regime_rows(ready), SEARCH_TRIES)
+    regimes = usable_regimes(
+        regime_rows(ready), "ridge", SEARCH_TRIES, other_for_empty=True
+    )
     found = search(ready, DAY_FEATURES, "ridge", regimes, SEARCH_TRIES)
     rows = [
         (regime_name, n, float(params["alpha"]), score, int(params is chosen.params))
@@ -623,7 +625,7 @@ def forest_search(spark, d):
     days = _days_with_regime(spark, d).withColumns(calendar_parts("time"))
     ready = written(contiguous_folds(days, ["site", "regime"], 3), "training")
     settings = SearchSettings(draws={"high": 3, "low": 3}, spaces=TREE_SPACE)
-    regimes = usable_regimes(regime_rows(ready), settings)
+    regimes = usable_regimes(regime_rows(ready), "rf", settings, other_for_empty=True)
     found = search(ready, DAY_CALENDAR, "rf", regimes, settings)
     rows = [
         (name, n, score) for name, c in found.items() for n, (_, score) in enumerate(c.tried)
@@ -638,7 +640,7 @@ def dual_model(spark, d):
     cap = agg.capacity_by_factor(days, DAY_FACTOR).first().capacity
     one = {"ridge": {r: {"alpha": [2.0]} for r in ("high", "low")}}
     settings = SearchSettings(draws={"high": 1, "low": 1}, spaces=one)
-    model = fit_dual(train, DAY_FEATURES, cap, "ridge", settings, HIGH_DAY_SHARE)
+    model = fit_dual(train, DAY_FEATURES, cap, "ridge", settings, HIGH_DAY_SHARE, other_for_empty=True)
     made = model.score(test).select("site", "time", "p_high", "p_low", "prediction")
     return rounded(made, "p_high", "p_low", "prediction", places=3)
 
@@ -669,7 +671,7 @@ def site_forecast(spark, d):
 
     def one(s):
         train, test = split_rows(rows.filter(F.col("site") == s.site), s.train_when, s.test_when)
-        model = fit_dual(train, ["wind_speed"], caps[s.site], s.model_type, ONE_NET)
+        model = fit_dual(train, ["wind_speed"], caps[s.site], s.model_type, ONE_NET, other_for_empty=True)
         return model.score(test).select(
             "site",
             "time",

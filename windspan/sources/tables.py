@@ -78,8 +78,13 @@ def read_series(spark: SparkSession, path: str, sites: Sequence[Site]) -> DataFr
     return normalise_missing(series.filter(F.col("site").isin([s.site for s in sites])))
 
 
-def read_target(spark: SparkSession, path: str, pattern: str | None = None) -> DataFrame:
-    """All target files, each row tagged by its file name; columns some files lack are NULL."""
+def read_target(
+    spark: SparkSession, path: str, pattern: str | None = None, sites: Sequence[Site] = ()
+) -> DataFrame:
+    """All target files, each row tagged by its file name; columns some files lack are NULL.
+
+    Without a pattern, the tag is the part of the name that is a tag of `sites`, be it
+    `wind_{tag}` or `{tag}_target`, else the last part."""
     allow_nanosecond_times(spark)
     raw = if_present(
         lambda: spark.read.option("mergeSchema", "true")
@@ -89,7 +94,8 @@ def read_target(spark: SparkSession, path: str, pattern: str | None = None) -> D
     )
     if raw is None:
         raise FileNotFoundError(f"no target files at {path}")
-    tag = matched_tag(file_stem("_metadata.file_path"), pattern)
+    known = [s.target_tag for s in sites]
+    tag = matched_tag(file_stem("_metadata.file_path"), pattern, known)
     kept = [F.col(f"`{c}`") for c in raw.columns if c not in (*TARGET_EXTRAS, "filename")]
     return normalise_missing(micros(raw.select(*kept, tag.alias("filename")), "end_datetime"))
 
