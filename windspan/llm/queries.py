@@ -16,6 +16,7 @@ from windspan.llm import (
     simhash,
     warc,
 )
+from windspan.llm.oracle import ORACLE_SQL as ORACLE_SQL
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -90,4 +91,3 @@ QUERIES = {
         op10_substrings,
     )
 }
-ORACLE_SQL: dict[str, str] = {}
