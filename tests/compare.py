@@ -24,6 +24,10 @@ def normal(df: pd.DataFrame) -> pd.DataFrame:
     for c in df.columns:
         if pd.api.types.is_datetime64_any_dtype(df[c]):
             df[c] = df[c].astype("datetime64[us]")
+        elif pd.api.types.is_integer_dtype(df[c]) and df[c].isna().any():
+            df[c] = df[c].astype("float64")  # as Spark's own conversion has it
+        elif df[c].isna().all():
+            df[c] = df[c].astype("float64")
     return df.sort_values(list(df.columns), ignore_index=True)
 
 
