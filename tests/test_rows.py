@@ -124,3 +124,19 @@ def test_duplicate_hour_fails(spark):
     )
     with pytest.raises(PySparkException, match="duplicate row for site"):
         on_spine(spark.createDataFrame(pd.concat([pdf, pdf.head(1)])), bounds).collect()
+
+
+def test_slots_follow_the_rows(spark):
+    """A million rows a second apart, a site of hours and one of few rows: no slot is large."""
+    dense = spark.range(1_000_000).selectExpr(
+        "'a' as site", "timestampadd(second, id, timestamp_ntz'2024-01-01 00:00:00') as time", "id"
+    )
+    hours = spark.range(300).selectExpr(
+        "'b' as site", "timestampadd(hour, id, timestamp_ntz'2024-01-01 00:00:00') as time", "id"
+    )
+    single = spark.sql("select 'c' as site, timestamp_ntz'2024-01-01 00:00:00' as time, 0L as id")
+    made = with_positions(dense.union(hours).union(single), ["site"]).persist()
+    assert made.filter("pos = id").count() == 1_000_301
+    largest = max(r["count"] for r in made.groupBy("site", "slot").count().collect())
+    assert largest <= 4096
+    made.unpersist()

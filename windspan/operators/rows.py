@@ -2,8 +2,8 @@
 
 A site may hold a third of all rows, so no window here runs over a site's rows. Time is cut
 into slots; rows are ordered within (site, slot), each slot is reduced to one row, and only
-those slot rows are ordered per site. With hourly rows a slot of 4,096 hours turns a century
-into 214 slot rows.
+those slot rows are ordered per site. The rows themselves settle how long a slot is: about 4,096
+rows of the densest site, be they hours or seconds apart.
 """
 
 from __future__ import annotations
@@ -15,18 +15,32 @@ from pyspark.sql import functions as F
 
 from windspan.functions.clock import epoch_seconds
 
-SLOT_SECONDS = 4096 * 3600
+SLOT_ROWS = 4096
+SLOT_SECONDS = SLOT_ROWS * 3600  # where no key has more than SLOT_ROWS rows
+
+
+def slot_width(df: DataFrame, keys: Sequence[str], time="time", rows: int = SLOT_ROWS) -> int:
+    """Seconds in which no key has more than `rows` rows, on average over its own time span."""
+    at = epoch_seconds(time)
+    spans = df.groupBy(*keys).agg(
+        F.count(at).alias("_n"), (F.max(at) - F.min(at) + 1).alias("_span")
+    )
+    width = F.min(F.when(F.col("_n") > rows, F.col("_span") * rows / F.col("_n")))
+    found = spans.agg(width.alias("width")).first().width
+    return SLOT_SECONDS if found is None else max(1, int(found))
 
 
 def with_positions(
-    df: DataFrame, keys: Sequence[str], time="time", slot_seconds: int = SLOT_SECONDS
+    df: DataFrame, keys: Sequence[str], time="time", slot_seconds: int | None = None
 ) -> DataFrame:
     """Add `slot`, `pos` (0-based row position in the key by time) and `n` (rows of the key).
 
-    `time` must be unique in a key; a duplicate fails the job. `df` is read twice, once for
-    its keys and times alone.
+    `time` must be unique in a key; a duplicate fails the job. `df` is read three times, twice for
+    its keys and times alone; once less if `slot_seconds` is given.
     """
     keys = list(keys)
+    if slot_seconds is None:
+        slot_seconds = slot_width(df, keys, time)
     by = ", ".join(f"`{k}`" for k in keys)
     slotted = df.withColumn("slot", F.floor(epoch_seconds(time) / slot_seconds))
     offsets = (
