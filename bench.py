@@ -24,8 +24,11 @@ HEADLINE = (
     "fold_id",
     "weighted_mae",
     "mirror_copy",
+    "tree_series",
+    "stream_ingest",
     "regular_rows",
     "search_scores",
+    "forest_search",
     "dual_model",
     "site_forecast",
 )
