@@ -105,3 +105,28 @@ def test_null_and_repeated_ids(spark, items):
     found = {(r.doc_id, r.item_id) for r in decontam.leaks(docs, items).collect()}
     assert found == {(None, None), (5, 1)}
     assert [r.text for r in decontam.clean(docs, items).collect()] == ["clean text under the same id"]
+
+
+def changed(spark, item, *texts):
+    items = spark.createDataFrame([(1, item)], "item_id long, text string")
+    return found(spark, items, *texts)
+
+
+def test_each_occurrence_by_itself(spark, items):
+    other = CHANGED.replace("7", "6").replace("345", "99")
+    stray = "Nobody knows why: a train leaves the city at 4 and travels 55 km to the sea."
+    longer = CHANGED.replace("Pedro on board", "Pedro Ruiz on board")
+    texts = (CHANGED + " " + other, stray + " " + FILLER * 9 + CHANGED, longer)
+    assert found(spark, items, *texts) == {(i, 1): "reparameterised" for i in range(3)}
+
+
+def test_item_that_repeats_its_template(spark):
+    item = "Now please add 3 apples to the big blue bowl. Now please add 5 apples to the big blue bowl."
+    text = item.replace("3", "7").replace("5", "8")
+    assert changed(spark, item, text) == {(0, 1): "reparameterised"}
+
+
+def test_units_in_other_number(spark):
+    item = "The baker rests the dough for 1 hour and then bakes it for 2 hours in the old oven."
+    text = item.replace("1 hour", "3 hours").replace("2 hours", "4 hours")
+    assert changed(spark, item, text) == {(0, 1): "reparameterised"}

@@ -2,10 +2,12 @@
 
 Texts become template tokens: lower-case words, with numbers, units after numbers and capitalised
 names within a sentence replaced by typed placeholders. Windows of `window` tokens are joined by
-hash; windows with few literal words are not looked for. For each document and item that meet, the
-placeholders' values in all matched windows must map one to one from the item's to the document's:
-then the item occurs, word for word or with other parameters. Windows with the same values count
-without that check.
+hash; windows with few literal words are not looked for. Each alignment at which a document and an
+item meet is an occurrence. The placeholders' values in its windows must map one to one from the
+item's to the document's, units without regard to number: then the item occurs, word for word or
+with other parameters. Where tokens were put in or left out, windows of alignments near it stand in
+for those that it lacks, as far as the values fit. Windows with the same values count without that
+check, and from all occurrences together.
 
 A document leaks an item if the windows that count cover `run` tokens of it, or half of it.
 
@@ -38,6 +40,11 @@ UNITS = (
     "minutos hora horas dia dias semana semanas mes meses dollar dollars euro euros cent cents usd "
     "eur percent degrees k c f hz khz mhz ghz w kw mw v a pa bar j kj cal kcal mph kmh"
 ).split()
+#: Units whose plural is another word than their singular, to it.
+SINGULARS = {
+    "inches": "inch", "feet": "foot", "sekunden": "sekunde", "stunden": "stunde", "tage": "tag",
+    "wochen": "woche", "monate": "monat", "jahre": "jahr", "meses": "mes",
+} | {u + "s": u for u in UNITS if len(u) > 1 and u + "s" in UNITS}
 BROADCAST_KEYS = 1_000_000  # documents of about 20 bytes
 BROADCAST_ROWS = 2_000_000  # benchmark windows of about 40 bytes; more are joined by a shuffle
 
@@ -92,27 +99,32 @@ def benchmark_windows(items: DataFrame, id: str, text: str, window: int, literal
     `literals` words."""
     items = (
         with_templates(items.select(F.col(id).alias("item_id"), F.col(text).alias("t")), "t", True)
-        .groupBy("item_id", "__template")  # equal texts of one id once
-        .agg(F.min("__values").alias("__values"))
+        .select("item_id", "__template", "__values")
+        .distinct()  # equal texts of one id once
+        .withColumn("item_key", F.xxhash64("__template", "__values"))
     )
     template = F.col("__template")
     literal = F.size(
         F.filter(F.slice(template, F.col("item_at") + 1, window), lambda t: ~t.startswith("<"))
     )
     windows = (
-        items.select("item_id", "__template", F.posexplode(_window_hashes(window)))
+        items.select("item_id", "item_key", "__template", F.posexplode(_window_hashes(window)))
         .withColumnsRenamed({"pos": "item_at", "col": "hash"})
         .filter(literal >= literals)
-        .select("item_id", F.xxhash64("__template").alias("item_key"), "item_at", "hash")
+        .select("item_id", "item_key", "item_at", "hash")
     )
     return windows, items.select(
         "item_id",
-        F.xxhash64("__template").alias("item_key"),
+        "item_key",
         F.col("__template").alias("item_template"),
         F.col("__values").alias("item_values"),
     )
 
 
+def _singulars() -> Column:
+    return F.create_map(*[F.lit(w) for pair in SINGULARS.items() for w in pair])
+
+
 def covered(places: Column, window: int) -> Column:
     """Tokens that windows at the sorted `places` cover."""
     return F.aggregate(
@@ -131,6 +143,79 @@ def _small(keys: DataFrame) -> DataFrame:
     return F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
 
 
+def _occurrences(found: DataFrame, n: Column) -> DataFrame:
+    """One row for each alignment `d` (place in the document less place in the item) with the
+    alignments `near` it and the document's tokens around it, from `low`."""
+    lines = F.array_sort("lines")
+
+    def occurrence(d: Column, k: Column) -> Column:
+        low = F.greatest(d - n, F.lit(0))
+        # Alignments differ, so those within n are within n places of the sorted ones.
+        near = F.filter(
+            F.slice(lines, F.greatest(k - n, F.lit(0)) + 1, 2 * n + 1),
+            lambda x: F.abs(x - d) <= n,
+        )
+        return F.struct(
+            d.alias("d"),
+            low.alias("low"),
+            near.alias("near"),
+            F.slice("__template", low + 1, 3 * n).alias("template"),
+            F.slice("__values", low + 1, 3 * n).alias("values"),
+        )
+
+    return found.select(
+        "doc_id",
+        "doc_key",
+        "item_id",
+        "item_key",
+        "item_template",
+        "item_values",
+        F.explode(F.transform(lines, occurrence)).alias("o"),
+    ).select("*", "o.*").drop("o")
+
+
+def _line(x: Column, d: Column) -> Column:
+    """Which item tokens the document repeats at alignment `x`, in kind or in value."""
+
+    def own(j: Column, name: str) -> Column:
+        return F.get(F.col(f"item_{name}"), j)
+
+    def other(j: Column, name: str) -> Column:
+        return F.get(F.col(name), x + j - F.col("low"))
+
+    def same(j: Column, name: str) -> Column:
+        return F.coalesce(own(j, name) == other(j, name), F.lit(False))
+
+    return F.struct(
+        F.abs(x - d).alias("far"),
+        x.alias("x"),
+        F.transform("tokens", lambda j: same(j, "template") | same(j, "values")).alias("equal"),
+        F.transform("tokens", lambda j: same(j, "values")).alias("same"),
+    )
+
+
+def _slots(place: Column, window: int) -> Column:
+    """(kind, a, b): the parameters in a window, in the item and in the document."""
+
+    def slot(j: Column) -> Column:
+        at = place["at"] + j
+        kind = F.get(F.col("item_template"), at)
+
+        def value(v: Column) -> Column:
+            return F.when(kind == "<unit>", F.coalesce(F.element_at(_singulars(), v), v)).otherwise(v)
+
+        return F.struct(
+            kind.alias("kind"),
+            value(F.get(F.col("item_values"), at)).alias("a"),
+            value(F.get(F.col("values"), place["x"] + at - F.col("low"))).alias("b"),
+        )
+
+    return F.filter(
+        F.transform(F.sequence(F.lit(0), F.lit(window - 1)), slot),
+        lambda s: s["kind"].startswith("<"),
+    )
+
+
 def _leaks(
     docs: DataFrame,
     items: DataFrame,
@@ -142,7 +227,8 @@ def _leaks(
     run: int,
 ) -> DataFrame:
     """(doc_key, doc_id, item_id, ...) by document text: the key is id and text."""
-    windows, parts = benchmark_windows(items, item, item_text, window, (window + 1) // 2)
+    literals = (window + 1) // 2
+    windows, parts = benchmark_windows(items, item, item_text, window, literals)
     windows, parts = written(windows, "bench-windows"), written(parts, "bench-items")
     if windows.count() <= BROADCAST_ROWS:
         windows = F.broadcast(windows)
@@ -154,7 +240,7 @@ def _leaks(
         .select("doc_id", "doc_key", F.posexplode(_window_hashes(window)).alias("doc_at", "hash"))
         .join(windows, "hash")
         .groupBy("doc_id", "doc_key", "item_id", "item_key")
-        .agg(F.collect_set(F.struct("item_at", "doc_at")).alias("places"))
+        .agg(F.collect_set(F.col("doc_at") - F.col("item_at")).alias("lines"))
     )
     met = written(met, "bench-met")
     # The texts of documents that met an item, once more, now with values.
@@ -167,31 +253,46 @@ def _leaks(
         parts.withColumnsRenamed({"item_id": "i", "item_key": "ik"}),
         F.col("item_id").eqNullSafe(F.col("i")) & (F.col("item_key") == F.col("ik")),
     )
-    own, other = F.col("item_template"), F.col("__template")
-
-    def slots(place: Column) -> Column:
-        return F.filter(
-            F.transform(
-                F.sequence(F.lit(0), F.lit(window - 1)),
-                lambda j: F.struct(
-                    F.get(own, place["item_at"] + j).alias("kind"),
-                    F.get(F.col("item_values"), place["item_at"] + j).alias("a"),
-                    F.get(F.col("__values"), place["doc_at"] + j).alias("b"),
-                ),
-            ),
-            lambda s: s["kind"].startswith("<"),
+    n = F.size("item_template")
+    near = _occurrences(found, n).withColumn("tokens", F.sequence(F.lit(0), n - 1))
+    lines = F.transform("near", lambda x: _line(x, F.col("d")))
+    near = near.withColumn("lines", F.array_sort(lines))  # the nearest first
+    starts = F.sequence(F.lit(0), n - window)
+
+    def whole(line: Column, part: str, at: Column) -> Column:
+        return F.forall(F.slice(line[part], at + 1, window), lambda e: e)
+
+    def place(at: Column) -> Column:
+        line = F.get(F.filter("lines", lambda x: whole(x, "equal", at)), F.lit(0))
+        literal = F.size(
+            F.filter(F.slice("item_template", at + 1, window), lambda t: ~t.startswith("<"))
+        )
+        return F.struct(
+            at.alias("at"),
+            line["far"].alias("far"),
+            line["x"].alias("x"),
+            (literal >= literals).alias("indexed"),
+            whole(line, "same", at).alias("same"),
         )
 
-    # A hash may lie: windows are equal token by token.
-    true = F.filter(
-        "places",
-        lambda p: F.slice(own, p["item_at"] + 1, window) == F.slice(other, p["doc_at"] + 1, window),
+    places = F.filter(F.transform(starts, place), lambda p: p["far"].isNotNull())
+    far = F.when(F.size("near") > 1, F.array(F.lit(0), F.lit(window), n)).otherwise(
+        F.array(F.lit(0))
     )
-    found = found.withColumn("places", true).withColumn(
-        "same_places",
-        F.filter("places", lambda p: F.forall(slots(p), lambda s: s["a"] == s["b"])),
+    chosen = (
+        near.withColumn("places", places)
+        .withColumn("far", F.explode(far))
+        .withColumn(
+            "places",
+            F.filter(
+                "places", lambda p: (p["far"] <= F.col("far")) & (p["indexed"] | p["same"])
+            ),
+        )
+        .withColumn(
+            "slots",
+            F.array_distinct(F.flatten(F.transform("places", lambda p: _slots(p, window)))),
+        )
     )
-    found = found.withColumn("slots", F.array_distinct(F.flatten(F.transform("places", slots))))
 
     def distinct_by(*names: str) -> Column:
         return F.size(
@@ -201,22 +302,34 @@ def _leaks(
     one_to_one = (distinct_by("kind", "a") == F.size("slots")) & (
         distinct_by("kind", "b") == F.size("slots")
     )
-
-    def at(places: str) -> Column:
-        starts = F.array_distinct(F.transform(places, lambda p: p["item_at"]))
-        return covered(F.array_sort(starts), window)
-
-    counted = found.select(
-        "doc_id",
-        "doc_key",
-        "item_id",
-        F.size("item_template").alias("item_tokens"),
-        at("same_places").alias("same"),
-        F.when(one_to_one, at("places")).otherwise(at("same_places")).alias("covered"),
+    ats = F.transform("places", lambda p: p["at"])
+    # Of this occurrence's own line; those of all occurrences are joined below.
+    same = F.transform(
+        F.filter("places", lambda p: p["same"] & (p["x"] == F.col("d"))), lambda p: p["at"]
+    )
+    of = ["doc_id", "doc_key", "item_id", "item_key"]
+    counted = (
+        chosen.select(
+            *of,
+            n.alias("item_tokens"),
+            same.alias("same"),
+            F.when(one_to_one, covered(ats, window)).otherwise(0).alias("covered"),
+        )
+        .groupBy(*of)
+        .agg(
+            F.max("item_tokens").alias("item_tokens"),
+            F.array_distinct(F.flatten(F.collect_set("same"))).alias("same"),
+            F.max("covered").alias("covered"),
+        )
+        .withColumn("same", covered(F.array_sort("same"), window))
     )
     enough = F.least(F.lit(run), F.ceil(F.col("item_tokens") / 2))
-    return counted.filter(F.col("covered") >= enough).withColumn(
-        "kind", F.when(F.col("same") >= F.col("covered"), "exact").otherwise("reparameterised")
+    return (
+        counted.withColumn("covered", F.greatest("same", "covered"))
+        .filter(F.col("covered") >= enough)
+        .withColumn(
+            "kind", F.when(F.col("same") >= F.col("covered"), "exact").otherwise("reparameterised")
+        )
     )
 
 
