@@ -130,3 +130,28 @@ def test_units_in_other_number(spark):
     item = "The baker rests the dough for 1 hour and then bakes it for 2 hours in the old oven."
     text = item.replace("1 hour", "3 hours").replace("2 hours", "4 hours")
     assert changed(spark, item, text) == {(0, 1): "reparameterised"}
+
+
+@pytest.mark.parametrize(
+    "item",
+    [
+        "What is 12 + 45 + 78?",
+        "Add 12 34 56 78 90 11 22 33 44 55",
+        "Der Hund von Hans und Grete jagt Katze Maus Igel Fuchs Dachs Biber am Bach",
+        "小明有三个苹果他又买了五个苹果请问他一共有多少个苹果",
+        "แม่ซื้อส้มสามผลและกล้วยห้าผลรวมกันได้กี่ผล",
+    ],
+)
+def test_word_for_word_whatever_the_words(spark, item):
+    texts = [FILLER + f"{t} " + FILLER for t in (item, item.lower(), item.title())]
+    texts.append("这是" + item + "吗")
+    wanted = {(i, 1): "exact" for i in range(3 + (item[0] > "z"))}
+    got = changed(spark, item, *texts)
+    assert {k: v for k, v in got.items() if k in wanted} == wanted
+    assert changed(spark, item, FILLER * 9) == {}
+
+
+def test_copies_in_other_case(spark, items):
+    plain = QUESTION.replace(".", "")
+    texts = (QUESTION.lower(), QUESTION.title(), QUESTION.upper(), plain)
+    assert found(spark, items, *texts) == {(i, 1): "exact" for i in range(4)}

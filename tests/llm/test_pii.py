@@ -96,3 +96,33 @@ def test_tables(documents, clashing, empty):
     assert pii.pseudonymised(empty, KEY).count() == 0
     with pytest.raises(ValueError):
         pii.pseudonymised(documents, b"short")
+
+
+JWT = "eyJhbGciOiJIUzI1NiJ9." + "aB3" * 400 + ".x_-Y"
+
+
+@pytest.mark.parametrize(
+    "kind, value, behind",
+    [
+        ("iban", "AT61 1904 3002 3457 3201", " BIC"),
+        ("iban", "BE68 5390 0754 7034", " EUR"),
+        ("iban", "ES91 2100 0418 4502 0005 1332", " 2024"),
+        ("iban", "DE89 3704 0044 0532 0130 00", " EUR 2024"),
+        ("date", "2024-01-31", "T12:00:00Z"),
+        ("date", "2024-01-31", "T120000"),
+        ("secret", JWT, "'"),
+        ("secret", "c2VjcmV0IHZhbHVlcw==", "'"),
+    ],
+)
+def test_values_with_something_behind(kind, value, behind):
+    before = "token = '" if kind == "secret" else "On "
+    there, back = pii.Pseudonyms(KEY), pii.Pseudonyms(KEY, restore=True)
+    changed, kinds = there.apply(before + value + behind)
+    assert kinds == [kind] and value not in changed
+    assert changed.startswith(before) and changed.endswith(behind)
+    assert len(changed) == len(before + value + behind)
+    assert back.apply(changed)[0] == before + value + behind
+
+
+def test_value_within_a_match_that_fails():
+    assert pii.Pseudonyms(KEY).apply("AB12 4111 1111 1111 1111")[1] == ["card"]

@@ -2,18 +2,20 @@
 
 Texts become template tokens: lower-case words, with numbers, units after numbers and capitalised
 names within a sentence replaced by typed placeholders. Windows of `window` tokens are joined by
-hash; windows with few literal words are not looked for. Each alignment at which a document and an
+hash, and so are windows of the lower-case words themselves: those find copies with few literal words
+or in other upper and lower case. Of scripts without blanks each letter is a token. Each alignment at which a document and an
 item meet is an occurrence. The placeholders' values in its windows must map one to one from the
 item's to the document's, units without regard to number: then the item occurs, word for word or
 with other parameters. Where tokens were put in or left out, windows of alignments near it stand in
 for those that it lacks, as far as the values fit. Windows with the same values count without that
-check, and from all occurrences together.
+check, and from all occurrences together. An item under `window` tokens is one window, and found word
+for word only.
 
 A document leaks an item if the windows that count cover `run` tokens of it, or half of it.
 
 Defined results
     null or empty text          leaks nothing
-    items under `window` tokens are never found
+    items without a token       are never found
     null ids                    are ids
     repeated rows or items      one row for each pair of ids
     one id with several texts   the text that covers most counts
@@ -27,7 +29,15 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from windspan.session import written
 
-TOKEN = r"\p{L}[\p{L}\p{M}]*|[0-9]+(?:[.,:][0-9]+)*|[.!?]"
+#: Scripts without blanks between words, of which each letter is a token.
+UNSPACED = "".join(
+    rf"\p{{Is{k}}}" for k in ("Han", "Hiragana", "Katakana", "Thai", "Lao", "Khmer", "Myanmar")
+)
+SPACED = rf"[\p{{L}}&&[^{UNSPACED}]]"
+TOKEN = (
+    rf"{SPACED}(?:{SPACED}|\p{{M}})*|[\p{{L}}&&[{UNSPACED}]]\p{{M}}*"
+    r"|[0-9]+(?:[.,:][0-9]+)*|[.!?]"
+)
 ENDS = (".", "!", "?")
 #: Units after numbers, in English, French, German and Spanish.
 UNITS = (
@@ -70,49 +80,80 @@ def _template(raw: Column, token: Column, i: Column) -> Column:
     )
 
 
-def with_templates(df: DataFrame, text: str, values: bool) -> DataFrame:
-    """`df` with __template and, if asked for, the parallel lower-case __values."""
+def with_templates(df: DataFrame, text: str) -> DataFrame:
+    """`df` with __template and the parallel lower-case __values."""
     df = df.withColumn("__raw", raw_tokens(F.col(text)))
     raw = F.col("__raw")
     templates = F.transform(raw, lambda t, i: _template(raw, t, i))
     df = df.withColumn("__template", F.filter(templates, lambda t: t.isNotNull()))
-    if values:
-        kept = F.filter(raw, lambda t: ~t.isin(*ENDS))
-        df = df.withColumn("__values", F.transform(kept, F.lower))
-    return df.drop("__raw")
+    kept = F.filter(raw, lambda t: ~t.isin(*ENDS))
+    return df.withColumn("__values", F.transform(kept, F.lower)).drop("__raw")
 
 
-def _starts(window: int) -> Column:
-    n = F.size("__template")
+def _starts(tokens: Column, window: int) -> Column:
+    n = F.size(tokens)
     return F.when(n >= window, F.sequence(F.lit(0), n - window)).otherwise(
         F.array().cast("array<int>")
     )
 
 
-def _window_hashes(window: int) -> Column:
-    template = F.col("__template")
-    return F.transform(_starts(window), lambda i: F.xxhash64(F.slice(template, i + 1, window)))
+def _windows(tokens: Column, window: int) -> Column:
+    """(at, hash) of the windows of hashed tokens."""
+    return F.transform(
+        _starts(tokens, window),
+        lambda i: F.struct(i.alias("at"), F.xxhash64(F.slice(tokens, i + 1, window)).alias("hash")),
+    )
+
+
+def _template_windows(window: int) -> Column:
+    """(at, hash) of the windows of __kinds that differ from those of __plain."""
+    kinds, plain = F.col("__kinds"), F.col("__plain")
+    starts = F.filter(
+        _starts(kinds, window), lambda i: F.slice(kinds, i + 1, window) != F.slice(plain, i + 1, window)
+    )
+    return F.transform(
+        starts,
+        lambda i: F.struct(i.alias("at"), F.xxhash64(F.slice(kinds, i + 1, window)).alias("hash")),
+    )
+
+
+def with_hashes(df: DataFrame) -> DataFrame:
+    """`df` with the hashes of __template and __values, token by token."""
+    return df.withColumns(
+        {
+            "__kinds": F.transform("__template", lambda t: F.xxhash64(t)),
+            "__plain": F.transform("__values", lambda t: F.xxhash64(t)),
+        }
+    )
 
 
 def benchmark_windows(items: DataFrame, id: str, text: str, window: int, literals: int) -> DataFrame:
-    """(item_id, item_template, item_values) and the windows (item_id, item_at, hash) with at least
-    `literals` words."""
+    """The windows (item_id, item_at, hash), by template where that has at least `literals` words
+    and by lower-case words, and (item_id, item_template, item_values)."""
     items = (
-        with_templates(items.select(F.col(id).alias("item_id"), F.col(text).alias("t")), "t", True)
+        with_templates(items.select(F.col(id).alias("item_id"), F.col(text).alias("t")), "t")
         .select("item_id", "__template", "__values")
         .distinct()  # equal texts of one id once
         .withColumn("item_key", F.xxhash64("__template", "__values"))
     )
-    template = F.col("__template")
-    literal = F.size(
-        F.filter(F.slice(template, F.col("item_at") + 1, window), lambda t: ~t.startswith("<"))
+    hashed = with_hashes(items)
+    kinds, plain = F.col("__kinds"), F.col("__plain")
+    literal = F.transform("__template", lambda t: ~t.startswith("<"))
+    indexed = F.filter(
+        _windows(kinds, window),
+        lambda w: F.size(F.filter(F.slice(literal, w["at"] + 1, window), lambda t: t)) >= literals,
     )
-    windows = (
-        items.select("item_id", "item_key", "__template", F.posexplode(_window_hashes(window)))
-        .withColumnsRenamed({"pos": "item_at", "col": "hash"})
-        .filter(literal >= literals)
-        .select("item_id", "item_key", "item_at", "hash")
+    # Whatever the window holds, and whole items under a window: word for word.
+    short = F.filter(
+        F.array(F.struct(F.lit(0).alias("at"), F.xxhash64(plain).alias("hash"))),
+        lambda w: F.size(plain).between(1, window - 1),
     )
+    windows = hashed.select(
+        "item_id",
+        "item_key",
+        F.size(plain).alias("item_tokens"),
+        F.inline(F.concat(indexed, _windows(plain, window), short)),
+    ).withColumnRenamed("at", "item_at")
     return windows, items.select(
         "item_id",
         "item_key",
@@ -125,13 +166,13 @@ def _singulars() -> Column:
     return F.create_map(*[F.lit(w) for pair in SINGULARS.items() for w in pair])
 
 
-def covered(places: Column, window: int) -> Column:
+def covered(places: Column, window: Column) -> Column:
     """Tokens that windows at the sorted `places` cover."""
     return F.aggregate(
         places,
         F.struct(F.lit(0).alias("sum"), F.lit(-(1 << 30)).alias("end")),
         lambda acc, p: F.struct(
-            (acc["sum"] + F.least(F.lit(window), p + window - acc["end"])).alias("sum"),
+            (acc["sum"] + F.least(window, p + window - acc["end"])).alias("sum"),
             (p + window).alias("end"),
         ),
         lambda acc: acc["sum"],
@@ -194,7 +235,7 @@ def _line(x: Column, d: Column) -> Column:
     )
 
 
-def _slots(place: Column, window: int) -> Column:
+def _slots(place: Column, window: Column) -> Column:
     """(kind, a, b): the parameters in a window, in the item and in the document."""
 
     def slot(j: Column) -> Column:
@@ -211,7 +252,7 @@ def _slots(place: Column, window: int) -> Column:
         )
 
     return F.filter(
-        F.transform(F.sequence(F.lit(0), F.lit(window - 1)), slot),
+        F.transform(F.sequence(F.lit(0), window - 1), slot),
         lambda s: s["kind"].startswith("<"),
     )
 
@@ -230,14 +271,24 @@ def _leaks(
     literals = (window + 1) // 2
     windows, parts = benchmark_windows(items, item, item_text, window, literals)
     windows, parts = written(windows, "bench-windows"), written(parts, "bench-items")
+    short = windows.filter(F.col("item_tokens") < window).select("item_tokens").distinct()
+    sizes = sorted(r.item_tokens for r in short.collect())  # fewer than `window`
+    windows = windows.drop("item_tokens")
     if windows.count() <= BROADCAST_ROWS:
         windows = F.broadcast(windows)
     rows = docs.select(
         F.col(id).alias("doc_id"), F.xxhash64(F.col(text)).alias("doc_key"), F.col(text).alias("t")
     )
+    # Where no parameter stands in a window both hashes are one.
+    every = F.concat(*[_windows(F.col("__plain"), w) for w in sizes], _windows(F.col("__plain"), window))
     met = (
-        with_templates(rows, "t", values=False)
-        .select("doc_id", "doc_key", F.posexplode(_window_hashes(window)).alias("doc_at", "hash"))
+        with_hashes(with_templates(rows, "t"))
+        .select(
+            "doc_id",
+            "doc_key",
+            F.inline(F.concat(_template_windows(window), every)),
+        )
+        .withColumnRenamed("at", "doc_at")
         .join(windows, "hash")
         .groupBy("doc_id", "doc_key", "item_id", "item_key")
         .agg(F.collect_set(F.col("doc_at") - F.col("item_at")).alias("lines"))
@@ -248,19 +299,20 @@ def _leaks(
     same = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("doc_key") == F.col("k"))
     those = _small(met.select("doc_id", "doc_key").distinct())
     keyed = keyed.join(those, same, "left_semi").distinct()
-    found = with_templates(met.join(keyed, same), "t", values=True)
+    found = with_templates(met.join(keyed, same), "t")
     found = found.join(
         parts.withColumnsRenamed({"item_id": "i", "item_key": "ik"}),
         F.col("item_id").eqNullSafe(F.col("i")) & (F.col("item_key") == F.col("ik")),
     )
     n = F.size("item_template")
+    width = F.least(F.lit(window), n)
     near = _occurrences(found, n).withColumn("tokens", F.sequence(F.lit(0), n - 1))
     lines = F.transform("near", lambda x: _line(x, F.col("d")))
     near = near.withColumn("lines", F.array_sort(lines))  # the nearest first
-    starts = F.sequence(F.lit(0), n - window)
+    starts = F.sequence(F.lit(0), n - width)
 
     def whole(line: Column, part: str, at: Column) -> Column:
-        return F.forall(F.slice(line[part], at + 1, window), lambda e: e)
+        return F.forall(F.slice(line[part], at + 1, width), lambda e: e)
 
     def place(at: Column) -> Column:
         line = F.get(F.filter("lines", lambda x: whole(x, "equal", at)), F.lit(0))
@@ -271,7 +323,7 @@ def _leaks(
             at.alias("at"),
             line["far"].alias("far"),
             line["x"].alias("x"),
-            (literal >= literals).alias("indexed"),
+            ((literal >= literals) & (n >= window)).alias("indexed"),
             whole(line, "same", at).alias("same"),
         )
 
@@ -290,7 +342,7 @@ def _leaks(
         )
         .withColumn(
             "slots",
-            F.array_distinct(F.flatten(F.transform("places", lambda p: _slots(p, window)))),
+            F.array_distinct(F.flatten(F.transform("places", lambda p: _slots(p, width)))),
         )
     )
 
@@ -313,7 +365,7 @@ def _leaks(
             *of,
             n.alias("item_tokens"),
             same.alias("same"),
-            F.when(one_to_one, covered(ats, window)).otherwise(0).alias("covered"),
+            F.when(one_to_one, covered(ats, width)).otherwise(0).alias("covered"),
         )
         .groupBy(*of)
         .agg(
@@ -321,7 +373,7 @@ def _leaks(
             F.array_distinct(F.flatten(F.collect_set("same"))).alias("same"),
             F.max("covered").alias("covered"),
         )
-        .withColumn("same", covered(F.array_sort("same"), window))
+        .withColumn("same", covered(F.array_sort("same"), F.least(F.lit(window), F.col("item_tokens"))))
     )
     enough = F.least(F.lit(run), F.ceil(F.col("item_tokens") / 2))
     return (

@@ -225,14 +225,14 @@ KINDS: dict[str, tuple[str, Callable[[str, Permute], str | None]]] = {
     ),
     "secret": (
         r"(?i:(?:token|secret|api[_-]?key|password|passwd)\s{0,3}[=:]\s{0,3}[\"'])"
-        r"(?P<secret_value>[A-Za-z0-9+/_.-]{8,512})(?=[\"'])",
+        r"(?P<secret_value>[A-Za-z0-9+/_.-]{8,}={0,2})(?=[\"'])",
         _secret,
     ),
     "iban": (r"(?<![\w])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![\w])", _iban),
     "ip": (r"(?<![\w.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?!\.?\w)", _ip),
     "date": (
         r"(?<![\w./-])(?:[0-9]{4}(?P<date_s>[-/.])[0-9]{2}(?P=date_s)[0-9]{2}"
-        r"|[0-9]{2}(?P<date_t>[-/.])[0-9]{2}(?P=date_t)[0-9]{4})(?![\w/-])",
+        r"|[0-9]{2}(?P<date_t>[-/.])[0-9]{2}(?P=date_t)[0-9]{4})(?=T[0-9]{2}(?::?[0-9]{2})|(?![\w/-]))",
         _date,
     ),
     "ssn": (r"(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])", _ssn),
@@ -248,6 +248,31 @@ KINDS: dict[str, tuple[str, Callable[[str, Permute], str | None]]] = {
         _card,
     ),
 }
+# Letters of an IBAN by country; elsewhere all ends of a match are tried, the longest first.
+IBAN_SIZES = {
+    **dict.fromkeys("NO".split(), 15), **dict.fromkeys("BE".split(), 16),
+    **dict.fromkeys("DK FI FO GL NL".split(), 18), **dict.fromkeys("MK SI".split(), 19),
+    **dict.fromkeys("AT BA EE KZ LT LU XK".split(), 20), **dict.fromkeys("CH CR HR LI LV".split(), 21),
+    **dict.fromkeys("BG BH DE GB GE IE ME RS".split(), 22), **dict.fromkeys("AE GI IL".split(), 23),
+    **dict.fromkeys("AD CZ ES MD PK RO SA SE SK TN VA".split(), 24),
+    **dict.fromkeys("LY PT ST".split(), 25), **dict.fromkeys("IS TR".split(), 26),
+    **dict.fromkeys("FR GR IT MC MR SM".split(), 27), **dict.fromkeys("AL AZ CY DO GT HU LB PL".split(), 28),
+}
+
+
+def iban_ends(value: str) -> Iterator[str]:
+    """`value` and its beginnings that end before a blank or have the country's length."""
+    size, seen = IBAN_SIZES.get(value[:2]), 0
+    ends = [len(value)]
+    for i, c in enumerate(value):
+        if c == " " and seen >= 15 and size is None:
+            ends.append(i)
+        seen += c != " "
+        if seen == size and value[i + 1 : i + 2] in ("", " "):
+            ends = [i + 1, *ends]
+    return (value[:e] for e in (ends if size else sorted(ends, reverse=True)))
+
+
 FINDER = re.compile("|".join(f"(?P<{k}>{p})" for k, (p, _) in KINDS.items()))
 HINT = re.compile(r"[0-9@]|[=:]\s{0,3}[\"']")
 
@@ -269,15 +294,19 @@ class Pseudonyms:
         """The text with pseudonyms, and the kinds of the values replaced."""
         if not text or not HINT.search(text):
             return text, []
-        parts, kinds, at = [], [], 0
-        for m in FINDER.finditer(text):
+        parts, kinds, at, start = [], [], 0, 0
+        while m := FINDER.search(text, start):
             kind = m.lastgroup if m.lastgroup in KINDS else next(k for k in KINDS if m[k])
             a, b = m.span("secret_value" if kind == "secret" else 0)
-            made = self.of(kind, text[a:b])
-            if made is not None:
-                parts += [text[at:a], made]
-                kinds.append(kind)
-                at = b
+            tries = iban_ends(text[a:b]) if kind == "iban" else (text[a:b],)
+            for value in tries:
+                if (made := self.of(kind, value)) is not None:
+                    parts += [text[at:a], made]
+                    kinds.append(kind)
+                    at = start = a + len(value)
+                    break
+            else:
+                start = m.start() + 1  # a value may begin within
         return ("".join([*parts, text[at:]]), kinds) if kinds else (text, kinds)
 
 
