@@ -156,9 +156,136 @@ def _sharding(shards: int = 8, bits: int = 3, slices: int = 1024) -> str:
 
 SHARDS = _sharding()
 
+INTERACTIONS = f"""with recursive d as (
+    select doc_id, coalesce(lang, '') as part, coalesce(text, '') as t,
+      {WORDS.format("coalesce(text, '')")} as w,
+      min(doc_id) over (partition by coalesce(text, '')) as least
+    from documents),
+  l as (select doc_id, bool_or(quality = 1) as good, bool_or(toxic = 1) as toxic from labels group by doc_id),
+  f as (
+    select part, coalesce(good, false) as good, coalesce(toxic, false) as toxic,
+      (case when len(w) < 100 then 1 else 0 end)
+      + (case when 100 * len(list_distinct(w)) < 80 * len(w) then 2 else 0 end)
+      + (case when 100 * (length(t) - length(regexp_replace(t, '[A-Z]+', '', 'g'))) > 10 * length(t) then 4 else 0 end)
+      + (case when regexp_matches(t, '[#$%&*|]') then 8 else 0 end)
+      + (case when doc_id > least then 16 else 0 end) as mask
+    from d left join l using (doc_id)),
+  masks as (
+    select part, mask, count(*) as n, count(*) filter (where good) as good,
+      count(*) filter (where toxic) as toxic
+    from f group by part, mask),
+  orders as (
+    select '' as o
+    union all
+    select o || chr(65 + i::int) from orders, range(5) r(i) where not contains(o, chr(65 + i::int))),
+  steps as (
+    select o, s::int as step, 1 << (ascii(o[s]) - 65) as own,
+      list_sum(list_transform(range(1, s), lambda i: 1 << (ascii(o[i]) - 65))) as before
+    from orders, range(1, 6) q(s) where length(o) = 5),
+  counted as (
+    select part, o, step, any_value(own) as own,
+      sum(n) filter (where mask & coalesce(before, 0) = 0 and mask & own = 0) as kept,
+      sum(n) filter (where mask & coalesce(before, 0) = 0 and mask & own > 0) as removed,
+      sum(n) filter (where mask & coalesce(before, 0) > 0 and mask & own > 0) as redundant,
+      sum(n) filter (where mask = own) as unique_fails,
+      sum(good) filter (where mask & coalesce(before, 0) = 0 and mask & own > 0) as good_lost,
+      sum(toxic) filter (where mask & coalesce(before, 0) = 0 and mask & own > 0) as toxic_lost
+    from masks, steps group by part, o, step)
+  select part, o as filter_order, step,
+    {", ".join(f"coalesce({c}, 0)::bigint as {c}" for c in "kept removed redundant unique_fails good_lost toxic_lost".split())},
+    coalesce(sum(removed) over (partition by part, own), 0)::bigint as shapley
+  from counted"""
+
+DIVERGENCE = r"""with d as (
+    select row_number() over () as r, coalesce(lang, '') as lang, coalesce(source, '') as source,
+      regexp_extract_all(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') as terms
+    from documents),
+  t as (select r, lang, source, unnest(terms) as term from d),
+  kept as (
+    select lang, term, count(*) as n from t group by lang, term having count(distinct r) >= 3),
+  whole as (select lang, count(*) as v, sum(n) as total from kept group by lang),
+  g as (select distinct lang, source from d),
+  c as (
+    select lang, source, term, count(*) as n from t semi join kept using (lang, term)
+    group by lang, source, term),
+  sums as (select lang, source, sum(n) as total from c group by lang, source),
+  shares as (
+    select g.lang, g.source, k.term, coalesce(c.n, 0) as n,
+      1 + (1000000000 * (coalesce(c.n, 0) + 1)::hugeint) // (coalesce(s.total, 0) + w.v) as p,
+      1 + (1000000000 * (k.n + 1)::hugeint) // (w.total + w.v) as q
+    from g join kept k using (lang) join whole w using (lang) left join sums s using (lang, source)
+      left join c on c.lang = g.lang and c.source = g.source and c.term = k.term),
+  two as (
+    select a.lang, a.source, b.source as item, sum(((a.p - b.p) * (a.p - b.p)) // b.p) as value
+    from shares a join shares b on a.lang = b.lang and a.term = b.term and a.source <> b.source
+    group by a.lang, a.source, b.source),
+  pairs as (
+    select a.lang, a.source, b.source as item, coalesce(value, 0)::bigint as value
+    from g a join g b on a.lang = b.lang and a.source <> b.source
+      left join two on two.lang = a.lang and two.source = a.source and two.item = b.source),
+  terms as (
+    select lang, source, term as item, (((p - q) * (p - q)) // q)::bigint as value
+    from shares where n > 0 and p > q)
+  select lang, source, 'pair' as part, item, value,
+    row_number() over (partition by lang, source order by value desc, item)::int as rank from pairs
+  union all
+  select lang, source, 'term' as part, item, value,
+    row_number() over (partition by lang, source order by value desc, item)::int as rank from terms
+  qualify rank <= 200"""
+
+_SECRETS = (
+    # (kind, place, pattern, tested group, least characters)
+    (
+        "assign",
+        r"(?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]"
+        r"|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])[\"'']?\x20*[:=]\x20*[\"'']?([A-Za-z0-9+/_.=-]+)",
+        1,
+        12,
+    ),
+    ("access", "AKIA[A-Z0-9]+", 0, 18),
+    ("hex", "[0-9a-f]+", 0, 16),
+    ("pem", "-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 1),
+    ("jwt", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 0, 1),
+)
+
+
+def _matches(place: int, kind: str, pattern: str, group: int, least: int) -> str:
+    return f"""select doc_id, '{kind}' as kind, {place} as place, {least} as least,
+      generate_subscripts(parts, 1) as i, unnest(parts) as part, unnest(whole) as whole, unnest(tested) as tested
+    from (
+      select doc_id, string_split_regex(t, '{pattern}') as parts,
+        regexp_extract_all(t, '{pattern}') as whole,
+        regexp_extract_all(t, '{pattern}', {group}) as tested from d)"""
+
+
+SECRETS = f"""with d as (select doc_id, coalesce(text, '') as t from documents),
+  m as ({" union all ".join(_matches(i, *s) for i, s in enumerate(_SECRETS))}),
+  placed as (
+    select *, sum(length(part) + length(whole)) over (partition by doc_id, kind order by i) as stop
+    from m where whole is not null),
+  spans as (
+    select doc_id, kind, place, (stop - length(whole))::bigint as start,
+      kind || ':' || (stop - length(whole))::bigint || ':' || stop::bigint as span
+    from placed where length(tested) >= least),
+  found as (
+    select doc_id, count(*) filter (where kind = 'assign') as n_assign,
+      count(*) filter (where kind = 'access') as n_access, count(*) filter (where kind = 'hex') as n_hex,
+      string_agg(span, ',' order by start, place) filter (where place < 3) as base,
+      string_agg(span, ',' order by start, place) as spans
+    from spans group by doc_id)
+  select doc_id, coalesce(n_assign, 0)::bigint as n_assign, coalesce(n_access, 0)::bigint as n_access,
+    coalesce(n_hex, 0)::bigint as n_hex, sha256(coalesce(base, '')) as base_sha256,
+    coalesce(spans, '') as spans
+  from d left join found using (doc_id)"""
+
 ORACLE_SQL = {
     "op3_warc": WARC,
     "op4_sharding": SHARDS,
     "op6_mixing": MIX,
     "op10_substrings": SUBSTRINGS,
+    "op11_interactions": INTERACTIONS,
+    "op12_divergence": DIVERGENCE,
+    "op13_secrets": SECRETS,
 }

@@ -7,16 +7,20 @@ from pyspark.sql import DataFrame, SparkSession
 from windspan.llm import (
     decontam,
     digest,
+    divergence,
+    interactions,
     language,
     mixing,
     phrases,
     pii,
     quality,
+    secrets_ledger,
     sharding,
     simhash,
     warc,
 )
 from windspan.llm.oracle import ORACLE_SQL as ORACLE_SQL
+from windspan.session import new_table_dir
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -76,6 +80,22 @@ def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.strip_recurring(spark, _table(spark, sf_dir, "documents"), window=35)
 
 
+def op11_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = (_table(spark, sf_dir, t) for t in ("documents", "labels"))
+    return interactions.audit(docs, labels)
+
+
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(_table(spark, sf_dir, "documents"), least_docs=3, top=200)
+
+
+def op13_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A first scan: the ledger is new, so every blob is unseen."""
+    return secrets_ledger.scan(
+        _table(spark, sf_dir, "documents"), new_table_dir(spark, "secrets-ledger")
+    )
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -89,5 +109,8 @@ QUERIES = {
         op8_digest,
         op9_decontam,
         op10_substrings,
+        op11_interactions,
+        op12_divergence,
+        op13_secrets,
     )
 }
