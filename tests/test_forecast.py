@@ -15,7 +15,7 @@ from windspan.operators.selection import near_any_site
 from windspan.plans.forecast import SiteForecast, regular_features
 from windspan.plans.table_views import SITES
 from windspan.sources.tables import if_present
-from windspan.streaming.ingest import ingest, ingested, snapshot_stream
+from windspan.streaming.ingest import ingest, ingest_tree, ingested, snapshot_stream
 
 START, END = "2024-01-01 00:00", "2024-01-08 23:00"
 GAPS = ("2024-01-03 05:00:00", "2024-01-03 06:00:00", "2024-01-08 23:00:00")
@@ -177,3 +177,34 @@ def test_stream_equals_batch(spark, tmp_path):
     assert made.count() == 26 * 6
     assert made.select("site", "time").distinct().count() == 26 * 3
     assert take_in().count() == 26 * 6
+
+
+def test_stream_sets_damaged_files_aside(spark, tmp_path):
+    """No footer, damaged pages, a name without a time: none stops the others, none is half read."""
+    root = tmp_path / "grid"
+    places = [str(tmp_path / n) for n in ("mirror", "checkpoint", "quarantine")]
+    tree(root, "2024-01-01 00:00", "2024-01-01 05:00")
+    (root / "20240101" / "2024-01-01_06_00_00.parquet").write_bytes(b"no parquet")
+    pages = root / "20240101" / "2024-01-01_02_00_00.parquet"
+    data = bytearray(pages.read_bytes())
+    data[4:400] = b"\xff" * 396
+    pages.write_bytes(bytes(data))
+    (root / "20240101" / "notes.parquet").write_bytes(b"x")
+
+    def take_in():
+        ingest_tree(spark, str(root), RUN_SITES, *places, files_per_batch=4).awaitTermination()
+        return ingested(spark, places[0])
+
+    assert take_in().count() == 5 * 6
+    aside = spark.read.parquet(places[2]).collect()
+    assert sorted((r.path.rsplit("/", 1)[1], r.status) for r in aside) == [
+        ("2024-01-01_02_00_00.parquet", "unreadable"),
+        ("2024-01-01_06_00_00.parquet", "unreadable"),
+        ("notes.parquet", "bad_name"),
+    ]
+    # A later run takes new files only; a column that is new stays out of the older rows.
+    tree(root, "2024-01-01 07:00", "2024-01-01 08:00")
+    made = take_in()
+    assert made.count() == 7 * 6
+    assert made.select("site", "time").distinct().count() == 7 * 3
+    assert spark.read.parquet(places[2]).count() == 3

@@ -193,6 +193,24 @@ def test_small_spread_beside_a_large_one():
     assert w[0] == pytest.approx(1e6, rel=0.01) and w[2] == 0
 
 
+@pytest.mark.parametrize("kind,alpha,ratio", [("elasticnet", 0.3, 0.95), ("elasticnet", 1e-3, 0.5), ("lasso", 0.5, 1.0)])
+def test_features_that_nearly_repeat_each_other(kind, alpha, ratio):
+    """Sweeps crawl here; the optimum's own conditions must hold."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(60, 12)) * 10.0 ** rng.uniform(-2, 3, 12)
+    x[:, 3] = x[:, 2] * (1 + 1e-6 * rng.normal(size=60))
+    x[:, 4] = x[:, 2] ** 2
+    x[:, 5] = x[:, 0] + x[:, 1]
+    y = x @ rng.normal(size=12) + rng.normal(size=60)
+    rows = np.column_stack([np.ones(60), x - x.mean(axis=0), y - y.mean()])
+    w, _ = search.solve_linear(rows.T @ rows, kind, alpha, ratio)
+    l1, l2 = alpha * ratio if kind == "elasticnet" else alpha, alpha * (1 - ratio)
+    slope = (rows[:, 1:-1].T @ (rows[:, -1] - rows[:, 1:-1] @ w)) / 60 - l2 * w
+    room = 1e-6 * (x.std(axis=0) * y.std() + l1)
+    assert (np.abs(slope - l1 * np.sign(w)) <= room)[w != 0].all()
+    assert (np.abs(slope) <= l1 + room)[w == 0].all()
+
+
 def test_sweeps_that_do_not_settle_fail():
     rng = np.random.default_rng(4)
     x = rng.normal(size=(50, 5))

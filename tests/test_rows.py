@@ -42,6 +42,53 @@ def test_times_before_1970(spark):
     assert made.pos.tolist() == list(range(6))
 
 
+def test_positions_by_range(spark):
+    pdf = frame()
+    made = with_positions(spark.createDataFrame(pdf), ["site"]).toPandas()
+    for _, g in made.sort_values("time").groupby("site"):
+        assert g.pos.tolist() == list(range(len(g)))
+        assert (g.n == len(g)).all()
+    assert len(made) == len(pdf)
+
+
+def test_a_burst_and_one_far_row(spark):
+    """A million rows within one second and one row years off: ranges cut the burst."""
+    burst = spark.range(1_000_000).selectExpr(
+        "'a' as site", "timestampadd(microsecond, id, timestamp_ntz'2024-01-01 00:00:00') as time", "id"
+    )
+    far = spark.sql("select 'a' as site, timestamp_ntz'2034-01-01 00:00:00' as time, 1000000L as id")
+    made = with_positions(burst.union(far), ["site"]).persist()
+    assert made.filter("pos = id and n = 1000001").count() == 1_000_001
+    assert max(r["count"] for r in made.groupBy("site", "slot").count().collect()) <= 4096
+    made.unpersist()
+    folds = contiguous_folds(burst.union(far), ["site"], 3).groupBy("fold").count().collect()
+    assert {r.fold: r["count"] for r in folds} == {0: 333_334, 1: 333_334, 2: 333_333}
+    smooth = moving_average(burst.union(far).selectExpr("site", "time", "id + 0.0 as y"), "y", 3)
+    assert smooth.filter("y = 999998.0").count() == 1
+
+
+def test_no_window_over_a_site(spark):
+    """Windows run over one (key, time), or over one row for each key and range."""
+    df = spark.createDataFrame(frame())
+    plan = with_positions(df, ["site"])._jdf.queryExecution().optimizedPlan().toString()
+    assert "row_number" not in plan  # the rows are stored in order before that
+
+
+def test_rows_without_a_time(spark):
+    pdf = frame(sites=(("a", 20), ("b", 3)))
+    pdf.loc[4, "time"] = pd.NaT
+    made = with_positions(spark.createDataFrame(pdf), ["site"]).toPandas()
+    timed = made[made.time.notna()].sort_values("time")
+    for _, g in timed.groupby("site"):
+        assert g.pos.tolist() == list(range(len(g)))
+    assert made[made.time.isna()].pos.isna().all() and len(made) == len(pdf)
+
+
+def test_empty(spark):
+    df = spark.createDataFrame(frame()).limit(0)
+    assert with_positions(df, ["site"]).count() == 0
+
+
 def test_duplicate_position_key_fails(spark):
     pdf = frame()
     doubled = spark.createDataFrame(pd.concat([pdf, pdf.head(1)]))
@@ -76,7 +123,7 @@ def test_moving_average(spark, window, block):
         np.testing.assert_allclose(g.y, want, atol=1e-12)
 
 
-@pytest.mark.parametrize("slot_rows", [3, 50, 4096])
+@pytest.mark.parametrize("slot_rows", [3, 50, 4096, None])
 def test_interpolate_like_pandas(spark, slot_rows):
     rng = np.random.default_rng(5)
     pdf = frame(4)
@@ -84,7 +131,8 @@ def test_interpolate_like_pandas(spark, slot_rows):
     pdf["y"] = np.where(rng.random(len(pdf)) < 0.3, np.nan, pdf.y)
     pdf["empty"] = np.nan
     df = spark.createDataFrame(pdf).replace(float("nan"), None)
-    made = interpolate(df, ["y", "z", "empty"], slot_seconds=slot_rows * HOURS).toPandas()
+    by_clock = {"slot_seconds": slot_rows * HOURS} if slot_rows else {}
+    made = interpolate(df, ["y", "z", "empty"], **by_clock).toPandas()
     pdf = pdf.sort_values(["site", "time"], ignore_index=True)
     made = made.sort_values(["site", "time"], ignore_index=True)
     for c in ("y", "z", "empty"):

@@ -103,8 +103,9 @@ def test_cells_are_tested_before_paths(spark, tmp_path):
     df = snapshots.scan_snapshots(spark, str(tmp_path), where=near_any_site(SITES))
     assert df.count() == 4 * 6
     plan = df._jdf.queryExecution().executedPlan().toString()
-    condition = next(line for line in plan.splitlines() if "Filter" in line and "regexp" in line)
-    assert condition.index("latitude") < condition.index("regexp_extract")
+    # Paths are settled before the scan; the time is taken from them for cells near a site only.
+    assert not any("Filter" in line and "regexp" in line for line in plan.splitlines())
+    assert plan.index("regexp_extract") < plan.index("Filter")
     assert "latitude" in plan.split("PushedFilters")[1].split("ReadSchema")[0]
 
 
@@ -192,3 +193,74 @@ def test_hours_of_the_series_stay(spark):
     series = spark.sql("select 'a' as site, timestamp_ntz'2024-01-01 00:00:00' as time, 1.0D as x")
     expected = spark.sql("select 'a' as site, timestamp_ntz'2024-01-01 01:00:00' as time")
     assert {r.x for r in restore_hours(series, expected).collect()} == {1.0, None}
+
+
+def test_one_look_at_each_file(spark, edge_tree):
+    """Schema, hours, rejects, profile and scan from one catalogue: the rest of the tree may go."""
+    root, good, empty, extra = edge_tree
+    catalogue = snapshots.read_catalogue(spark, root, "2024-01-02", "2024-01-02")
+    assert catalogue.select("folder_date").distinct().collect() == [("20240102",)]
+    assert snapshots.united_schema(catalogue).fieldNames()[-2:] == ["gust", "note"]
+    statuses = {r.path.rsplit("/", 1)[1]: r.status for r in snapshots.rejects(catalogue).collect()}
+    assert statuses == {"not-a-time.parquet": "bad_name", "2024-01-02_07_00_00.parquet": "unreadable"}
+    assert snapshots.expected_hours(catalogue).count() == 4
+    profile = snapshots.schema_profile(catalogue).collect()
+    assert sorted(r.n_files for r in profile) == [1, 3]
+    cells = snapshots.scan_snapshots(spark, root, catalogue=catalogue, file="file")
+    read = {r.file for r in cells.select("file").distinct().collect()}
+    assert read == {f"/20240102/2024-01-02_{h:02}_00_00.parquet" for h in (3, 8, 10)}
+    assert len(cells.inputFiles()) == 4  # one file holds no rows
+
+
+def test_a_file_outside_the_dates_does_not_matter(spark, tmp_path):
+    root = tmp_path / "grid"
+    at = stamp("2024-01-02 03:00")
+    put(root, at, hour_cells(at))
+    other = stamp("2024-01-05 03:00")
+    put(root, other, hour_cells(other).assign(pmsl="text", wide=1))
+    cells = snapshots.scan_snapshots(spark, str(root), start="2024-01-01", end="2024-01-03")
+    assert "wide" not in cells.columns and dict(cells.dtypes)["pmsl"] == "double"
+    with pytest.raises(ValueError, match="pmsl: double, string"):
+        snapshots.scan_snapshots(spark, str(root))
+
+
+def test_names_with_special_characters(spark, tmp_path):
+    root = tmp_path / "gr id+[1]" / "하나{a,b}"
+    at = stamp("2024-01-02 03:00")
+    put(root, at, hour_cells(at))
+    cells = snapshots.scan_snapshots(spark, str(root), file="file")
+    assert {r.file for r in cells.collect()} == {"/20240102/2024-01-02_03_00_00.parquet"}
+
+
+def test_kinds_of_columns(spark, tmp_path):
+    root = tmp_path / "grid"
+    at = stamp("2024-01-02 03:00")
+    cells = hour_cells(at).assign(
+        small=pd.Series(range(7), dtype="uint32"),
+        kind=pd.Categorical(["x"] * 7),
+        nanos=pd.Timestamp("2024-01-01 00:00:00.000000001"),
+        micros=pd.Series([stamp("2024-01-01")] * 7, dtype="datetime64[us]"),
+    )
+    put(root, at, cells)
+    made = snapshots.scan_snapshots(spark, str(root))
+    kinds = dict(made.dtypes)
+    assert kinds["small"] == "bigint" and kinds["kind"] == "string" and kinds["micros"] == "timestamp_ntz"
+    assert "nanos" not in kinds
+    assert made.filter("small = 6 and kind = 'x'").count() == 1
+
+
+def test_whole_files(spark, edge_tree):
+    root, *_ = edge_tree
+    path = f"{root}/20240102/2024-01-02_03_00_00.parquet"
+    data = bytearray(open(path, "rb").read())
+    data[4:400] = b"\xff" * 396  # pages, not the footer
+    open(path, "wb").write(bytes(data))
+    found = snapshots.whole_files(snapshots.read_catalogue(spark, root)).collect()
+    assert {r.stem: (r.readable, r.whole) for r in found if r.status == "ok"} == {
+        "2024-01-02_03_00_00": (True, False),
+        "2024-01-02_07_00_00": (False, False),
+        "2024-01-02_08_00_00": (True, True),
+        "2024-01-02_09_00_00": (True, True),
+        "2024-01-02_10_00_00": (True, True),
+        "2024-01-03_04_00_00": (True, True),
+    }

@@ -4,6 +4,7 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
 from windspan.sites import DEFAULT_SITES
 from windspan.sources import tables
@@ -129,3 +130,69 @@ def test_forecast_round_trip(spark, tmp_path):
     path = str(tmp_path / "result.csv")
     tables.write_forecast(df, path)
     assert sorted(map(tuple, tables.read_forecast(spark, path).collect())) == sorted(map(tuple, df.collect()))
+
+
+NANOS = "spark.sql.legacy.parquet.nanosAsLong"
+
+
+def test_nanosecond_columns_leave_no_trace(spark, tmp_path):
+    """Target and features with nanosecond times, next to files without; the setting is as before."""
+    times = pd.date_range("1969-12-31 23:59:59.999999500", periods=3, freq="h")
+    put(
+        tmp_path / "target" / "wind_yangyang.parquet",
+        pd.DataFrame({"end_datetime": times, "energy_kwh": 1.0, "stamp": times.tz_localize("Asia/Seoul")}),
+    )
+    put(
+        tmp_path / "target" / "wind_gyeongju.parquet",
+        pd.DataFrame({"end_datetime": times.astype("datetime64[us]"), "energy_kwh": 2.0}),
+    )
+    before = spark.conf.get(NANOS)
+    target = tables.read_target(spark, str(tmp_path / "target"))
+    assert spark.conf.get(NANOS) == before
+    assert dict(target.dtypes)["stamp"] == "timestamp"
+    rows = target.filter("filename = 'yangyang'").orderBy("end_datetime").collect()
+    assert [r.end_datetime for r in rows] == list(times.floor("us").to_pydatetime())
+    assert target.count() == 6
+
+    cells = tmp_path / "features"
+    for s in DEFAULT_SITES:
+        put(cells / f"{s.short}.parquet", pd.DataFrame({"time": times, "stamp": times, "x": 1.0}))
+    made, _ = tables.read_features(spark, str(cells), DEFAULT_SITES)
+    assert spark.conf.get(NANOS) == before
+    assert dict(made.dtypes)["time"] == dict(made.dtypes)["stamp"] == "timestamp_ntz"
+
+
+def test_series_files(spark, tmp_path):
+    """One file a site as other tools write them, in one scan; a missing site is named."""
+    for s in DEFAULT_SITES[:2]:
+        times = pd.date_range("2024-05-01", periods=3, freq="h")
+        put(
+            tmp_path / f"{s.label}_test" / f"{s.label}_timeseries_MAX.parquet",
+            pd.DataFrame({"time": times, "pmsl": [1.0, float("nan"), 3.0], s.short: 1.0}),
+            preserve_index=False,
+        )
+    put(tmp_path / "x_test" / "x_timeseries_MAX.parquet", pd.DataFrame({"time": ["no time"]}))
+    with pytest.raises(FileNotFoundError, match=DEFAULT_SITES[2].site):
+        tables.read_series_files(spark, str(tmp_path), DEFAULT_SITES)
+    with pytest.raises(FileNotFoundError, match="gyeongju"):
+        tables.read_series_files(spark, str(tmp_path / "none"), DEFAULT_SITES)
+    made = tables.read_series_files(spark, str(tmp_path), DEFAULT_SITES[:2])
+    assert set(made.columns) == {"site", "time", "pmsl", "gy", "yd"}
+    assert dict(made.dtypes)["time"] == "timestamp_ntz"
+    counts = {r.site: (r.n, r.p) for r in made.groupBy("site").agg(
+        F.count("*").alias("n"), F.count("pmsl").alias("p")).collect()}
+    assert counts == {"gyeongju": (3, 2), "yeongdeok": (3, 2)}
+    last = made.filter("site = 'gyeongju'").orderBy("time").collect()[-1]
+    assert (last.time, last.pmsl, last.yd) == (dt.datetime(2024, 5, 1, 2), 3.0, None)
+
+
+def test_all_target_rows_are_kept(spark, tmp_path):
+    zoned = pd.date_range("2024-01-01", periods=2, freq="h", tz="Asia/Seoul").astype("datetime64[us, Asia/Seoul]")
+    for tag in ("gyeongju", "elsewhere"):
+        put(tmp_path / f"wind_{tag}.parquet", pd.DataFrame({"end_datetime": zoned, "energy_kwh": 1.0}))
+    target = tables.read_target(spark, str(tmp_path), sites=DEFAULT_SITES)
+    rows = tables.localise_target(target, DEFAULT_SITES, keep_unknown=True).collect()
+    assert sorted((r.filename, r.site, r.hour) for r in rows) == [
+        ("elsewhere", None, 0), ("elsewhere", None, 1), ("gyeongju", "gyeongju", 0), ("gyeongju", "gyeongju", 1)
+    ]
+    assert tables.localise_target(target, DEFAULT_SITES).count() == 2

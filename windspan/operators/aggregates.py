@@ -35,6 +35,11 @@ def site_series(cells: DataFrame, keys: Sequence[str] = ("site", "time")) -> Dat
 
 def site_hours(hours: DataFrame, sites: Sequence[Site], dated=True) -> DataFrame:
     """The hours each site should have: all of `hours`, or those within the site's dates."""
+    return for_sites(hours, sites, dated).select("time", "site")
+
+
+def for_sites(rows: DataFrame, sites: Sequence[Site], dated=True) -> DataFrame:
+    """Rows with a `time`, once for every site, or for every site within whose dates they are."""
     wanted = F.array(
         *[
             F.struct(
@@ -48,7 +53,7 @@ def site_hours(hours: DataFrame, sites: Sequence[Site], dated=True) -> DataFrame
     if dated:
         day = F.to_date("time")
         wanted = F.filter(wanted, lambda s: day.between(s["lo"], s["hi"]))
-    return hours.select("time", F.explode(F.transform(wanted, lambda s: s["site"])).alias("site"))
+    return rows.select("*", F.explode(F.transform(wanted, lambda s: s["site"])).alias("site"))
 
 
 def restore_hours(series: DataFrame, expected: DataFrame) -> DataFrame:

@@ -1,9 +1,10 @@
 """Row order inside a site without sorting a whole site in one task.
 
-A site may hold a third of all rows, so no window here runs over a site's rows. Time is cut
-into slots; rows are ordered within (site, slot), each slot is reduced to one row, and only
-those slot rows are ordered per site. The rows themselves settle how long a slot is: about 4,096
-rows of the densest site, be they hours or seconds apart.
+A site may hold a third of all rows, so no window here runs over a site's rows. Rows are dealt out by
+ranges of (key, time), whose bounds Spark samples from the rows themselves, so a burst of rows in one
+second is cut as finely as years of hours. In each range rows are counted off in order, and one row for
+each key and range carries the number of rows before it. What needs neighbours then works on blocks
+of SLOT_ROWS positions.
 """
 
 from __future__ import annotations
@@ -14,33 +15,65 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from windspan.functions.clock import epoch_seconds
+from windspan.operators.joins import attach_per_key
+from windspan.session import written
 
 SLOT_ROWS = 4096
-SLOT_SECONDS = SLOT_ROWS * 3600  # where no key has more than SLOT_ROWS rows
-
-
-def slot_width(df: DataFrame, keys: Sequence[str], time="time", rows: int = SLOT_ROWS) -> int:
-    """Seconds in which no key has more than `rows` rows, on average over its own time span."""
-    at = epoch_seconds(time)
-    spans = df.groupBy(*keys).agg(
-        F.count(at).alias("_n"), (F.max(at) - F.min(at) + 1).alias("_span")
-    )
-    width = F.min(F.when(F.col("_n") > rows, F.col("_span") * rows / F.col("_n")))
-    found = spans.agg(width.alias("width")).first().width
-    return SLOT_SECONDS if found is None else max(1, int(found))
 
 
 def with_positions(
     df: DataFrame, keys: Sequence[str], time="time", slot_seconds: int | None = None
 ) -> DataFrame:
-    """Add `slot`, `pos` (0-based row position in the key by time) and `n` (rows of the key).
+    """Add `pos` (0-based row position in the key by time), `n` (rows of the key) and `slot`, a
+    number that grows with `pos` and is shared by at most SLOT_ROWS rows of the key.
 
-    `time` must be unique in a key; a duplicate fails the job. `df` is read three times, twice for
-    its keys and times alone; once less if `slot_seconds` is given.
+    `time` must be unique in a key; a duplicate fails the job. Rows without a time get no position.
+    Where rows are known to be spread evenly, `slot_seconds` cuts slots of that length by the clock
+    instead, which needs no sorting by range.
     """
     keys = list(keys)
-    if slot_seconds is None:
-        slot_seconds = slot_width(df, keys, time)
+    if slot_seconds is not None:
+        return _by_clock(df, keys, time, slot_seconds)
+    by = ", ".join(f"`{k}`" for k in keys)
+    ends = [F.col(f"`{c}`") for c in (*keys, time)]
+    doubled = f"raise_error('duplicate row order key: {', '.join([*keys, time])}')"
+    # The window asks for the rows of one (key, time) together and in order; ranges give both.
+    counted = (
+        df.repartitionByRange(*ends)
+        .selectExpr("*", f"row_number() over (partition by {by}, `{time}` order by `{time}`) as _seen")
+        .withColumn("_at", F.monotonically_increasing_id())
+        .filter(f"if(_seen = 1, true, cast({doubled} as boolean))")
+        .withColumns(
+            {"_range": F.shiftright("_at", 33), "_at": F.col("_at").bitwiseAND((1 << 33) - 1)}
+        )
+        .drop("_seen")
+    )
+    # Stored, as another sampling would give other ranges.
+    ranged = written(counted, "ranges")
+    offsets = ranged.groupBy(*keys, "_range").agg(
+        F.count(F.lit(1)).alias("_rows"),
+        F.count(f"`{time}`").alias("_timed"),
+        F.min(F.expr(f"if(`{time}` is null, null, _at)")).alias("_first"),
+    )
+    offsets = offsets.selectExpr(
+        *[f"`{k}`" for k in keys],
+        "_range",
+        "_first",
+        f"""coalesce(sum(_timed) over (partition by {by} order by _range
+            rows between unbounded preceding and 1 preceding), 0) as _before""",
+        f"sum(_rows) over (partition by {by}) as n",
+    )
+    placed = attach_per_key(ranged, offsets, [*keys, "_range"], spread_by=["_at"])
+    return placed.selectExpr(
+        *[f"`{c}`" for c in df.columns],
+        f"if(`{time}` is null, null, _before + _at - _first) as pos",
+        "n",
+    ).selectExpr(*[f"`{c}`" for c in df.columns], f"pos div {SLOT_ROWS} as slot", "pos", "n")
+
+
+def _by_clock(df: DataFrame, keys: list[str], time: str, slot_seconds: int) -> DataFrame:
+    """Positions by slots of a fixed length: rows are ordered within a slot, and one row for each
+    slot carries the number of rows before it. `df` is read twice, once for its keys and times."""
     by = ", ".join(f"`{k}`" for k in keys)
     slotted = df.withColumn("slot", F.floor(epoch_seconds(time) / slot_seconds))
     offsets = (

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import DataFrame
@@ -27,6 +29,10 @@ from windspan.operators.models import (
 from windspan.session import side_by_side
 
 
+# Functions sent to executors carry their helpers, so the package need not be installed there.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+
 @dataclass(frozen=True)
 class Whole:
     """A whole number from low up to but excluding high."""
@@ -262,6 +268,45 @@ def _optimum(c, b, l1: float, l2: float, live, signs) -> np.ndarray | None:
     return w if signed and (met | within).all() else None
 
 
+def _searched_signs(c, b, l1: float, l2: float, live, w) -> np.ndarray:
+    """The signs of the optimum, by exact steps from one set of signs to the next.
+
+    For the present signs the optimum is a linear system. A step goes towards it, to the lowest point
+    among its end and the places where a weight passes zero; at an optimum for its signs, the zero
+    weight that pulls hardest is let in. The objective falls at each step, so no set returns.
+    """
+    s = np.sqrt(np.diag(c)[live])
+    q, bb = c[np.ix_(live, live)] / np.outer(s, s) + np.diag(l2 / s**2), b[live] / s
+    pull, now = l1 / s, w[live] * s
+    room = 1e-11 * max(np.abs(bb).max(initial=0.0), 1e-300)
+
+    def worth(x):
+        return 0.5 * x @ q @ x - bb @ x + pull @ np.abs(x)
+
+    for _ in range(100 * max(len(s), 1)):
+        slope, signs = q @ now - bb, np.sign(now)
+        if np.all(np.abs(slope + pull * signs)[signs != 0] <= room):
+            strain = np.where(signs == 0, np.abs(slope) - pull, -np.inf)
+            if strain.max(initial=-np.inf) <= room:
+                break
+            signs[strain.argmax()] = -np.sign(slope[strain.argmax()])
+        on = signs != 0
+        goal = np.zeros_like(now)
+        goal[on] = np.linalg.lstsq(q[np.ix_(on, on)], bb[on] - pull[on] * signs[on], rcond=None)[0]
+        ends = [goal]
+        for i in np.flatnonzero(now * goal < 0):
+            end = now + (goal - now) * now[i] / (now[i] - goal[i])
+            end[i] = 0.0
+            ends.append(end)
+        best = min(ends, key=worth)
+        if worth(best) >= worth(now):
+            break
+        now = best
+    found = np.zeros_like(w)
+    found[live] = np.sign(now)
+    return found
+
+
 def solve_linear(
     moments: np.ndarray, kind: str, alpha: float, l1_ratio: float = 0.5, sweeps: int = 5000
 ) -> tuple[np.ndarray, float]:
@@ -296,6 +341,9 @@ def solve_linear(
                 break
             if sweep % 50 == 0:
                 exact = _optimum(c, b, l1, l2, live, np.sign(w))
+                if exact is None:
+                    signs = _searched_signs(c, b, l1, l2, live, w)
+                    exact = _optimum(c, b, l1, l2, live, signs)
                 if exact is not None:
                     w = exact
                     break

@@ -6,9 +6,9 @@ earlier ones, and a run can start at the last stage that was reached.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -26,10 +26,10 @@ from windspan.operators.gaps import interpolate, on_spine, spine_bounds
 from windspan.operators.joins import (
     cells_of_sites,
     join_target,
-    pending_dates,
     with_site_columns,
 )
-from windspan.operators.models import PREDICTION
+from windspan.operators.many import LinearSite, fit_many
+from windspan.operators.models import LINEAR, PREDICTION
 from windspan.operators.rows import moving_average
 from windspan.operators.search import SearchSettings
 from windspan.operators.selection import (
@@ -41,21 +41,23 @@ from windspan.operators.selection import (
     split_rows,
 )
 from windspan.operators.unions import concat_fill
+from windspan.plans.stages import StageLog, listing_mark, mark
 from windspan.session import side_by_side, written
 from windspan.sites import DEFAULT_SITES, Site, check_sites
+from windspan.sources import mirror
 from windspan.sources.snapshots import (
-    done_dates,
     expected_hours,
     list_snapshots,
-    read_mirror,
+    read_catalogue,
     scan_snapshots,
-    write_mirror,
 )
 from windspan.sources.tables import (
     if_present,
+    list_files,
     localise_target,
     read_features,
     read_series,
+    read_series_files,
     read_target,
     write_by_site,
     write_features,
@@ -88,6 +90,17 @@ def features_of(series: DataFrame, target: DataFrame, sites: Sequence[Site]) ->
     return derived_features(joined)
 
 
+def rows_where(sites: Sequence[Site], field: str) -> Column:
+    """Rows that meet their own site's condition, `train_when` or `test_when`."""
+    by_text: dict[str, list[str]] = {}
+    for s in sites:
+        by_text.setdefault(getattr(s, field), []).append(s.site)
+    met = F.lit(False)
+    for text, names in by_text.items():
+        met = met | (F.col("site").isin(names) & F.expr(text))
+    return met
+
+
 def regular_features(
     features: DataFrame, sites: Sequence[Site], calendar: str = "time"
 ) -> DataFrame:
@@ -157,61 +170,54 @@ class SiteForecast:
         self.target_pattern, self.mirror, self.csv = target_pattern, mirror, csv
         self.other_for_empty = other_for_empty
         self.series_path = f"{self.results}/series"
-        self.models: dict[str, DualModel] = {}
+        self.stages = StageLog(spark, f"{self.results}/stages")
+        self.models: dict[str, DualModel | LinearSite] = {}
 
     # Stage 1: grid files to series.
     def refresh_mirror(self) -> str:
-        """Copy the cells of dates not copied yet, each site by its own dates."""
-        path = f"{self.results}/cells"
-        files = list_snapshots(self.spark, self.grid).filter(F.col("status") == "ok")
-        days = files.select(F.to_timestamp_ntz("folder_date", F.lit("yyyyMMdd")).alias("time")).distinct()
-        dates = site_hours(days, self.sites).select(
-            "site", F.date_format("time", "yyyyMMdd").alias("date")
-        )
-        copied = if_present(lambda: done_dates(self.spark, path))
-        if copied is not None:
-            dates = pending_dates(dates, copied)
-        todo = written(dates, "pending")
-        first, last = todo.agg(F.to_date(F.min("date"), "yyyyMMdd"), F.to_date(F.max("date"), "yyyyMMdd")).first()
-        if first is not None:
-            cells = scan_snapshots(
-                self.spark,
-                self.grid,
-                self.schema,
-                str(first),
-                str(last),
-                where=near_any_site(self.sites),
-            )
-            write_mirror(cells, self.sites, path, only=todo)
+        """Copy the cells of files not copied yet, late hours of copied dates among them."""
+        path = f"{self.results}/mirror"
+        mirror.refresh(self.spark, self.grid, self.sites, path, self.schema)
         return path
 
     def build_series(self) -> DataFrame:
+        inputs = self._series_inputs()
+        run = self.stages.begin("series", inputs)
         start = min(s.start_date for s in self.sites)
         end = max(s.end_date for s in self.sites)
-        hours = expected_hours(list_snapshots(self.spark, self.grid, start, end))
         if self.mirror:
-            cells = read_mirror(self.spark, self.refresh_mirror()).drop("date")
+            path = self.refresh_mirror()
+            cells = mirror.read_copied(self.spark, path).drop("date")
             series = restore_hours(
-                site_series(within_dates(cells, self.sites)), site_hours(hours, self.sites)
+                site_series(within_dates(cells, self.sites)), mirror.copied_hours(self.spark, path)
             )
         else:
+            files = read_catalogue(self.spark, self.grid, start, end)
             cells = scan_snapshots(
-                self.spark, self.grid, self.schema, start, end, where=near_any_site(self.sites)
+                self.spark, self.grid, self.schema, where=near_any_site(self.sites), catalogue=files
             )
-            series = series_of(cells, hours, self.sites)
+            series = series_of(cells, expected_hours(files), self.sites)
         write_series(series, self.series_path, f"{self.series_path}_csv" if self.csv else None)
+        self.stages.finish("series", inputs, run)
         return self.load_series()
 
     def load_series(self) -> DataFrame:
-        return read_series(self.spark, self.series_path, self.sites)
+        """The stored series, or else one file a site, as `{label}_test/{label}_timeseries_MAX.parquet`
+        among the results."""
+        if if_present(lambda: self.spark.read.parquet(self.series_path)) is not None:
+            return read_series(self.spark, self.series_path, self.sites)
+        return read_series_files(self.spark, self.results, self.sites)
 
     def load_target(self) -> DataFrame:
+        """Measured output of the sites. All target rows are stored, those of other tags without a
+        site."""
         target = localise_target(
-            read_target(self.spark, self.target, self.target_pattern, self.sites), self.sites
+            read_target(self.spark, self.target, self.target_pattern, self.sites), self.sites, True
         )
         path = f"{self.results}/target.parquet"
         write_target(target, path)
-        return self.spark.read.schema(target.schema).parquet(path)
+        stored = self.spark.read.schema(target.schema).parquet(path)
+        return stored.filter("site is not null")
 
     # Stage 2: series and target to regular features.
     def build_features(self, series: DataFrame, target: DataFrame) -> DataFrame:
@@ -219,41 +225,122 @@ class SiteForecast:
         regular = regular_features(joined, self.sites, self.calendar)
         path = f"{self.results}/mid_output"
         write_by_site(regular, path)
-        return self.spark.read.parquet(path).withColumn("site", F.col("site").cast("string"))
+        return self.load_features()
+
+    def load_features(self) -> DataFrame:
+        stored = self.spark.read.parquet(f"{self.results}/mid_output")
+        return stored.withColumn("site", F.col("site").cast("string"))
 
     def publish_features(self, features: DataFrame) -> None:
         """Store features where a later run with `use_processed_data` looks for them."""
         write_features(features, self.features, self.sites)
 
+    # What stages are made from.
+    def _series_inputs(self) -> str:
+        """The grid's files; or, where there is no grid, the stored series themselves."""
+        files = if_present(lambda: list_snapshots(self.spark, self.grid))
+        if files is None:
+            return "given"
+        return mark(listing_mark(files, self.grid), self.sites, self.schema and self.schema.json())
+
+    def _feature_inputs(self) -> str:
+        files = if_present(lambda: list_files(self.spark, self.target))
+        target = "none" if files is None else listing_mark(files, self.target)
+        return mark(self._series_inputs(), target, self.calendar, self.target_pattern, self.sites)
+
+    def _staged_features(self, series: Callable[[], DataFrame]) -> DataFrame:
+        inputs = self._feature_inputs()
+        run = self.stages.begin("features", inputs)
+        made = self.build_features(series(), self.load_target())
+        self.stages.finish("features", inputs, run)
+        return made
+
+    def latest_stage(self) -> str:
+        """The stage a resumed run starts from: "finished" features given from outside, regular
+        "features", "series", or the "grid"."""
+        if read_features(self.spark, self.features, self.sites)[0] is not None:
+            return "finished"
+        if self.stages.finished("features", self._feature_inputs()):
+            return "features"
+        inputs = self._series_inputs()
+        if inputs == "given" or self.stages.finished("series", inputs):
+            return "series"
+        return "grid"
+
+    def resume_features(self) -> DataFrame:
+        """Regular features, made from the latest stage that is whole and up to date."""
+        stage = self.latest_stage()
+        if stage == "finished":
+            return read_features(self.spark, self.features, self.sites)[0]
+        if stage == "features":
+            return self.load_features()
+        return self._staged_features(self.load_series if stage == "series" else self.build_series)
+
     # Stage 3: features to forecasts.
     def fit_and_score(self, features: DataFrame) -> DataFrame:
-        caps = {r.site: r.capacity for r in capacity(features, self.sites).collect()}
         columns = feature_columns(features)
-
-        def one(s: Site) -> DataFrame:
-            rows = features.filter(F.col("site") == s.site)
-            train, test = split_rows(rows, s.train_when, s.test_when)
-            cap = caps.get(s.site)
-            if self.capacity_from == "train":
-                cap = capacity(train, [s]).first().capacity
-            known = self._known_columns(rows, columns)
-            model = fit_dual(
-                train, known, cap, s.model_type, self.settings, self.share, self.other_for_empty
-            )
-            self.models[s.site] = model
-            return model.score(test).select(
-                "site",
-                "time",
-                uplift_clip(PREDICTION, F.lit(cap), self.share).alias("energy_kwh"),
-                F.lit(s.plant_name).alias("plant_name"),
+        linear = [s for s in self.sites if s.model_type in LINEAR]
+        trees = [s for s in self.sites if s.model_type not in LINEAR]
+        scored = [self._linear_sites(features, linear, columns)] if linear else []
+        if trees:
+            caps = {r.site: r.capacity for r in capacity(features, trees).collect()}
+            scored += side_by_side(
+                self.spark,
+                lambda s: self._tree_site(features, s, caps.get(s.site), columns),
+                trees,
+                self.settings.parallelism,
             )
-
-        scored = side_by_side(self.spark, one, self.sites, self.settings.parallelism)
         forecast = written(concat_fill(scored), "scored")
         return moving_average(forecast, "energy_kwh", SMOOTHING).select(
             "time", "energy_kwh", "plant_name"
         )
 
+    def _linear_sites(
+        self, features: DataFrame, sites: Sequence[Site], columns: Sequence[str]
+    ) -> DataFrame:
+        """All sites with linear models, in as many jobs as one site takes."""
+        train = features.filter(rows_where(sites, "train_when"))
+        test = features.filter(rows_where(sites, "test_when"))
+        rows = train if self.capacity_from == "train" else features.filter(
+            F.col("site").isin([s.site for s in sites])
+        )
+        models = fit_many(
+            train,
+            columns,
+            capacity(rows, sites),
+            {s.site: s.model_type for s in sites},
+            self.settings,
+            self.share,
+            self.other_for_empty,
+        )
+        self.models.update(models.by_site())
+        named = with_site_columns(models.score(test), sites, ["plant_name"])
+        return named.select(
+            "site",
+            "time",
+            uplift_clip(PREDICTION, "capacity", self.share).alias("energy_kwh"),
+            "plant_name",
+        )
+
+    def _tree_site(
+        self, features: DataFrame, s: Site, cap: float | None, columns: Sequence[str]
+    ) -> DataFrame:
+        rows = features.filter(F.col("site") == s.site)
+        train, test = split_rows(rows, s.train_when, s.test_when)
+        if self.capacity_from == "train":
+            cap = capacity(train, [s]).first().capacity
+        known = self._known_columns(rows, columns)
+        model = fit_dual(
+            train, known, cap, s.model_type, self.settings, self.share, self.other_for_empty
+        )
+        self.models[s.site] = model
+        return model.score(test).select(
+            "site",
+            "time",
+            uplift_clip(PREDICTION, F.lit(cap), self.share).alias("energy_kwh"),
+            F.lit(s.plant_name).alias("plant_name"),
+        )
+
     @staticmethod
     def _known_columns(rows: DataFrame, columns: Sequence[str]) -> list[str]:
         """Columns this site has at all; sites stored apart need not have the same ones."""
@@ -273,11 +360,9 @@ class SiteForecast:
             features, _ = read_features(self.spark, self.features, self.sites)
             if features is not None:
                 return self.write_result(self.fit_and_score(features))
-        series = self.load_series() if skip_weather_processing else self.build_series()
-        features = self.build_features(series, self.load_target())
-        return self.write_result(self.fit_and_score(features))
+        series = self.load_series if skip_weather_processing else self.build_series
+        return self.write_result(self.fit_and_score(self._staged_features(series)))
 
     def resume(self) -> DataFrame:
-        """Run from the latest stage present: finished features, else series, else grid files."""
-        stored = if_present(lambda: self.spark.read.parquet(self.series_path))
-        return self.run(skip_weather_processing=stored is not None, use_processed_data=True)
+        """Run from the latest stage that is whole and made from the inputs as they are now."""
+        return self.write_result(self.fit_and_score(self.resume_features()))

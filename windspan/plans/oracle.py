@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import numpy as np
+
+from windspan.plans.linear_sql import fits, predicted
+
 _VIEWS = {
     "sites": """
     select * from (values
@@ -113,8 +117,8 @@ def _sql(views: str, body: str) -> str:
     if not head:
         return body
     if body.startswith("with "):
-        return f"with {head},\n{body[5:]}"
-    return f"with {head}\n{body}"
+        return f"with recursive {head},\n{body[5:]}"
+    return f"with recursive {head}\n{body}"
 
 
 def _filled(rows: str, columns: list[str], extra: str = "", places: int = 6) -> str:
@@ -194,32 +198,87 @@ _PLACED = f"""full_rows as (
 _CALENDAR = """, energy_kwh, cast(year(time) as int) as year, cast(month(time) as int) as month,
       cast(day(time) as int) as day, cast(hour(time) as int) as hour"""
 
+
+def _draws(n: int, alpha: tuple[float, float], ratio: bool, choices: int) -> list[tuple[float, float]]:
+    """(alpha, l1_ratio) as one generator with the seed 42 draws them: parameters in order of name, of
+    which the last is a choice. Numbers are uniform from low to low + width."""
+    rng = np.random.RandomState(42)
+    made = []
+    for _ in range(n):
+        a = alpha[0] + alpha[1] * rng.uniform()
+        made.append((a, rng.uniform() if ratio else 0.0))
+        rng.randint(choices)
+    return made
+
+
+# Ranges, number of draws and number of choices of the parameter that is not used.
+_RIDGE = {"high": _draws(20, (0.1, 10.0), False, 6), "low": _draws(7, (0.01, 5.0), False, 6)}
+_NET = {"high": _draws(20, (0.001, 50.0), True, 2), "low": _draws(15, (0.001, 20.0), True, 2)}
+
+
+def _tries(drawn: dict) -> str:
+    rows = [
+        f"('{regime}', {i}, {a!r}::double, {l!r}::double)"
+        for regime, some in drawn.items()
+        for i, (a, l) in enumerate(some)
+    ]
+    return f"drawn as (select * from (values {', '.join(rows)}) t(regime, candidate, alpha, l1_ratio))"
+
+
+def _searched(rows: str, drawn: dict, ridge: bool) -> str:
+    """CTEs from `rows` (site, regime, time, x, y) to `mae` (site, regime, candidate, mae) and `best`, the
+    fits of the best candidates on all rows of each regime."""
+    l1, l2 = ("0e0", "alpha / n") if ridge else ("alpha * l1_ratio", "alpha - alpha * l1_ratio")
+    return f"""folded as (
+      select *, ntile(3) over (partition by site, regime order by time) - 1 as fold from {rows}),
+    turns_out as (select * from (values (-1), (0), (1), (2)) t(left_out)),
+    samples as (
+      select site || '|' || regime || '|' || left_out as id, x, y
+      from folded join turns_out on fold <> left_out),
+    {_tries(drawn)},
+    penalties as (
+      select id, candidate, {l1} as l1, {l2} as l2
+      from (select id, count(*) as n from samples group by id) join drawn
+        on regime = split_part(id, '|', 2)),
+    {fits("samples", "penalties")},
+    scored as (
+      select f.site, f.regime, f.fold, candidate, avg(abs(y - ({predicted()}))) as mae
+      from folded f join fits on id = site || '|' || regime || '|' || fold
+      group by f.site, f.regime, f.fold, candidate),
+    mae as (
+      select site, regime, candidate, avg(mae) as mae from scored group by site, regime, candidate),
+    best as (
+      select site, regime, w, mx, my
+      from (select * from mae qualify row_number() over (partition by site, regime order by mae, candidate) = 1)
+        join fits using (candidate) where id = site || '|' || regime || '|-1')"""
+
+
+_ALL_FEATURES = [*_FEATURES, "year", "month", "day", "hour"]
+_LIST = "[" + ", ".join(f"{c}::double" for c in _ALL_FEATURES) + "]"
 _FORECAST = f"""with {_PLACED},
-    regular as (select * from (with {_filled("placed", ["wind_speed"], ", energy_kwh", 15)})),
+    regular as (select * from (with {_filled("placed", _FEATURES, _CALENDAR, 15)})),
     caps as (
       select site, plant_name, max(energy_kwh) * max(capacity_factor) as capacity
       from regular join sites using (site) group by site, plant_name),
-    fits as (
-      select site, is_high, sign(c) * greatest(abs(c) - 0.5e0, 0e0) / (q + 1.5e0) as w, mx, my
+    train as (
+      select site, time, {_LIST} as x, energy_kwh as y,
+        case when energy_kwh >= 0.1e0 * capacity then 'high' else 'low' end as regime
+      from regular join caps using (site) where day % 2 = 1 and energy_kwh is not null
+      qualify count(*) over (partition by site, regime) >= 3),
+    {_searched("train", _NET, False)},
+    scored_rows as (
+      select t.site, t.time, k.plant_name, k.capacity, max(p) filter (where regime = 'high') as h,
+        max(p) filter (where regime = 'low') as l
       from (
-        select site, energy_kwh >= 0.1e0 * capacity as is_high,
-          covar_pop(wind_speed, energy_kwh) as c, var_pop(wind_speed) as q,
-          avg(wind_speed) as mx, avg(energy_kwh) as my
-        from regular join caps using (site)
-        where day(time) % 2 = 1 and energy_kwh is not null
-        group by 1, 2)),
-    scored as (
-      select r.site, r.time, k.plant_name, k.capacity,
-        h.my + h.w * (wind_speed - h.mx) as h, l.my + l.w * (wind_speed - l.mx) as l
-      from regular r join caps k on r.site = k.site
-        left join (select * from fits where is_high) h on h.site = r.site
-        left join (select * from fits where not is_high) l on l.site = r.site
-      where day(r.time) % 2 = 0),
+        select r.site, r.time, regime, {predicted()} as p
+        from (select site, time, {_LIST} as x from regular where day % 2 = 0) r join best using (site)) t
+        join caps k using (site)
+      group by all),
     gated as (
       select site, time, plant_name, capacity,
         case when coalesce(h, l) >= 0.1e0 * capacity then coalesce(h, l) else coalesce(l, h) end
           as p
-      from scored),
+      from scored_rows),
     final as (
       select site, time, plant_name, least(greatest(
         case when p >= 0.1e0 * capacity then p * 1.05e0 else p end, 0e0), capacity) as p
@@ -230,6 +289,48 @@ _FORECAST = f"""with {_PLACED},
           rows between 2 preceding and 2 following) / 5 end, 2) as energy_kwh
     from final"""
 
+_DAY_LIST = """[n_orders::double, year(time)::double, month(time)::double, day(time)::double,
+      hour(time)::double]"""
+
+
+def _coefficients(l1: str, l2: str) -> str:
+    return f"""with samples as (select 'all' as id, {_DAY_LIST}[:4] as x, energy_kwh as y from daily_all),
+    penalties as (
+      select 'all' as id, 0 as candidate, {l1} as l1, {l2} as l2
+      from (select count(*) as n from samples)),
+    {fits("samples", "penalties")}
+    select unnest(['n_orders', 'year', 'month', 'day']) as feature,
+      round(unnest(w), 3) as weight from fits"""
+
+
+def _search_scores(drawn: dict, ridge: bool) -> str:
+    return f"""with rows as (select site, time, regime, {_DAY_LIST} as x, energy_kwh as y from days),
+    {_searched("rows", drawn, ridge)}
+    select regime, candidate::int as candidate, round(alpha, 6) as alpha,
+      round(l1_ratio, 6) as l1_ratio, round(mae, 3) as mae,
+      (case when row_number() over (partition by regime order by mae, candidate) = 1 then 1 else 0 end)::int
+        as is_best
+    from mae join drawn using (regime, candidate)"""
+
+
+_DUAL = f"""with cap as (select max(energy_kwh) * 1.05e0 as capacity from daily_all),
+    points as (
+      select site, time, {_DAY_LIST} as x, energy_kwh as y,
+        case when energy_kwh >= 0.5e0 * capacity then 'high' else 'low' end as regime
+      from daily_all, cap),
+    train as (select * from points where month(time) % 2 = 1),
+    {_searched("train", _RIDGE, True)},
+    paired as (
+      select site, time, coalesce(h, l) as p_high, coalesce(l, h) as p_low
+      from (
+        select p.site, p.time, max({predicted()}) filter (where b.regime = 'high') as h,
+          max({predicted()}) filter (where b.regime = 'low') as l
+        from points p join best b on p.site = b.site where month(p.time) % 2 = 0
+        group by p.site, p.time))
+    select site, time, round(p_high, 2) as p_high, round(p_low, 2) as p_low,
+      round(case when p_high >= 0.5e0 * capacity then p_high else p_low end, 2) as prediction
+    from paired, cap"""
+
 _SLOPES = """with m as (
       select covar_pop(n_orders, energy_kwh) as c, var_pop(n_orders) as q, avg(n_orders) as mx,
         avg(energy_kwh) as my, count(*) as n
@@ -244,65 +345,8 @@ _SLOPES = """with m as (
     select kind, round(slope, 3) as slope, round(my - slope * mx, 3) as intercept from fits"""
 
 
-# Ridge penalties that seed 42 draws: 20 for the high regime, 7 for the low one. Fixed values.
-_ALPHAS = {
-    "high": """
-        3.845401188473625 1.934347898661638 6.068501579464869 1.6599452033620266
-        4.692488919658671 6.1111501174320875 0.30584494295802445 7.319987722668247
-        2.2233911067827616 1.9340450985343383 6.2165316048828085 4.419450186421157
-        5.347746602583891 0.5666566321361542 3.763618432936917 1.006064345328208
-        2.0967378215835972 6.0241456886204245 8.699404067363206 4.604992519695429
-    """,
-    "low": """
-        1.8827005942368125 0.927173949330819 2.9942507897324346 0.7899726016810132
-        2.3062444598293355 3.0155750587160437 0.11292247147901223
-    """,
-}
-
-
-def _search_scores() -> str:
-    tries = []
-    for regime, alphas in _ALPHAS.items():
-        tries += [f"('{regime}', {i}, {alpha}::double)" for i, alpha in enumerate(alphas.split())]
-    return f"""with folded as (
-          select *, ntile(3) over (partition by regime order by time) - 1 as fold from days),
-        tries as (select * from (values {", ".join(tries)}) t(regime, candidate, alpha)),
-        fits as (
-          select f.regime, f.fold, covar_pop(t.n_orders, t.energy_kwh) as c,
-            var_pop(t.n_orders) as q, avg(t.n_orders) as mx, avg(t.energy_kwh) as my,
-            count(*) as n
-          from (select distinct regime, fold from folded) f
-          join folded t on t.regime = f.regime and t.fold <> f.fold
-          group by f.regime, f.fold),
-        scored as (
-          select r.regime, r.fold, t.candidate, t.alpha,
-            avg(abs(r.energy_kwh - (my + c / (q + alpha / n) * (r.n_orders - mx)))) as mae
-          from folded r join fits f on r.regime = f.regime and r.fold = f.fold
-          join tries t on t.regime = r.regime
-          group by all)
-        select regime, cast(candidate as int) as candidate, round(alpha, 6) as alpha,
-          round(mae, 3) as mae, cast(case when row_number() over (
-            partition by regime order by mae, candidate) = 1 then 1 else 0 end as int) as is_best
-        from (select regime, candidate, alpha, avg(mae) as mae from scored group by all)"""
-
-
-_DUAL = """with cap as (select max(energy_kwh) * 1.05e0 as capacity from daily_all),
-    fits as (
-      select energy_kwh >= 0.5e0 * capacity as is_high,
-        covar_pop(n_orders, energy_kwh) / (var_pop(n_orders) + 2e0 / count(*)) as w,
-        avg(n_orders) as mx, avg(energy_kwh) as my
-      from daily_all, cap where month(time) % 2 = 1 group by 1),
-    scored as (
-      select d.site, d.time, h.my + h.w * (n_orders - h.mx) as h,
-        l.my + l.w * (n_orders - l.mx) as l
-      from daily_all d left join (select * from fits where is_high) h on true
-        left join (select * from fits where not is_high) l on true
-      where month(d.time) % 2 = 0),
-    paired as (
-      select site, time, coalesce(h, l) as p_high, coalesce(l, h) as p_low from scored)
-    select site, time, round(p_high, 3) as p_high, round(p_low, 3) as p_low,
-      round(case when p_high >= 0.5e0 * capacity then p_high else p_low end, 3) as prediction
-    from paired, cap"""
+_SIGNATURE = ", ".join(f"{c}: double" for c in _SERIES_COLUMNS.split(", "))
+_ODD = "time between timestamp '2024-01-05 00:00:00' and timestamp '2024-01-05 02:00:00'"
 
 _SPLIT = """select site, time, energy_kwh, n_orders, cast(year(time) as int) as year,
       cast(month(time) as int) as month, cast(day(time) as int) as day,
@@ -314,6 +358,9 @@ def oracle_sql() -> dict[str, str]:
     mirror = _sql("cells", "select *, strftime(time, '%Y%m%d') as date from cells")
     stored = _sql("series", "select * from series")
     features = _sql("series", "select site, time, ta_1p5m, pmsl from series")
+    regular = _sql(
+        "physics site_target", f"with {_PLACED}, {_filled('placed', _FEATURES, _CALENDAR)}"
+    )
     return {
         "site_features": _sql(
             "physics site_target",
@@ -558,20 +605,50 @@ def oracle_sql() -> dict[str, str]:
         "tree_dates": _sql("grid", "select distinct strftime(time, '%Y%m%d') as date from grid"),
         "mirror_copy": mirror,
         "mirror_resume": mirror,
+        "late_hours": mirror,
+        "schema_profile": _sql(
+            "grid",
+            f"""select '{_SIGNATURE}' as signature, count(distinct time) as n_files, null::varchar as stems
+            from grid where not ({_ODD}) having count(*) > 0
+            union all
+            select '{_SIGNATURE}, gust: double', count(distinct time),
+              string_agg(distinct strftime(time, '%Y-%m-%d_%H_%M_%S'), ','
+                order by strftime(time, '%Y-%m-%d_%H_%M_%S'))
+            from grid where {_ODD} having count(*) > 0""",
+        ),
         "series_store": stored,
         "series_csv": stored,
+        "series_files": stored,
         "target_store": _sql("target", "select * from target"),
         "feature_store": features,
         "forecast_csv": _sql(
             "site_target", "select end_datetime as time, energy_kwh, plant_name from site_target"
         ),
         "linear_slopes": _sql("daily_all", _SLOPES),
-        "search_scores": _sql("days", _search_scores()),
+        "elastic_net": _sql("daily_all", _coefficients("0.5e0", "1.5e0")),
+        "lasso": _sql("daily_all", _coefficients("50e0", "0e0")),
+        "ridge": _sql("daily_all", _coefficients("0e0", "3e0 / n")),
+        "search_scores": _sql("days", _search_scores(_RIDGE, True)),
+        "search_net": _sql("days", _search_scores(_NET, False)),
         "dual_model": _sql("daily_all", _DUAL),
-        "regular_rows": _sql(
+        "regular_rows": regular,
+        "mid_output": regular,
+        "resume": _sql(
             "physics site_target",
-            f"with {_PLACED}, {_filled('placed', _FEATURES, _CALENDAR)}",
+            # Hours with a file but without cells in a site's box have their output too.
+            f"""with {_PLACED}, regular as (select * from (
+              with {_filled("placed", _FEATURES)}))
+            select stage, r.site, r.time, t.energy_kwh, pmsl, wind_speed
+            from regular r left join site_target t on r.site = t.site and r.time = t.end_datetime
+              and r.time in (select time from grid),
+              (values ('grid'), ('features'), ('series')) v(stage)""",
         ),
         "site_forecast": _sql("physics site_target", _FORECAST),
-        "stream_ingest": mirror,
+        "stream_ingest": _sql(
+            "cells",
+            """select *, strftime(time, '%Y%m%d') as date from cells
+            union all by name
+            select '(quarantine)' as site, unnest([timestamp '2024-01-01 00:30:00',
+              timestamp '2024-01-20 00:30:00']) as time""",
+        ),
     }

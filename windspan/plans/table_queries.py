@@ -27,6 +27,7 @@ from windspan.operators import aggregates as agg
 from windspan.operators import joins
 from windspan.operators.dual import fit_dual
 from windspan.operators.gaps import interpolate, on_spine
+from windspan.operators.many import fit_many
 from windspan.operators.models import assemble, fit_linear, tree_estimator, tree_params
 from windspan.operators.rows import contiguous_folds, moving_average
 from windspan.operators.search import (
@@ -37,6 +38,7 @@ from windspan.operators.search import (
     usable_regimes,
 )
 from windspan.operators.selection import (
+    NOT_FEATURES,
     TARGET_EXTRAS,
     drop_incomplete,
     exclude_times,
@@ -48,11 +50,17 @@ from windspan.operators.selection import (
 )
 from windspan.operators.unions import concat_fill, concat_strict
 from windspan.plans import table_views as v
-from windspan.plans.forecast import SMOOTHING, features_of, regular_features
+from windspan.plans.forecast import (
+    SMOOTHING,
+    SiteForecast,
+    features_of,
+    regular_features,
+    rows_where,
+)
 from windspan.plans.table_views import SITES, doubles, rounded
-from windspan.session import new_table_dir, side_by_side, written
+from windspan.session import new_table_dir, written
 from windspan.sites import site_named
-from windspan.sources import snapshots, tables
+from windspan.sources import mirror, snapshots, tables
 from windspan.streaming import ingest as stream
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -472,11 +480,29 @@ def tree_rejects(spark, d):
 
 
 def schema_profile(spark, d):
-    """Files of the grid tree and of the given tables by their columns."""
-    files = snapshots.list_snapshots(spark, _tree(spark, d)).select("path")
-    given = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(d)
-    footers = written(snapshots.snapshot_footers(files.union(given.select("path"))), "footers")
-    return snapshots.schema_profile(footers).select("signature", "n_files")
+    """Files of a grid tree by their columns: three hours have one column more. The few files of a
+    group are listed by their hours."""
+    root = new_table_dir(spark, "tree")
+    cells = v.grid(spark, d)
+    odd = "time between timestamp_ntz'2024-01-05 00:00:00' and timestamp_ntz'2024-01-05 02:00:00'"
+    snapshots.write_snapshots(cells.filter(f"not ({odd})"), root)
+    snapshots.write_snapshots(
+        cells.filter(odd).withColumn("gust", F.lit(1.5)), root, mode="append"
+    )
+    found = snapshots.schema_profile(snapshots.read_catalogue(spark, root))
+    stems = F.array_join(F.transform("paths", lambda p: file_stem(p)), ",")
+    return found.select("signature", "n_files", stems.alias("stems"))
+
+
+def late_hours(spark, d):
+    """A copy that follows its tree: of dates already copied, every sixth hour comes late."""
+    root, path = new_table_dir(spark, "tree"), new_table_dir(spark, "mirror")
+    cells = v.grid(spark, d)
+    snapshots.write_snapshots(cells.filter("hour(time) % 6 <> 0"), root)
+    mirror.refresh(spark, root, SITES, path)
+    snapshots.write_snapshots(cells.filter("hour(time) % 6 = 0"), root, mode="append")
+    mirror.refresh(spark, root, SITES, path)
+    return mirror.read_copied(spark, path)
 
 
 def mirror_copy(spark, d):
@@ -506,6 +532,13 @@ def series_store(spark, d):
     return doubles(tables.read_series(spark, path, SITES))
 
 
+def series_files(spark, d):
+    """One file a site under its label, as series come from elsewhere, read in one scan."""
+    path = new_table_dir(spark, "series")
+    tables.write_series_files(written(v.series(spark, d), "series"), path, SITES)
+    return doubles(tables.read_series_files(spark, path, SITES))
+
+
 def series_csv(spark, d):
     path = new_table_dir(spark, "series")
     hours = v.series(spark, d)
@@ -563,7 +596,7 @@ def _coefficients(kind, alpha, mix):
         days = v.daily_all(spark, d).withColumns(calendar_parts("time"))
         model = fit_linear(assemble(written(days, "days"), DAY_CALENDAR), kind, alpha, mix)
         rows = [(n, float(w)) for n, w in zip(DAY_CALENDAR, model.coefficients)]
-        return spark.createDataFrame(rows, "feature string, weight double")
+        return rounded(spark.createDataFrame(rows, "feature string, weight double"), "weight", places=3)
 
     return query
 
@@ -580,26 +613,29 @@ def _tree_scores(kind):
     return query
 
 
-SEARCH_TRIES = SearchSettings()  # 20 draws for the high regime, 7 for the low one
+SEARCH_TRIES = SearchSettings()  # 20 draws for the high regime; 7 (ridge) or 15 for the low one
 
 
-def search_scores(spark, d):
-    """Cross-validated error of each ridge candidate on one feature, per regime, and the best."""
-    days = _days_with_regime(spark, d)
-    ready = written(contiguous_folds(days, ["site", "regime"], 3), "training")
-    regimes = usable_regimes(
-        regime_rows(ready), "ridge", SEARCH_TRIES, other_for_empty=True
-    )
-    found = search(ready, DAY_FEATURES, "ridge", regimes, SEARCH_TRIES)
-    rows = [
-        (regime_name, n, float(params["alpha"]), score, int(params is chosen.params))
-        for regime_name, chosen in found.items()
-        for n, (params, score) in enumerate(chosen.tried)
-    ]
-    made = spark.createDataFrame(
-        rows, "regime string, candidate int, alpha double, mae double, is_best int"
-    )
-    return rounded(rounded(made, "alpha"), "mae", places=3)
+def _search_scores(kind):
+    def query(spark, d):
+        """Cross-validated error of each candidate on all features, per regime, and the best."""
+        days = _days_with_regime(spark, d).withColumns(calendar_parts("time"))
+        ready = written(contiguous_folds(days, ["site", "regime"], 3), "training")
+        regimes = usable_regimes(regime_rows(ready), kind, SEARCH_TRIES, other_for_empty=True)
+        columns = feature_columns(ready, (*NOT_FEATURES, "capacity", "regime", "fold"))
+        found = search(ready, columns, kind, regimes, SEARCH_TRIES)
+        rows = [
+            (name, n, float(p["alpha"]), float(p.get("l1_ratio", 0.0)), score, int(p is c.params))
+            for name, c in found.items()
+            for n, (p, score) in enumerate(c.tried)
+        ]
+        made = spark.createDataFrame(
+            rows,
+            "regime string, candidate int, alpha double, l1_ratio double, mae double, is_best int",
+        )
+        return rounded(rounded(made, "alpha", "l1_ratio"), "mae", places=3)
+
+    return query
 
 
 def _days_with_regime(spark, d):
@@ -634,15 +670,14 @@ def forest_search(spark, d):
 
 
 def dual_model(spark, d):
-    """Ridge on one feature for each regime, one candidate, gated; months odd and even."""
+    """Ridge on all features for each regime, all draws, gated; fitted on odd months, for even ones."""
     days = written(v.daily_all(spark, d).withColumns(calendar_parts("time")), "days")
     train, test = split_rows(days, "month % 2 = 1", "month % 2 = 0")
     cap = agg.capacity_by_factor(days, DAY_FACTOR).first().capacity
-    one = {"ridge": {r: {"alpha": [2.0]} for r in ("high", "low")}}
-    settings = SearchSettings(draws={"high": 1, "low": 1}, spaces=one)
-    model = fit_dual(train, DAY_FEATURES, cap, "ridge", settings, HIGH_DAY_SHARE, other_for_empty=True)
+    columns = feature_columns(days)
+    model = fit_dual(train, columns, cap, "ridge", None, HIGH_DAY_SHARE, other_for_empty=True)
     made = model.score(test).select("site", "time", "p_high", "p_low", "prediction")
-    return rounded(made, "p_high", "p_low", "prediction", places=3)
+    return rounded(made, "p_high", "p_low", "prediction", places=2)
 
 
 def _regular(spark, d):
@@ -656,44 +691,93 @@ def regular_rows(spark, d):
     return rounded(made, *[c for c, t in made.dtypes if t == "double" and c != "energy_kwh"])
 
 
-ONE_NET = SearchSettings(
-    draws={"high": 1, "low": 1},
-    spaces={"elasticnet": {r: {"alpha": [2.0], "l1_ratio": [0.25]} for r in ("high", "low")}},
-)
+def mid_output(spark, d):
+    """Regular features stored by site, as the run leaves them for a later one."""
+    path = new_table_dir(spark, "mid-output")
+    made = _regular(spark, d)
+    tables.write_by_site(made, path)
+    back = spark.read.parquet(path).withColumn("site", F.col("site").cast("string"))
+    return rounded(back, *[c for c, t in back.dtypes if t == "double" and c != "energy_kwh"])
 
 
-def site_forecast(spark, d):
-    """All sites from grid cells to smoothed forecasts, by odd and even days.
+def resume(spark, d):
+    """Regular features by a run that is taken up again: from a grid that has grown since its last
+    stage, from finished features, and from series where the features were left half written."""
+    base = new_table_dir(spark, "run")
+    cells = v.grid(spark, d)
+    made = written(v.target(spark, d), "target")
+    for s in SITES:
+        one = made.filter(F.col("filename") == s.target_tag).drop("filename")
+        tables.write_target(one, f"{base}/target/wind_{s.target_tag}.parquet")
+    run = SiteForecast(spark, base, SITES, csv=False)
+    snapshots.write_snapshots(cells.filter("day(time) < 20"), run.grid)
+    run.resume_features()
+    snapshots.write_snapshots(cells.filter("day(time) >= 20"), run.grid, mode="append")
+    taken = []
+    for _ in range(3):
+        stage = run.latest_stage()
+        rows = written(run.resume_features(), "resumed")
+        taken.append(rows.select(F.lit(stage).alias("stage"), "site", "time", "energy_kwh", "pmsl", "wind_speed"))
+        if stage == "features":
+            run.stages.begin("features", "cut off")
+    return rounded(concat_fill(taken), "pmsl", "wind_speed")
 
-    One feature and one candidate, so that the fits have a closed form to compare with."""
-    rows = written(_regular(spark, d), "regular")
-    caps = {r.site: r.capacity for r in agg.capacity(rows, SITES).collect()}
-
-    def one(s):
-        train, test = split_rows(rows.filter(F.col("site") == s.site), s.train_when, s.test_when)
-        model = fit_dual(train, ["wind_speed"], caps[s.site], s.model_type, ONE_NET, other_for_empty=True)
-        return model.score(test).select(
-            "site",
-            "time",
-            uplift_clip("prediction", F.lit(caps[s.site])).alias("energy_kwh"),
-            F.lit(s.plant_name).alias("plant_name"),
-        )
 
-    scored = written(concat_fill(side_by_side(spark, one, SITES)), "scored")
-    smooth = moving_average(scored, "energy_kwh", SMOOTHING)
+def site_forecast(spark, d):
+    """All sites from grid cells to smoothed forecasts, by odd and even days: all features, all
+    draws, all sites in one pass."""
+    rows = written(_regular(spark, d), "regular")
+    models = fit_many(
+        rows.filter(rows_where(SITES, "train_when")),
+        feature_columns(rows),
+        agg.capacity(rows, SITES),
+        {s.site: s.model_type for s in SITES},
+        other_for_few=True,
+    )
+    scored = models.score(rows.filter(rows_where(SITES, "test_when")))
+    plants = joins.with_site_columns(scored, SITES, ["plant_name"]).select(
+        "site", "time", uplift_clip("prediction", "capacity").alias("energy_kwh"), "plant_name"
+    )
+    smooth = moving_average(written(plants, "scored"), "energy_kwh", SMOOTHING)
     return rounded(smooth, "energy_kwh", places=2)
 
 
 # Stream.
+def _put_damaged(spark, paths):
+    """Files with a Parquet name and nothing of one within, written by the executors."""
+
+    def write(batches):
+        from pyarrow import fs
+
+        for batch in batches:
+            for path in batch["path"]:
+                filesystem, inner = fs.FileSystem.from_uri(path)
+                filesystem.create_dir(inner.rsplit("/", 1)[0])
+                with filesystem.open_output_stream(inner) as out:
+                    out.write(b"no Parquet")
+            yield batch
+
+    rows = spark.createDataFrame([(p,) for p in paths], "path string")
+    rows.mapInPandas(write, "path string").collect()
+
+
 def stream_ingest(spark, d):
-    """The events table taken in as a stream of grid cells, once each."""
-    schema = v.table(spark, d, "events").schema
-    events = (
-        spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
+    """The grid as a tree of hourly files, taken in as a stream of new files, in two runs; one file of
+    each half is damaged and goes to quarantine."""
+    names = ("tree", "stream", "checkpoint", "quarantine")
+    root, mirror_path, checkpoint, aside = (new_table_dir(spark, n) for n in names)
+    cells = v.grid(spark, d)
+    for part, bad in (("<", "20240101/2024-01-01_00_30_00"), (">=", "20240120/2024-01-20_00_30_00")):
+        snapshots.write_snapshots(cells.filter(f"day(time) {part} 16"), root, mode="append")
+        _put_damaged(spark, [f"{root}/{bad}.parquet"])
+        stream.ingest_tree(
+            spark, root, SITES, mirror_path, checkpoint, aside, files_per_batch=200
+        ).awaitTermination()
+    taken = stream.ingested(spark, mirror_path)
+    left = spark.read.parquet(aside).select(
+        F.lit("(quarantine)").alias("site"), stem_time(file_stem("path")).alias("time")
     )
-    mirror, checkpoint = new_table_dir(spark, "stream"), new_table_dir(spark, "checkpoint")
-    stream.ingest(v.as_grid(events), SITES, mirror, checkpoint).awaitTermination()
-    return stream.ingested(spark, mirror)
+    return taken.unionByName(left, allowMissingColumns=True)
 
 
 QUERIES: dict[str, Query] = {
@@ -751,10 +835,12 @@ QUERIES: dict[str, Query] = {
     "tree_dates": tree_dates,
     "tree_rejects": tree_rejects,
     "schema_profile": schema_profile,
+    "late_hours": late_hours,
     "mirror_copy": mirror_copy,
     "mirror_resume": mirror_resume,
     "series_store": series_store,
     "series_csv": series_csv,
+    "series_files": series_files,
     "target_store": target_store,
     "feature_store": feature_store,
     "forecast_csv": forecast_csv,
@@ -764,10 +850,13 @@ QUERIES: dict[str, Query] = {
     "ridge": _coefficients("ridge", 3.0, 0.0),
     "forest": _tree_scores("rf"),
     "boosted": _tree_scores("xgb"),
-    "search_scores": search_scores,
+    "search_scores": _search_scores("ridge"),
+    "search_net": _search_scores("elasticnet"),
     "forest_search": forest_search,
     "dual_model": dual_model,
     "regular_rows": regular_rows,
+    "mid_output": mid_output,
+    "resume": resume,
     "site_forecast": site_forecast,
     "stream_ingest": stream_ingest,
 }

@@ -17,7 +17,10 @@ from pyspark.sql.streaming.query import StreamingQuery
 
 from windspan.functions.names import file_stem, folder_date_text, stem_date_text, stem_time
 from windspan.operators.joins import cells_of_sites
+from windspan.operators.selection import near_any_site
+from windspan.session import written
 from windspan.sites import Site
+from windspan.sources.snapshots import named_files, scan_snapshots, snapshot_footers, whole_files
 
 
 def snapshot_stream(
@@ -54,29 +57,101 @@ def ingest(
 ) -> StreamingQuery:
     """Start a run over everything not yet seen; it ends when that is written."""
 
-    def write(batch: DataFrame, number: int) -> None:
+    return (
+        cells_of_sites(cells, sites)
+        .writeStream.foreachBatch(lambda batch, number: _write_batch(batch, mirror, number))
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )
+
+
+def ingest_tree(
+    spark: SparkSession,
+    root: str,
+    sites: Sequence[Site],
+    mirror: str,
+    checkpoint: str,
+    quarantine: str,
+    schema: T.StructType | None = None,
+    files_per_batch: int = 10_000,
+) -> StreamingQuery:
+    """Take in a snapshot tree's new files, and set those aside that cannot be read whole.
+
+    The stream is one of file names. Each batch looks at its files' footers, reads those that have
+    one, and lists the others in `quarantine` (path, length, status, batch). Where a file proves
+    damaged behind its footer, the batch's files are read through one by one, the damaged ones go
+    to quarantine too and the others are taken in, so no file is half read and none stops the rest.
+    """
+    names = (
+        spark.readStream.format("binaryFile")
+        .schema("path string, modificationTime timestamp, length bigint, content binary")
+        .option("recursiveFileLookup", "true")
+        .option("pathGlobFilter", "*.parquet")
+        .option("maxFilesPerTrigger", files_per_batch)
+        .load(root)
+        .select("path", "length")
+    )
+
+    def take_in(batch: DataFrame, number: int) -> None:
+        # The batch's own session: settings of the stream hold there.
+        files = written(
+            snapshot_footers(named_files(batch, root), closed=("bad_name",)), "batch-files"
+        )
+        try:
+            _take_cells(files, root, sites, mirror, number, schema)
+        except Exception:
+            files = written(whole_files(files), "batch-files")
+            if files.filter("status = 'ok' and readable and not whole").isEmpty():
+                raise
+            files = files.withColumn("readable", F.col("readable") & F.col("whole"))
+            _take_cells(files, root, sites, mirror, number, schema)
+        status = F.when(F.col("status") == "ok", "unreadable").otherwise(F.col("status"))
         (
-            batch.withColumns(
-                {"date": F.date_format("time", "yyyyMMdd"), "batch": F.lit(number)}
-            )
-            .hint("rebalance", "site", "date")
+            files.filter("status <> 'ok' or not readable")
+            .select("path", "length", status.alias("status"), F.lit(number).alias("batch"))
             .write.mode("overwrite")
             .option("partitionOverwriteMode", "dynamic")
-            .partitionBy("site", "date", "batch")
-            .parquet(mirror)
+            .partitionBy("batch")
+            .parquet(quarantine)
         )
 
     return (
-        cells_of_sites(cells, sites)
-        .writeStream.foreachBatch(write)
+        names.writeStream.foreachBatch(take_in)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
     )
 
 
+def _take_cells(
+    files: DataFrame,
+    root: str,
+    sites: Sequence[Site],
+    mirror: str,
+    number: int,
+    schema: T.StructType | None,
+) -> None:
+    cells = scan_snapshots(
+        files.sparkSession, root, schema, where=near_any_site(sites), catalogue=files
+    )
+    if cells.schema.fieldNames() != ["time"]:
+        _write_batch(cells_of_sites(cells, sites), mirror, number)
+
+
+def _write_batch(cells: DataFrame, mirror: str, number: int) -> None:
+    (
+        cells.withColumns({"date": F.date_format("time", "yyyyMMdd"), "batch": F.lit(number)})
+        .hint("rebalance", "site", "date")
+        .write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
+        .partitionBy("site", "date", "batch")
+        .parquet(mirror)
+    )
+
+
 def ingested(spark: SparkSession, mirror: str) -> DataFrame:
     """What has been taken in so far, as cells."""
-    return spark.read.parquet(mirror).drop("batch").withColumns(
+    return spark.read.option("mergeSchema", "true").parquet(mirror).drop("batch").withColumns(
         {"site": F.col("site").cast("string"), "date": F.col("date").cast("string")}
     )
