@@ -48,7 +48,7 @@ from windspan.session import written
 
 SCALE = 1_000_000_000
 CELLS = 1 << 22  # of 8 bytes, in a task's accumulators
-ENTRIES = 200_000  # terms counted in a task before they are passed on
+ENTRIES = 500_000  # terms counted in a task before they are passed on
 PIECE = 1 << 22  # bytes of a text that are split at a time
 
 _LETTERS = bytes(range(0x41, 0x5B)) + bytes(range(0x61, 0x7B)) + bytes(range(0x80, 0x100))
