@@ -48,7 +48,7 @@ from windspan.session import written
 
 SCALE = 1_000_000_000
 CELLS = 1 << 22  # of 8 bytes, in a task's accumulators
-ENTRIES = 500_000  # terms counted in a task before they are passed on
+ENTRIES = 200_000  # terms counted in a task before they are passed on
 PIECE = 1 << 22  # bytes of a text that are split at a time
 
 _LETTERS = bytes(range(0x41, 0x5B)) + bytes(range(0x61, 0x7B)) + bytes(range(0x80, 0x100))
@@ -119,8 +119,11 @@ def term_counts(docs: DataFrame, lang: str, source: str, text: str) -> DataFrame
         F.coalesce(F.col(source), F.lit("")).alias("source"),
         F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text"),
     )
+    # Rows of a group side by side, so that a task meets a term of few groups many times; a large
+    # group is cut by the rows' places.
+    near = rows.repartitionByRange("lang", "source", F.monotonically_increasing_id())
     return (
-        rows.mapInArrow(_count_batches, COUNTS)
+        near.mapInArrow(_count_batches, COUNTS)
         .groupBy("lang", "source", "term")
         .agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
     )
