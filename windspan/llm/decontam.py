@@ -3,15 +3,25 @@
 Texts become template tokens: lower-case words, with numbers, units after numbers and capitalised
 names within a sentence replaced by typed placeholders. Windows of `window` tokens are joined by
 hash, and so are windows of the lower-case words themselves: those find copies with few literal words
-or in other upper and lower case. Of scripts without blanks each letter is a token. Each alignment at which a document and an
-item meet is an occurrence. The placeholders' values in its windows must map one to one from the
-item's to the document's, units without regard to number: then the item occurs, word for word or
-with other parameters. Where tokens were put in or left out, windows of alignments near it stand in
-for those that it lacks, as far as the values fit. Windows with the same values count without that
-check, and from all occurrences together. An item under `window` tokens is one window, and found word
-for word only.
-
-A document leaks an item if the windows that count cover `run` tokens of it, or half of it.
+or in other upper and lower case. Of scripts without blanks each letter is a token. The hash of a
+window is put together from those of its halves, so a document takes a few steps a token, whatever the
+window.
+
+Items without a window of which half is literal, numbers in rows for the most part, are looked for
+whole by their template, and so are items under `window` tokens; both need a literal word or two. Only
+places that begin with two such items' first two tokens are looked at for that.
+
+Each matched window says by how much the document's place is ahead of the item's, its line, and which
+of the item's values stand for which of the document's, its slots. Windows of one line are an
+occurrence; where tokens were put in or left out, so are those of lines within `window`, or within the
+item's length, of one another, of which the line with most windows speaks for each place of the item.
+The slots of an occurrence must map one to one, units without regard to number: then the item occurs,
+word for word or with other parameters. Windows with the same values count without that check, and from
+all occurrences together. Every step is a row for each matched window or less, grouped by item places,
+so a document that repeats a template a thousand times is no more work a word than any other.
+
+A document leaks an item if windows with the same values cover `run` tokens of it, or half of it; or if
+an occurrence with other parameters covers `run` tokens of it, or all.
 
 Defined results
     null or empty text          leaks nothing
@@ -19,13 +29,14 @@ Defined results
     null ids                    are ids
     repeated rows or items      one row for each pair of ids
     one id with several texts   the text that covers most counts
+    very long texts             whole; a row for each matched window
     empty tables                no rows
     other columns               not read by `leaks`, kept by `clean`; helpers start with `__`
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from windspan.session import written
 
@@ -38,7 +49,6 @@ TOKEN = (
     rf"{SPACED}(?:{SPACED}|\p{{M}})*|[\p{{L}}&&[{UNSPACED}]]\p{{M}}*"
     r"|[0-9]+(?:[.,:][0-9]+)*|[.!?]"
 )
-ENDS = (".", "!", "?")
 #: Units after numbers, in English, French, German and Spanish.
 UNITS = (
     "mm cm dm m km in ft yd mi inch inches foot feet yard yards mile miles meter meters metre "
@@ -56,127 +66,220 @@ SINGULARS = {
     "wochen": "woche", "monate": "monat", "jahre": "jahr", "meses": "mes",
 } | {u + "s": u for u in UNITS if len(u) > 1 and u + "s" in UNITS}
 BROADCAST_KEYS = 1_000_000  # documents of about 20 bytes
-BROADCAST_ROWS = 2_000_000  # benchmark windows of about 40 bytes; more are joined by a shuffle
+BROADCAST_ROWS = 2_000_000  # hashes of benchmark windows; more are joined by a shuffle
+BROADCAST_PARTS = 100_000  # benchmark windows with their tokens, of about 400 bytes
+STARTS = 5_000  # first pairs of items looked for whole that are spelled in the plan; else all places
+HALF, FEW = 8, 4  # tokens from which one literal word will do for a whole item, and two
 
 
-def raw_tokens(text: Column) -> Column:
-    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(TOKEN), F.lit(0))
+def _ends(token: Column) -> Column:
+    """A full stop, exclamation or question mark: tokens begin with one of these, 0-9 or a letter."""
+    return (token < "0") | ((token >= ":") & (token < "A"))
 
 
 def _digit(token: Column) -> Column:
-    return F.substring(token, 1, 1).between("0", "9")
+    return (token >= "0") & (token < ":")
+
+
+def with_tokens(df: DataFrame, text: str) -> DataFrame:
+    """`df` with __tokens, an array of (kind, value): the placeholder, or else the lower-case word, and
+    the lower-case word. Sentence ends only tell names from first words."""
+    raw = F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(TOKEN), F.lit(0))
+    df = df.withColumn("__raw", raw).withColumn("__low", F.transform("__raw", F.lower))
+
+    def token(t: Column, i: Column) -> Column:
+        low, before = F.get("__low", i), F.get("__raw", i - 1)  # null before the first
+        name = (
+            (F.substring(t, 1, 1) != F.substring(low, 1, 1))
+            & (F.length(t) > 1)
+            & (F.substring(t, 2, 1 << 30) == F.substring(low, 2, 1 << 30))
+            & ~_ends(before)
+        )
+        kind = (
+            F.when(_digit(t), "<num>")
+            .when(_digit(before) & low.isin(*UNITS), "<unit>")
+            .when(t == low, low)
+            .when(name, "<name>")
+            .otherwise(low)
+        )
+        return F.when(~_ends(t), F.struct(kind.alias("kind"), low.alias("value")))
 
+    tokens = F.filter(F.transform("__raw", token), lambda x: x.isNotNull())
+    return df.withColumn("__tokens", tokens).drop("__raw", "__low")
 
-def _template(raw: Column, token: Column, i: Column) -> Column:
-    before = F.get(raw, i - 1)  # null before the first
-    first, rest = F.substring(token, 1, 1), F.substring(token, 2, 1 << 30)
-    name = (first != F.lower(first)) & (rest != "") & (rest == F.lower(rest))
-    return (
-        F.when(token.isin(*ENDS), None)
-        .when(_digit(token), "<num>")
-        .when(_digit(before) & F.lower(token).isin(*UNITS), "<unit>")
-        .when(name & before.isNotNull() & ~before.isin(*ENDS), "<name>")
-        .otherwise(F.lower(token))
+
+def with_hashes(df: DataFrame, widths: list[int]) -> DataFrame:
+    """`df` with __h1, __h2, __h4 and so on up to the largest of `widths`: (kind, value) hashes of the
+    windows of so many tokens from each place; those beyond the end mean nothing."""
+    pair = F.transform(
+        "__tokens",
+        lambda t: F.struct(F.xxhash64(t["kind"]).alias("kind"), F.xxhash64(t["value"]).alias("value")),
     )
+    df = df.withColumn("__h1", pair)
+    step = 1
+    while 2 * step <= max(widths):
+        df = df.withColumn(f"__h{2 * step}", F.transform(f"__h{step}", _joined(f"__h{step}", step)))
+        step *= 2
+    return df
 
 
-def with_templates(df: DataFrame, text: str) -> DataFrame:
-    """`df` with __template and the parallel lower-case __values."""
-    df = df.withColumn("__raw", raw_tokens(F.col(text)))
-    raw = F.col("__raw")
-    templates = F.transform(raw, lambda t, i: _template(raw, t, i))
-    df = df.withColumn("__template", F.filter(templates, lambda t: t.isNotNull()))
-    kept = F.filter(raw, lambda t: ~t.isin(*ENDS))
-    return df.withColumn("__values", F.transform(kept, F.lower)).drop("__raw")
+def _joined(hashes: str, ahead: int):
+    """Each place's hashes put together with those `ahead` of it."""
 
+    def both(h: Column, i: Column) -> Column:
+        other = F.get(F.col(hashes), i + ahead)
+        return F.struct(
+            F.xxhash64(h["kind"], other["kind"]).alias("kind"),
+            F.xxhash64(h["value"], other["value"]).alias("value"),
+        )
 
-def _starts(tokens: Column, window: int) -> Column:
-    n = F.size(tokens)
-    return F.when(n >= window, F.sequence(F.lit(0), n - window)).otherwise(
-        F.array().cast("array<int>")
-    )
+    return both
 
 
-def _windows(tokens: Column, window: int) -> Column:
-    """(at, hash) of the windows of hashed tokens."""
-    return F.transform(
-        _starts(tokens, window),
-        lambda i: F.struct(i.alias("at"), F.xxhash64(F.slice(tokens, i + 1, window)).alias("hash")),
-    )
+def _half(width: int) -> int:
+    return 1 << (width.bit_length() - 1)
 
 
-def _template_windows(window: int) -> Column:
-    """(at, hash) of the windows of __kinds that differ from those of __plain."""
-    kinds, plain = F.col("__kinds"), F.col("__plain")
-    starts = F.filter(
-        _starts(kinds, window), lambda i: F.slice(kinds, i + 1, window) != F.slice(plain, i + 1, window)
-    )
-    return F.transform(
-        starts,
-        lambda i: F.struct(i.alias("at"), F.xxhash64(F.slice(kinds, i + 1, window)).alias("hash")),
-    )
+def window_hashes(width: int) -> Column:
+    """Array of (kind, value) hashes of the windows of `width` tokens, from __h columns."""
+    half, places = _half(width), F.greatest(F.size("__tokens") - (width - 1), F.lit(0))
+    hashes = F.slice(f"__h{half}", 1, places)
+    if half == width:
+        return hashes
+    return F.transform(hashes, _joined(f"__h{half}", width - half))
+
+
+def place_hashes(width: int, at: Column) -> Column:
+    """(kind, value) hashes of the window of `width` tokens at one place."""
+    half = _half(width)
+    first = F.get(f"__h{half}", at)
+    return first if half == width else _joined(f"__h{half}", width - half)(first, at)
+
+
+def _emitted(window: int, whole: list[int], starts: list[int] | None) -> Column:
+    """Array of (at, width, hash) for one document: each window by its words, and by its template
+    where that is another; and for each width of `whole`, both at the places where `starts`, the hashes
+    of two kinds, say that such an item may begin."""
 
+    def rows(pairs: Column, width: Column, plain: Column) -> Column:
+        return F.transform(
+            pairs,
+            lambda w: F.struct(
+                w["at"].alias("at"), width.alias("width"), F.when(plain, w["h"]["value"]).otherwise(w["h"]["kind"]).alias("hash")
+            ),
+        )
+
+    def both(pairs: Column, width: int) -> list[Column]:
+        other = F.filter(pairs, lambda w: w["h"]["kind"] != w["h"]["value"])
+        return [rows(p, F.lit(width), F.lit(b)) for p, b in ((pairs, True), (other, False))]
 
-def with_hashes(df: DataFrame) -> DataFrame:
-    """`df` with the hashes of __template and __values, token by token."""
-    return df.withColumns(
-        {
-            "__kinds": F.transform("__template", lambda t: F.xxhash64(t)),
-            "__plain": F.transform("__values", lambda t: F.xxhash64(t)),
-        }
+    placed = F.transform(
+        window_hashes(window), lambda h, i: F.struct(i.alias("at"), h.alias("h"))
     )
+    parts = both(placed, window)
+    for width in whole:
+        places = F.sequence(F.lit(0), F.size("__tokens") - width)
+        if starts is not None:
+            places = F.filter(places, _begins(starts))
+        found = F.transform(
+            places, lambda i: F.struct(i.alias("at"), place_hashes(width, i).alias("h"))
+        )
+        fits = F.when(F.size("__tokens") >= width, found).otherwise(F.array().cast(placed_type()))
+        parts += both(fits, width)
+    return F.concat(*parts)
+
 
+def _begins(starts: list[int]):
+    def test(i: Column) -> Column:
+        pair = F.get("__h2", i)
+        return pair["kind"].isin(starts) | pair["value"].isin(starts)
 
-def benchmark_windows(items: DataFrame, id: str, text: str, window: int, literals: int) -> DataFrame:
-    """The windows (item_id, item_at, hash), by template where that has at least `literals` words
-    and by lower-case words, and (item_id, item_template, item_values)."""
+    return test
+
+
+def placed_type() -> str:
+    return "array<struct<at: int, h: struct<kind: bigint, value: bigint>>>"
+
+
+def benchmark_windows(items: DataFrame, id: str, text: str, window: int) -> DataFrame:
+    """One row for each window of each item that is looked for: (item_id, item_key, item_tokens, at,
+    width, plain, start, tokens). `plain` is true of word for word, `tokens` has its (kind, value)."""
     items = (
-        with_templates(items.select(F.col(id).alias("item_id"), F.col(text).alias("t")), "t")
-        .select("item_id", "__template", "__values")
+        with_tokens(items.select(F.col(id).alias("item_id"), F.col(text).alias("t")), "t")
+        .select("item_id", "__tokens")
         .distinct()  # equal texts of one id once
-        .withColumn("item_key", F.xxhash64("__template", "__values"))
-    )
-    hashed = with_hashes(items)
-    kinds, plain = F.col("__kinds"), F.col("__plain")
-    literal = F.transform("__template", lambda t: ~t.startswith("<"))
-    indexed = F.filter(
-        _windows(kinds, window),
-        lambda w: F.size(F.filter(F.slice(literal, w["at"] + 1, window), lambda t: t)) >= literals,
+        .withColumns({"item_key": F.xxhash64("__tokens"), "n": F.size("__tokens")})
+        .filter("n > 0")
     )
-    # Whatever the window holds, and whole items under a window: word for word.
-    short = F.filter(
-        F.array(F.struct(F.lit(0).alias("at"), F.xxhash64(plain).alias("hash"))),
-        lambda w: F.size(plain).between(1, window - 1),
+
+    def literals(tokens: Column) -> Column:
+        return F.size(F.filter(tokens, lambda t: ~t["kind"].startswith("<")))
+
+    starts = F.when(F.col("n") >= window, F.sequence(F.lit(0), F.col("n") - window)).otherwise(
+        F.array(F.lit(0))
     )
-    windows = hashed.select(
-        "item_id",
-        "item_key",
-        F.size(plain).alias("item_tokens"),
-        F.inline(F.concat(indexed, _windows(plain, window), short)),
-    ).withColumnRenamed("at", "item_at")
-    return windows, items.select(
-        "item_id",
-        "item_key",
-        F.col("__template").alias("item_template"),
-        F.col("__values").alias("item_values"),
+    cut = F.transform(
+        starts,
+        lambda i: F.struct(
+            i.alias("at"), F.slice("__tokens", i + 1, F.least(F.lit(window), F.col("n"))).alias("tokens")
+        ),
     )
+    cut = items.withColumn("cut", cut)
+    rich = F.filter("cut", lambda w: (literals(w["tokens"]) >= (window + 1) // 2) & (F.col("n") >= window))
+    words = literals(F.col("__tokens"))
+    enough = ((words >= 1) & (F.col("n") >= HALF)) | ((words >= 2) & (F.col("n") >= FEW))
+    whole = F.when(
+        enough & (F.size(rich) == 0),
+        F.array(F.struct(F.lit(0).alias("at"), F.col("__tokens").alias("tokens"))),
+    ).otherwise(F.array().cast("array<struct<at: int, tokens: array<struct<kind: string, value: string>>>>"))
+
+    def of(found: Column, plain: bool) -> DataFrame:
+        return cut.select(
+            "item_id",
+            "item_key",
+            F.col("n").alias("item_tokens"),
+            F.lit(plain).alias("plain"),
+            F.inline(found),
+        )
+
+    made = of(F.col("cut"), True).unionByName(of(rich, False)).unionByName(of(whole, False))
+    # A window without placeholders is the same by template and word for word.
+    return made.filter(
+        F.col("plain") | F.exists("tokens", lambda t: t["kind"].startswith("<"))
+    ).withColumn("width", F.size("tokens"))
+
+
+def _hashed(windows: DataFrame, widths: list[int]) -> DataFrame:
+    """`windows` with their `hash`, and `starts`, those of the first two kinds and words."""
+    df = with_hashes(windows.withColumn("__tokens", F.col("tokens")), widths)
+    made = F.lit(None).cast("bigint")
+    for width in widths:
+        found = place_hashes(width, F.lit(0))
+        made = F.when(
+            F.col("width") == width, F.when(F.col("plain"), found["value"]).otherwise(found["kind"])
+        ).otherwise(made)
+    pair = F.get("__h2", F.lit(0)) if max(widths) > 1 else F.get("__h1", F.lit(0))
+    helpers = [c for c in df.columns if c.startswith("__")]
+    return df.withColumn("hash", made).withColumn("starts", F.array(pair["kind"], pair["value"])).drop(*helpers)
 
 
 def _singulars() -> Column:
     return F.create_map(*[F.lit(w) for pair in SINGULARS.items() for w in pair])
 
 
-def covered(places: Column, window: Column) -> Column:
-    """Tokens that windows at the sorted `places` cover."""
-    return F.aggregate(
-        places,
-        F.struct(F.lit(0).alias("sum"), F.lit(-(1 << 30)).alias("end")),
-        lambda acc, p: F.struct(
-            (acc["sum"] + F.least(window, p + window - acc["end"])).alias("sum"),
-            (p + window).alias("end"),
-        ),
-        lambda acc: acc["sum"],
+def _slots() -> Column:
+    """(kind, a, b): the values in a window, of the item's `tokens` and the document's `found`."""
+
+    def value(token: Column) -> Column:
+        single = F.coalesce(F.element_at(_singulars(), token["value"]), token["value"])
+        return F.when(token["kind"] == "<unit>", single).otherwise(token["value"])
+
+    pairs = F.zip_with(
+        "tokens",
+        "found",
+        lambda a, b: F.struct(a["kind"].alias("kind"), value(a).alias("a"), value(b).alias("b")),
     )
+    return F.filter(pairs, lambda s: s["kind"].startswith("<"))
 
 
 def _small(keys: DataFrame) -> DataFrame:
@@ -184,76 +287,81 @@ def _small(keys: DataFrame) -> DataFrame:
     return F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
 
 
-def _occurrences(found: DataFrame, n: Column) -> DataFrame:
-    """One row for each alignment `d` (place in the document less place in the item) with the
-    alignments `near` it and the document's tokens around it, from `low`."""
-    lines = F.array_sort("lines")
-
-    def occurrence(d: Column, k: Column) -> Column:
-        low = F.greatest(d - n, F.lit(0))
-        # Alignments differ, so those within n are within n places of the sorted ones.
-        near = F.filter(
-            F.slice(lines, F.greatest(k - n, F.lit(0)) + 1, 2 * n + 1),
-            lambda x: F.abs(x - d) <= n,
-        )
-        return F.struct(
-            d.alias("d"),
-            low.alias("low"),
-            near.alias("near"),
-            F.slice("__template", low + 1, 3 * n).alias("template"),
-            F.slice("__values", low + 1, 3 * n).alias("values"),
-        )
-
-    return found.select(
-        "doc_id",
-        "doc_key",
-        "item_id",
-        "item_key",
-        "item_template",
-        "item_values",
-        F.explode(F.transform(lines, occurrence)).alias("o"),
-    ).select("*", "o.*").drop("o")
-
-
-def _line(x: Column, d: Column) -> Column:
-    """Which item tokens the document repeats at alignment `x`, in kind or in value."""
+def covered(windows: Column) -> Column:
+    """Tokens that (at, width) windows, sorted, cover."""
+    return F.aggregate(
+        windows,
+        F.struct(F.lit(0).alias("sum"), F.lit(0).alias("end")),
+        lambda acc, w: F.struct(
+            (acc["sum"] + F.greatest(w["at"] + w["width"] - F.greatest(acc["end"], w["at"]), F.lit(0))).alias("sum"),
+            F.greatest(acc["end"], w["at"] + w["width"]).alias("end"),
+        ),
+        lambda acc: acc["sum"],
+    )
 
-    def own(j: Column, name: str) -> Column:
-        return F.get(F.col(f"item_{name}"), j)
 
-    def other(j: Column, name: str) -> Column:
-        return F.get(F.col(name), x + j - F.col("low"))
+OF = ["doc_id", "doc_key", "item_id", "item_key"]
 
-    def same(j: Column, name: str) -> Column:
-        return F.coalesce(own(j, name) == other(j, name), F.lit(False))
 
-    return F.struct(
-        F.abs(x - d).alias("far"),
-        x.alias("x"),
-        F.transform("tokens", lambda j: same(j, "template") | same(j, "values")).alias("equal"),
-        F.transform("tokens", lambda j: same(j, "values")).alias("same"),
+def matched_windows(
+    docs: DataFrame, items: DataFrame, id: str, text: str, item: str, item_text: str, window: int
+) -> DataFrame:
+    """(doc_id, doc_key, item_id, item_key, item_tokens, line, at, width, same, slots): a row for each
+    pair of a document's window and an item's with the same template or the same words. The key of a
+    document is a hash of its text."""
+    cut = written(benchmark_windows(items, item, item_text, window), "bench-cut")
+    widths = sorted(r.width for r in cut.select("width").distinct().collect())  # of items looked for whole
+    if not widths:
+        widths = [window]
+    windows = written(_hashed(cut, widths), "bench-windows")
+    whole = [w for w in widths if w != window]
+    starts = None
+    if whole and whole[0] > 1:
+        pairs = windows.filter(F.col("width") != window).select(F.explode("starts").alias("start"))
+        pairs = [r.start for r in pairs.distinct().limit(STARTS + 1).collect()]
+        starts = pairs if len(pairs) <= STARTS else None
+    rows = docs.select(
+        F.col(id).alias("doc_id"), F.xxhash64(F.col(text)).alias("doc_key"), F.col(text).alias("t")
     )
 
+    def emitted(rows: DataFrame, *more: str) -> DataFrame:
+        hashed = with_hashes(with_tokens(rows, "t"), [*widths, window])
+        return hashed.select("doc_id", "doc_key", *more, F.inline(_emitted(window, whole, starts)))
 
-def _slots(place: Column, window: Column) -> Column:
-    """(kind, a, b): the parameters in a window, in the item and in the document."""
-
-    def slot(j: Column) -> Column:
-        at = place["at"] + j
-        kind = F.get(F.col("item_template"), at)
-
-        def value(v: Column) -> Column:
-            return F.when(kind == "<unit>", F.coalesce(F.element_at(_singulars(), v), v)).otherwise(v)
-
-        return F.struct(
-            kind.alias("kind"),
-            value(F.get(F.col("item_values"), at)).alias("a"),
-            value(F.get(F.col("values"), place["x"] + at - F.col("low"))).alias("b"),
+    # First which documents meet an item at all; only those are looked at with their tokens.
+    hashes = windows.select("hash").distinct()
+    if windows.count() <= BROADCAST_ROWS:
+        hashes = F.broadcast(hashes)
+    met = emitted(rows).join(hashes, "hash", "left_semi").select("doc_id", "doc_key").distinct()
+    met = written(met, "bench-met").withColumnsRenamed({"doc_id": "d", "doc_key": "k"})
+    same_doc = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("doc_key") == F.col("k"))
+    those = rows.join(_small(met), same_doc, "left_semi").dropDuplicates(["doc_id", "doc_key"])
+    parts = windows.drop("starts").withColumnsRenamed({"at": "item_at", "width": "item_width"})
+    if parts.count() <= BROADCAST_PARTS:
+        parts = F.broadcast(parts)
+    found = emitted(those, "__tokens").withColumn("found", F.slice("__tokens", F.col("at") + 1, F.col("width")))
+    found = found.drop("__tokens").withColumnRenamed("hash", "h")
+    met_windows = found.join(parts, (F.col("h") == F.col("hash")) & (F.col("width") == F.col("item_width")))
+
+    def part(tokens: str, name: str) -> Column:
+        return F.transform(tokens, lambda t: t[name])
+
+    same = part("tokens", "value") == part("found", "value")
+    alike = part("tokens", "kind") == part("found", "kind")  # not the hashes alone
+    return (
+        met_windows.withColumn("same", same)
+        .filter(F.when(F.col("plain"), F.col("same")).otherwise(alike))
+        .select(
+            *OF,
+            "item_tokens",
+            (F.col("at") - F.col("item_at")).alias("line"),
+            F.col("item_at").alias("at"),
+            "width",
+            "same",
+            F.when(F.col("same") & ~alike, F.array().cast("array<struct<kind: string, a: string, b: string>>"))
+            .otherwise(_slots())
+            .alias("slots"),
         )
-
-    return F.filter(
-        F.transform(F.sequence(F.lit(0), window - 1), slot),
-        lambda s: s["kind"].startswith("<"),
     )
 
 
@@ -268,81 +376,36 @@ def _leaks(
     run: int,
 ) -> DataFrame:
     """(doc_key, doc_id, item_id, ...) by document text: the key is id and text."""
-    literals = (window + 1) // 2
-    windows, parts = benchmark_windows(items, item, item_text, window, literals)
-    windows, parts = written(windows, "bench-windows"), written(parts, "bench-items")
-    short = windows.filter(F.col("item_tokens") < window).select("item_tokens").distinct()
-    sizes = sorted(r.item_tokens for r in short.collect())  # fewer than `window`
-    windows = windows.drop("item_tokens")
-    if windows.count() <= BROADCAST_ROWS:
-        windows = F.broadcast(windows)
-    rows = docs.select(
-        F.col(id).alias("doc_id"), F.xxhash64(F.col(text)).alias("doc_key"), F.col(text).alias("t")
-    )
-    # Where no parameter stands in a window both hashes are one.
-    every = F.concat(*[_windows(F.col("__plain"), w) for w in sizes], _windows(F.col("__plain"), window))
-    met = (
-        with_hashes(with_templates(rows, "t"))
-        .select(
-            "doc_id",
-            "doc_key",
-            F.inline(F.concat(_template_windows(window), every)),
-        )
-        .withColumnRenamed("at", "doc_at")
-        .join(windows, "hash")
-        .groupBy("doc_id", "doc_key", "item_id", "item_key")
-        .agg(F.collect_set(F.col("doc_at") - F.col("item_at")).alias("lines"))
-    )
-    met = written(met, "bench-met")
-    # The texts of documents that met an item, once more, now with values.
-    keyed = rows.withColumnsRenamed({"doc_id": "d", "doc_key": "k"})
-    same = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("doc_key") == F.col("k"))
-    those = _small(met.select("doc_id", "doc_key").distinct())
-    keyed = keyed.join(those, same, "left_semi").distinct()
-    found = with_templates(met.join(keyed, same), "t")
-    found = found.join(
-        parts.withColumnsRenamed({"item_id": "i", "item_key": "ik"}),
-        F.col("item_id").eqNullSafe(F.col("i")) & (F.col("item_key") == F.col("ik")),
+    matched = matched_windows(docs, items, id, text, item, item_text, window)
+    place = [*OF, "item_tokens", "line", "at", "width"]
+    # By words and by template a window is one row.
+    matched = matched.groupBy(*place).agg(F.max(F.struct("same", "slots")).alias("w")).select(*place, "w.*")
+    of_line = Window.partitionBy(*OF, "line")  # at most a row for each place of the item
+    matched = written(matched.withColumn("support", F.count("*").over(of_line)), "bench-matched")
+
+    # Words alone, from all occurrences.
+    spans = F.array_sort(F.collect_set(F.when(F.col("same"), F.struct("at", "width"))))
+    alone = matched.groupBy(*OF, "item_tokens").agg(covered(spans).alias("same_covered"))
+
+    def bands(width: Column, scope: int) -> list[Column]:
+        """Each line lies in two bands twice as wide as `width`, and close lines share one."""
+        band = F.floor(F.col("line") / width).cast("bigint")
+        return [F.struct(F.lit(scope).alias("scope"), b.alias("band")) for b in (band, band - 1)]
+
+    groups = F.array(
+        F.struct(F.lit(0).alias("scope"), F.col("line").cast("bigint").alias("band")),
+        *bands(F.lit(window), 1),
+        *bands(F.col("item_tokens"), 2),
     )
-    n = F.size("item_template")
-    width = F.least(F.lit(window), n)
-    near = _occurrences(found, n).withColumn("tokens", F.sequence(F.lit(0), n - 1))
-    lines = F.transform("near", lambda x: _line(x, F.col("d")))
-    near = near.withColumn("lines", F.array_sort(lines))  # the nearest first
-    starts = F.sequence(F.lit(0), n - width)
-
-    def whole(line: Column, part: str, at: Column) -> Column:
-        return F.forall(F.slice(line[part], at + 1, width), lambda e: e)
-
-    def place(at: Column) -> Column:
-        line = F.get(F.filter("lines", lambda x: whole(x, "equal", at)), F.lit(0))
-        literal = F.size(
-            F.filter(F.slice("item_template", at + 1, window), lambda t: ~t.startswith("<"))
-        )
-        return F.struct(
-            at.alias("at"),
-            line["far"].alias("far"),
-            line["x"].alias("x"),
-            ((literal >= literals) & (n >= window)).alias("indexed"),
-            whole(line, "same", at).alias("same"),
-        )
-
-    places = F.filter(F.transform(starts, place), lambda p: p["far"].isNotNull())
-    far = F.when(F.size("near") > 1, F.array(F.lit(0), F.lit(window), n)).otherwise(
-        F.array(F.lit(0))
-    )
-    chosen = (
-        near.withColumn("places", places)
-        .withColumn("far", F.explode(far))
-        .withColumn(
-            "places",
-            F.filter(
-                "places", lambda p: (p["far"] <= F.col("far")) & (p["indexed"] | p["same"])
-            ),
-        )
-        .withColumn(
-            "slots",
-            F.array_distinct(F.flatten(F.transform("places", lambda p: _slots(p, width)))),
+    first = F.max(F.struct("support", (-F.abs("line")).alias("near"), "line", "slots")).alias("w")
+    occurrences = (
+        matched.withColumn("group", F.explode(groups))
+        .groupBy(*OF, "item_tokens", "group", "at", "width")
+        .agg(first)
+        .groupBy(*OF, "item_tokens", "group")
+        .agg(
+            F.array_sort(F.collect_list(F.struct("at", "width"))).alias("spans"),
+            F.array_distinct(F.flatten(F.collect_list("w.slots"))).alias("slots"),
         )
     )
 
@@ -354,34 +417,25 @@ def _leaks(
     one_to_one = (distinct_by("kind", "a") == F.size("slots")) & (
         distinct_by("kind", "b") == F.size("slots")
     )
-    ats = F.transform("places", lambda p: p["at"])
-    # Of this occurrence's own line; those of all occurrences are joined below.
-    same = F.transform(
-        F.filter("places", lambda p: p["same"] & (p["x"] == F.col("d"))), lambda p: p["at"]
-    )
-    of = ["doc_id", "doc_key", "item_id", "item_key"]
-    counted = (
-        chosen.select(
-            *of,
-            n.alias("item_tokens"),
-            same.alias("same"),
-            F.when(one_to_one, covered(ats, width)).otherwise(0).alias("covered"),
-        )
-        .groupBy(*of)
-        .agg(
-            F.max("item_tokens").alias("item_tokens"),
-            F.array_distinct(F.flatten(F.collect_set("same"))).alias("same"),
-            F.max("covered").alias("covered"),
-        )
-        .withColumn("same", covered(F.array_sort("same"), F.least(F.lit(window), F.col("item_tokens"))))
+    changed = (
+        occurrences.filter(one_to_one)
+        .groupBy(*OF)
+        .agg(F.max(covered(F.col("spans"))).alias("covered"))
+        .withColumnsRenamed({c: f"c_{c}" for c in OF})
     )
-    enough = F.least(F.lit(run), F.ceil(F.col("item_tokens") / 2))
-    return (
-        counted.withColumn("covered", F.greatest("same", "covered"))
-        .filter(F.col("covered") >= enough)
-        .withColumn(
-            "kind", F.when(F.col("same") >= F.col("covered"), "exact").otherwise("reparameterised")
-        )
+    same_pair = F.lit(True)
+    for c in OF:
+        same_pair = same_pair & F.col(c).eqNullSafe(F.col(f"c_{c}"))
+    both = alone.join(changed, same_pair, "left").withColumn("covered", F.coalesce("covered", F.lit(0)))
+    exact = F.col("same_covered") >= F.least(F.lit(run), F.ceil(F.col("item_tokens") / 2))
+    other = F.col("covered") >= F.least(F.lit(run), F.col("item_tokens"))
+    return both.filter(exact | other).select(
+        *OF,
+        "item_tokens",
+        F.greatest("same_covered", F.when(other, F.col("covered"))).alias("covered"),
+        F.when(exact & ((F.col("same_covered") >= F.col("covered")) | ~other), "exact")
+        .otherwise("reparameterised")
+        .alias("kind"),
     )
 
 
