@@ -3,7 +3,7 @@ import pytest
 LONG = " ".join(f"word{i % 977}" for i in range(30_000))
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 #: Names that helpers of some operator might use.
-EXTRA = ("fp", "u", "v", "a", "b", "size", "hash", "key", "id", "t", "s", "copies", "root", "slice")
+EXTRA = ("__id", "__key", "fp", "u", "v", "a", "b", "size", "hash", "key", "id", "t", "s", "copies", "root", "slice")
 
 EDGES = [
     (None, None, None, None, None),

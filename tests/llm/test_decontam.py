@@ -155,3 +155,59 @@ def test_copies_in_other_case(spark, items):
     plain = QUESTION.replace(".", "")
     texts = (QUESTION.lower(), QUESTION.title(), QUESTION.upper(), plain)
     assert found(spark, items, *texts) == {(i, 1): "exact" for i in range(4)}
+
+
+def test_short_and_number_heavy_items_with_other_numbers(spark):
+    cases = [
+        ("What is 12 + 45 + 78?", "What is 7 + 31 + 99?"),
+        ("Solve 3 x + 5 = 20", "Solve 4 x + 9 = 61"),
+        ("Add 12 34 56 78 90 11 22 33 44 55", "Add 10 30 50 70 91 12 23 35 46 57"),
+    ]
+    for item, text in cases:
+        got = changed(spark, item, f"{FILLER} {text} {FILLER}", FILLER * 3, "What is 3 for you and me")
+        assert got == {(0, 1): "reparameterised"}, item
+
+
+def test_one_common_window_is_no_leak(spark):
+    """A pattern of articles and names, shared by an item of 16 tokens and a clean text."""
+    item = "Gestern ging der Hans mit der Grete und dem Otto lange durch den dunklen grünen Wald spazieren"
+    text = "Sie sahen der Hund mit der Leine und dem Ball zu, und niemand sonst war an jenem Tag dort."
+    assert changed(spark, item, FILLER + text) == {}
+
+
+def other_numbers(text):
+    import re
+
+    made = re.sub(r"[0-9]+", lambda m: str(int(m[0]) * 7 + 13), text)
+    return made
+
+
+def test_changed_copies_of_every_item(spark, sf_dir):
+    """Every item of the given benchmark with a number in every sixth word's place and names changed."""
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()
+    originals, copies = [], []
+    for r in items:
+        words = r.text.split()
+        a = [str(11 + i) if i % 6 == 3 else w for i, w in enumerate(words)]
+        b = [other_numbers(w) if i % 6 == 3 else w for i, w in enumerate(a)]
+        originals.append((r.item_id, " ".join(a)))
+        copies.append((r.item_id, f"{FILLER} {' '.join(b)} {FILLER}"))
+    bench = spark.createDataFrame(originals, "item_id long, text string")
+    docs = spark.createDataFrame(copies, "doc_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontam.leaks(docs, bench).collect()}
+    wanted = {(i, i) for i, _ in originals}
+    assert len(got & wanted) >= 0.9 * len(wanted)
+    assert len(got - wanted) <= 0.05 * len(wanted)
+
+
+def test_a_repeated_template_is_bounded_work(spark):
+    """An item of 360 tokens that repeats its template and a document of 5,000 words that does."""
+    import time
+
+    line = "Row {} of the long table holds {} kg for Maria "
+    item = "".join(line.format(i, 2 * i + 1) for i in range(36))
+    text = "".join(line.format(i + 500, 3 * i + 7) for i in range(500))
+    start = time.perf_counter()
+    found = changed(spark, item, text)
+    assert time.perf_counter() - start < 60
+    assert found in ({}, {(0, 1): "reparameterised"})

@@ -126,3 +126,15 @@ def test_values_with_something_behind(kind, value, behind):
 
 def test_value_within_a_match_that_fails():
     assert pii.Pseudonyms(KEY).apply("AB12 4111 1111 1111 1111")[1] == ["card"]
+
+
+@pytest.mark.parametrize("day", ["2021-03-26", "2021-03-05", "1999-12-31", "1850-05-06", "2000-02-29"])
+def test_one_day_in_every_format_is_one_pseudonym(day):
+    y, m, d = day.split("-")
+    spelled = [f"{y}-{m}-{d}", f"{y}/{m}/{d}", f"{d}.{m}.{y}", f"{m}/{d}/{y}"]
+    spelled += [f"{d}/{m}/{y}"] if int(d) > 12 else []
+    names, back = pii.Pseudonyms(KEY), pii.Pseudonyms(KEY, restore=True)
+    made = [names.apply(s)[0] for s in spelled]
+    days = {pii._dates(s)[0] for s in made}
+    assert len(days) == 1 and days != {pii._dates(day)[0]}
+    assert [back.apply(s)[0] for s in made] == spelled

@@ -110,3 +110,40 @@ def test_long_chain(spark):
     chain = spark.range(300).selectExpr("id as a", "id + 1 as b")
     labels = component_labels(chain, "a", "b").collect()
     assert len(labels) == 301 and {r.root for r in labels} == {0}
+
+
+LONG_A = "one text that has quite a few words in it and is kept whole by every stage"
+LONG_B = "something else entirely which nobody would take for a copy of any other line here"
+
+
+def test_unlike_texts_under_one_id_are_kept(spark):
+    """No text goes unless its component keeps one."""
+    rows = [(3, LONG_A), (5, LONG_A), (5, LONG_B), (7, LONG_B + " x"), (7, "alone under seven"), (7, LONG_A)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    made = sorted((r.doc_id, r.text) for r in simhash.representatives(docs).collect())
+    fps = {t: simhash.fingerprint(t.encode(), 3) for _, t in rows}
+    components = []
+    for t in fps:
+        near = [c for c in components if any(bin((fps[t] ^ fps[u]) & (2**64 - 1)).count("1") <= 2 for u in c)]
+        components = [c for c in components if c not in near] + [{t}.union(*near)]
+    assert len(made) == len(components)
+    for c in components:
+        assert len([t for _, t in made if t in c]) == 1
+    assert (3, LONG_A) in made
+
+
+def test_rows_with_maps_and_null_ids(spark):
+    rows = [
+        (None, LONG_A, {"a": 1}, "x"),
+        (None, LONG_A, {"a": 2}, "x"),
+        (4, LONG_B, {"b": 1}, "y"),
+        (4, LONG_B, {"b": 0}, "y"),
+        (9, LONG_B, {}, None),
+        (None, None, None, None),
+        (2, "", None, None),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, tags map<string,int>, `__key` string")
+    made = simhash.representatives(docs)
+    assert made.columns == docs.columns
+    got = sorted([(r.doc_id, r.text, r.tags) for r in made.collect()], key=str)
+    assert got == sorted([(2, "", None), (4, LONG_B, {"b": 0}), (None, LONG_A, {"a": 1})], key=str)

@@ -3,9 +3,7 @@
 Texts become template tokens: lower-case words, with numbers, units after numbers and capitalised
 names within a sentence replaced by typed placeholders. Windows of `window` tokens are joined by
 hash, and so are windows of the lower-case words themselves: those find copies with few literal words
-or in other upper and lower case. Of scripts without blanks each letter is a token. The hash of a
-window is put together from those of its halves, so a document takes a few steps a token, whatever the
-window.
+or in other upper and lower case. Of scripts without blanks each letter is a token.
 
 Items without a window of which half is literal, numbers in rows for the most part, are looked for
 whole by their template, and so are items under `window` tokens; both need a literal word or two. Only
@@ -38,16 +36,20 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from windspan.llm.names import unused
 from windspan.session import written
 
-#: Scripts without blanks between words, of which each letter is a token.
-UNSPACED = "".join(
-    rf"\p{{Is{k}}}" for k in ("Han", "Hiragana", "Katakana", "Thai", "Lao", "Khmer", "Myanmar")
+#: Scripts without blanks between words, of which each letter is a token: Thai, Lao, Myanmar, Khmer,
+#: Han, Hiragana and Katakana, by their blocks, which are tested faster than scripts are.
+UNSPACED = (
+    r"\u0E00-\u0EFF\u1000-\u109F\u1780-\u17FF\u2E80-\u2FDF\u3005-\u3007\u3021-\u303B\u3041-\u30FF"
+    r"\u31F0-\u31FF\u3400-\u4DBF\u4E00-\u9FFF\uA9E0-\uA9FF\uAA60-\uAA7F\uF900-\uFAFF\uFF66-\uFF9F"
+    r"\x{1AFF0}-\x{1B16F}\x{20000}-\x{3FFFF}"
 )
-SPACED = rf"[\p{{L}}&&[^{UNSPACED}]]"
+SPACED = rf"A-Za-z[\p{{L}}&&[^{UNSPACED}]]"
 TOKEN = (
-    rf"{SPACED}(?:{SPACED}|\p{{M}})*|[\p{{L}}&&[{UNSPACED}]]\p{{M}}*"
-    r"|[0-9]+(?:[.,:][0-9]+)*|[.!?]"
+    rf"[{SPACED}][{SPACED}\p{{M}}]*+|[\p{{L}}&&[{UNSPACED}]]\p{{M}}*+"
+    r"|[0-9]++(?:[.,:][0-9]++)*+|[.!?]"
 )
 #: Units after numbers, in English, French, German and Spanish.
 UNITS = (
@@ -81,142 +83,147 @@ def _digit(token: Column) -> Column:
     return (token >= "0") & (token < ":")
 
 
+def _kind(raw: Column, t: Column, low: Column, i: Column, made) -> Column:
+    """Of the token `t`, the `i`th of `raw`: `made` of its placeholder, or of None for the word itself.
+    Most tokens are lower-case words, so these are told first."""
+    before = F.get(raw, i - 1)  # null before the first
+    name = (
+        (F.substring(t, 1, 1) != F.substring(low, 1, 1))
+        & (F.length(t) > 1)
+        & (F.substring(t, 2, 1 << 30) == F.substring(low, 2, 1 << 30))
+        & ~_ends(before)
+    )
+    return (
+        F.when(_digit(t), made("<num>"))
+        .when(_digit(before) & low.isin(*UNITS), made("<unit>"))
+        .when(t == low, made(None))
+        .when(name, made("<name>"))
+        .otherwise(made(None))
+    )
+
+
+def _raw(text: str) -> Column:
+    return F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(TOKEN), F.lit(0))
+
+
 def with_tokens(df: DataFrame, text: str) -> DataFrame:
     """`df` with __tokens, an array of (kind, value): the placeholder, or else the lower-case word, and
     the lower-case word. Sentence ends only tell names from first words."""
-    raw = F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(TOKEN), F.lit(0))
-    df = df.withColumn("__raw", raw).withColumn("__low", F.transform("__raw", F.lower))
+    df = df.withColumn("__raw", _raw(text)).withColumn("__low", F.transform("__raw", F.lower))
 
     def token(t: Column, i: Column) -> Column:
-        low, before = F.get("__low", i), F.get("__raw", i - 1)  # null before the first
-        name = (
-            (F.substring(t, 1, 1) != F.substring(low, 1, 1))
-            & (F.length(t) > 1)
-            & (F.substring(t, 2, 1 << 30) == F.substring(low, 2, 1 << 30))
-            & ~_ends(before)
-        )
-        kind = (
-            F.when(_digit(t), "<num>")
-            .when(_digit(before) & low.isin(*UNITS), "<unit>")
-            .when(t == low, low)
-            .when(name, "<name>")
-            .otherwise(low)
-        )
+        low = F.get("__low", i)
+        kind = _kind(F.col("__raw"), t, low, i, lambda k: low if k is None else F.lit(k))
         return F.when(~_ends(t), F.struct(kind.alias("kind"), low.alias("value")))
 
     tokens = F.filter(F.transform("__raw", token), lambda x: x.isNotNull())
     return df.withColumn("__tokens", tokens).drop("__raw", "__low")
 
 
-def with_hashes(df: DataFrame, widths: list[int]) -> DataFrame:
-    """`df` with __h1, __h2, __h4 and so on up to the largest of `widths`: (kind, value) hashes of the
-    windows of so many tokens from each place; those beyond the end mean nothing."""
-    pair = F.transform(
-        "__tokens",
-        lambda t: F.struct(F.xxhash64(t["kind"]).alias("kind"), F.xxhash64(t["value"]).alias("value")),
-    )
-    df = df.withColumn("__h1", pair)
-    step = 1
-    while 2 * step <= max(widths):
-        df = df.withColumn(f"__h{2 * step}", F.transform(f"__h{step}", _joined(f"__h{step}", step)))
-        step *= 2
-    return df
-
-
-def _joined(hashes: str, ahead: int):
-    """Each place's hashes put together with those `ahead` of it."""
-
-    def both(h: Column, i: Column) -> Column:
-        other = F.get(F.col(hashes), i + ahead)
-        return F.struct(
-            F.xxhash64(h["kind"], other["kind"]).alias("kind"),
-            F.xxhash64(h["value"], other["value"]).alias("value"),
-        )
+def with_token_hashes(df: DataFrame, text: str) -> DataFrame:
+    """`df` with the hashes of __tokens' kinds and values as two arrays, __kinds and __values, without
+    the words themselves, which cost most to hand on."""
+    df = df.withColumn("__raw", _raw(text)).withColumn("__low", F.transform("__raw", F.lower))
+    value = F.transform("__low", lambda t: F.when(~_ends(t), F.xxhash64(t)))
+    df = df.withColumn("__value", value)
 
-    return both
+    def kind(t: Column, i: Column) -> Column:
+        word = F.get("__value", i)
+        made = _kind(
+            F.col("__raw"), t, F.get("__low", i), i, lambda k: word if k is None else F.xxhash64(F.lit(k))
+        )
+        return F.when(~_ends(t), made)
 
+    def whole(hashes: Column) -> Column:
+        return F.filter(hashes, lambda h: h.isNotNull())
 
-def _half(width: int) -> int:
-    return 1 << (width.bit_length() - 1)
+    df = df.withColumn("__kinds", whole(F.transform("__raw", kind)))
+    return df.withColumn("__values", whole(F.col("__value"))).drop("__raw", "__low", "__value")
 
 
-def window_hashes(width: int) -> Column:
-    """Array of (kind, value) hashes of the windows of `width` tokens, from __h columns."""
-    half, places = _half(width), F.greatest(F.size("__tokens") - (width - 1), F.lit(0))
-    hashes = F.slice(f"__h{half}", 1, places)
-    if half == width:
-        return hashes
-    return F.transform(hashes, _joined(f"__h{half}", width - half))
+def _places(hashes: Column, width: int) -> Column:
+    """Where windows of `width` tokens begin."""
+    n = F.size(hashes)
+    return F.when(n >= width, F.sequence(F.lit(0), n - width)).otherwise(F.array().cast("array<int>"))
 
 
-def place_hashes(width: int, at: Column) -> Column:
-    """(kind, value) hashes of the window of `width` tokens at one place."""
-    half = _half(width)
-    first = F.get(f"__h{half}", at)
-    return first if half == width else _joined(f"__h{half}", width - half)(first, at)
+def _window_hash(hashes: Column, i: Column, width: int) -> Column:
+    """The hash of an array of `width` token hashes, which is that of its members one by one."""
+    if width <= 16:
+        return F.xxhash64(*[F.get(hashes, i + j) for j in range(width)])
+    return F.xxhash64(F.slice(hashes, i + 1, width))
 
 
-def _emitted(window: int, whole: list[int], starts: list[int] | None) -> Column:
-    """Array of (at, width, hash) for one document: each window by its words, and by its template
-    where that is another; and for each width of `whole`, both at the places where `starts`, the hashes
-    of two kinds, say that such an item may begin."""
+def _begins(starts: list[int] | None):
+    """Whether an item looked for whole may begin at a place of __kinds and __values."""
 
-    def rows(pairs: Column, width: Column, plain: Column) -> Column:
-        return F.transform(
-            pairs,
-            lambda w: F.struct(
-                w["at"].alias("at"), width.alias("width"), F.when(plain, w["h"]["value"]).otherwise(w["h"]["kind"]).alias("hash")
-            ),
-        )
+    def test(i: Column) -> Column:
+        if starts is None:
+            return F.lit(True)
+        pairs = (F.xxhash64(F.get(a, i), F.get(a, i + 1)) for a in ("__kinds", "__values"))
+        return next(pairs).isin(starts) | next(pairs).isin(starts)
 
-    def both(pairs: Column, width: int) -> list[Column]:
-        other = F.filter(pairs, lambda w: w["h"]["kind"] != w["h"]["value"])
-        return [rows(p, F.lit(width), F.lit(b)) for p, b in ((pairs, True), (other, False))]
+    return test
 
-    placed = F.transform(
-        window_hashes(window), lambda h, i: F.struct(i.alias("at"), h.alias("h"))
-    )
-    parts = both(placed, window)
-    for width in whole:
-        places = F.sequence(F.lit(0), F.size("__tokens") - width)
-        if starts is not None:
-            places = F.filter(places, _begins(starts))
-        found = F.transform(
-            places, lambda i: F.struct(i.alias("at"), place_hashes(width, i).alias("h"))
-        )
-        fits = F.when(F.size("__tokens") >= width, found).otherwise(F.array().cast(placed_type()))
-        parts += both(fits, width)
-    return F.concat(*parts)
 
+def _all_places(width: int, window: int, starts: list[int] | None) -> Column:
+    places = _places(F.col("__values"), width)
+    return places if width == window else F.filter(places, _begins(starts))
 
-def _begins(starts: list[int]):
-    def test(i: Column) -> Column:
-        pair = F.get("__h2", i)
-        return pair["kind"].isin(starts) | pair["value"].isin(starts)
 
-    return test
+def scanned_hashes(window: int, whole: list[int], starts: list[int] | None) -> Column:
+    """The hashes, by template and by words, of all windows of a document that items are looked for
+    in, as one array."""
+    parts = []
+    for width in [window, *whole]:
+        places = _all_places(width, window, starts)
+        for hashes in (F.col("__values"), F.col("__kinds")):
+            parts.append(F.transform(places, lambda i: _window_hash(hashes, i, width)))
+    return F.concat(*parts)
 
 
-def placed_type() -> str:
-    return "array<struct<at: int, h: struct<kind: bigint, value: bigint>>>"
+def placed_hashes(window: int, whole: list[int], starts: list[int] | None) -> Column:
+    """(at, width, hash) of the same windows; by template only where that is not the words."""
+    parts = []
+    for width in [window, *whole]:
+        places = _all_places(width, window, starts)
+
+        def rows(name: str) -> Column:
+            return F.transform(
+                places,
+                lambda i: F.struct(
+                    i.alias("at"),
+                    F.lit(width).alias("width"),
+                    _window_hash(F.col(name), i, width).alias("hash"),
+                ),
+            )
+
+        other = F.filter(
+            rows("__kinds"), lambda w: w["hash"] != _window_hash(F.col("__values"), w["at"], width)
+        )
+        parts += [rows("__values"), other]
+    return F.concat(*parts)
 
 
 def benchmark_windows(items: DataFrame, id: str, text: str, window: int) -> DataFrame:
     """One row for each window of each item that is looked for: (item_id, item_key, item_tokens, at,
     width, plain, start, tokens). `plain` is true of word for word, `tokens` has its (kind, value)."""
-    items = (
+    # Written, as filters on what follows would be pushed below the tokens, where each of them
+    # would look at the text anew.
+    items = written(
         with_tokens(items.select(F.col(id).alias("item_id"), F.col(text).alias("t")), "t")
         .select("item_id", "__tokens")
-        .distinct()  # equal texts of one id once
-        .withColumns({"item_key": F.xxhash64("__tokens"), "n": F.size("__tokens")})
-        .filter("n > 0")
-    )
+        .distinct(),  # equal texts of one id once
+        "bench-items",
+    ).withColumns({"item_key": F.xxhash64("__tokens"), "n": F.size("__tokens")})
 
     def literals(tokens: Column) -> Column:
         return F.size(F.filter(tokens, lambda t: ~t["kind"].startswith("<")))
 
-    starts = F.when(F.col("n") >= window, F.sequence(F.lit(0), F.col("n") - window)).otherwise(
-        F.array(F.lit(0))
+    starts = (
+        F.when(F.col("n") >= window, F.sequence(F.lit(0), F.col("n") - window))
+        .when(F.col("n") > 0, F.array(F.lit(0)))
+        .otherwise(F.array().cast("array<int>"))
     )
     cut = F.transform(
         starts,
@@ -249,18 +256,19 @@ def benchmark_windows(items: DataFrame, id: str, text: str, window: int) -> Data
     ).withColumn("width", F.size("tokens"))
 
 
-def _hashed(windows: DataFrame, widths: list[int]) -> DataFrame:
+def _hashed(windows: DataFrame) -> DataFrame:
     """`windows` with their `hash`, and `starts`, those of the first two kinds and words."""
-    df = with_hashes(windows.withColumn("__tokens", F.col("tokens")), widths)
-    made = F.lit(None).cast("bigint")
-    for width in widths:
-        found = place_hashes(width, F.lit(0))
-        made = F.when(
-            F.col("width") == width, F.when(F.col("plain"), found["value"]).otherwise(found["kind"])
-        ).otherwise(made)
-    pair = F.get("__h2", F.lit(0)) if max(widths) > 1 else F.get("__h1", F.lit(0))
-    helpers = [c for c in df.columns if c.startswith("__")]
-    return df.withColumn("hash", made).withColumn("starts", F.array(pair["kind"], pair["value"])).drop(*helpers)
+
+    def of(name: str, n: int | None = None) -> Column:
+        tokens = F.col("tokens") if n is None else F.slice("tokens", 1, n)
+        return F.xxhash64(F.transform(tokens, lambda t: F.xxhash64(t[name])))
+
+    return windows.withColumns(
+        {
+            "hash": F.when(F.col("plain"), of("value")).otherwise(of("kind")),
+            "starts": F.array(of("kind", 2), of("value", 2)),
+        }
+    )
 
 
 def _singulars() -> Column:
@@ -309,37 +317,41 @@ def matched_windows(
     """(doc_id, doc_key, item_id, item_key, item_tokens, line, at, width, same, slots): a row for each
     pair of a document's window and an item's with the same template or the same words. The key of a
     document is a hash of its text."""
-    cut = written(benchmark_windows(items, item, item_text, window), "bench-cut")
-    widths = sorted(r.width for r in cut.select("width").distinct().collect())  # of items looked for whole
-    if not widths:
-        widths = [window]
-    windows = written(_hashed(cut, widths), "bench-windows")
-    whole = [w for w in widths if w != window]
+    windows = written(_hashed(benchmark_windows(items, item, item_text, window)), "bench-windows")
+    other = windows.filter(F.col("width") != window)
+    whole = sorted(r.width for r in other.select("width").distinct().collect())
     starts = None
     if whole and whole[0] > 1:
-        pairs = windows.filter(F.col("width") != window).select(F.explode("starts").alias("start"))
-        pairs = [r.start for r in pairs.distinct().limit(STARTS + 1).collect()]
+        pairs = other.select(F.explode("starts").alias("start")).distinct().limit(STARTS + 1)
+        pairs = [r.start for r in pairs.collect()]
         starts = pairs if len(pairs) <= STARTS else None
     rows = docs.select(
         F.col(id).alias("doc_id"), F.xxhash64(F.col(text)).alias("doc_key"), F.col(text).alias("t")
     )
 
-    def emitted(rows: DataFrame, *more: str) -> DataFrame:
-        hashed = with_hashes(with_tokens(rows, "t"), [*widths, window])
-        return hashed.select("doc_id", "doc_key", *more, F.inline(_emitted(window, whole, starts)))
-
     # First which documents meet an item at all; only those are looked at with their tokens.
     hashes = windows.select("hash").distinct()
     if windows.count() <= BROADCAST_ROWS:
         hashes = F.broadcast(hashes)
-    met = emitted(rows).join(hashes, "hash", "left_semi").select("doc_id", "doc_key").distinct()
+    scanned = F.explode(scanned_hashes(window, whole, starts)).alias("hash")
+    met = with_token_hashes(rows, "t").select("doc_id", "doc_key", scanned)
+    met = met.join(hashes, "hash", "left_semi").select("doc_id", "doc_key").distinct()
     met = written(met, "bench-met").withColumnsRenamed({"doc_id": "d", "doc_key": "k"})
     same_doc = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("doc_key") == F.col("k"))
     those = rows.join(_small(met), same_doc, "left_semi").dropDuplicates(["doc_id", "doc_key"])
     parts = windows.drop("starts").withColumnsRenamed({"at": "item_at", "width": "item_width"})
     if parts.count() <= BROADCAST_PARTS:
         parts = F.broadcast(parts)
-    found = emitted(those, "__tokens").withColumn("found", F.slice("__tokens", F.col("at") + 1, F.col("width")))
+    hashed = with_tokens(those, "t").withColumns(
+        {
+            f"__{name}s": F.transform("__tokens", lambda t: F.xxhash64(t[name]))
+            for name in ("kind", "value")
+        }
+    )
+    found = hashed.select(
+        "doc_id", "doc_key", "__tokens", F.inline(placed_hashes(window, whole, starts))
+    )
+    found = found.withColumn("found", F.slice("__tokens", F.col("at") + 1, F.col("width")))
     found = found.drop("__tokens").withColumnRenamed("hash", "h")
     met_windows = found.join(parts, (F.col("h") == F.col("hash")) & (F.col("width") == F.col("item_width")))
 
@@ -474,9 +486,9 @@ def clean(
 ) -> DataFrame:
     """The rows of `docs` whose text leaks no item."""
     found = _leaks(docs, items, id, text, item, item_text, window, run)
+    at, key = unused(docs, "__id", "__key")
     found = written(
-        found.select(F.col("doc_id").alias("__id"), F.col("doc_key").alias("__key")).distinct(),
-        "bench-leaks",
+        found.select(F.col("doc_id").alias(at), F.col("doc_key").alias(key)).distinct(), "bench-leaks"
     )
-    same = docs[id].eqNullSafe(F.col("__id")) & (F.xxhash64(docs[text]) == F.col("__key"))
+    same = F.col(id).eqNullSafe(F.col(at)) & (F.xxhash64(F.col(text)) == F.col(key))
     return docs.join(_small(found), same, "left_anti")

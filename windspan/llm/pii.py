@@ -174,10 +174,13 @@ def _date(value: str, permute: Permute) -> str | None:
     if not inside:
         low, high = dt.date(1, 1, 1), dt.date(9999, 12, 31)
     first, n, at = low.toordinal(), high.toordinal() - low.toordinal() + 1, day.toordinal()
+    # Days that could be months stay such days, so that a day is one pseudonym in every order of its
+    # parts and the order can be told again.
+    month_like = day.day <= 12
     while True:
         at = first + permute(at - first, n)
         day = dt.date.fromordinal(at)
-        if (order != "late" or day.day > 12) and (inside or not 1900 <= day.year <= 2099):
+        if (day.day <= 12) == month_like and (inside or not 1900 <= day.year <= 2099):
             break
     y, m, d = f"{day.year:04d}", f"{day.month:02d}", f"{day.day:02d}"
     parts = {"ymd": y + m + d, "mdy": m + d + y, "late": d + m + y, "dmy": d + m + y}[order]

@@ -30,6 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
 from windspan.llm.components import component_labels
+from windspan.llm.names import unused
 from windspan.session import written
 
 BITS = 64
@@ -208,26 +209,35 @@ def representatives(
     max_bits: int = 2,
     dense: int = 256,
 ) -> DataFrame:
-    """`docs` with one row of each component: that of its smallest id.
+    """`docs` with one row of each component: that of its smallest id, null after all others.
 
-    Rows that share this id are one document, of which the one with the smallest values stays.
-    Where all of a component's ids are null, the row with the smallest values stays.
+    Unlike texts under one id are documents of their own: each counts for the component it is in,
+    and of those with the smallest id of one component that with the smallest hash stays. Of rows
+    with the same id and text one stays, that whose other columns come first as JSON.
     """
-    classes = written(
-        _classes(_prints(docs, id, text, shingle), max_bits, dense), "simhash-classes"
-    ).select(*[F.col(c).alias(f"__{c}") for c in ("class_fp", "root", "component_id")])
-    keep = classes.filter("__component_id is not null").select("__component_id").distinct()
-    row = F.min(F.struct(*[F.col(c) for c in docs.columns])).alias("__row")
-    named = (
-        docs.join(keep, docs[id] == F.col("__component_id"), "left_semi")
-        .groupBy(F.col(id).alias("__id"))
-        .agg(row)
+    key = F.xxhash64(F.col(text))
+    prints = written(
+        docs.select(
+            F.col(id).alias("id"), key.alias("key"), with_fingerprint(F.col(text), shingle).alias("fp")
+        ),
+        "simhash-prints",
+    )
+    classes = _classes(prints.select("id", "fp"), max_bits, dense).select("class_fp", "root")
+    first = F.min(F.struct(F.col("id").isNull().alias("last"), "id", "key")).alias("first")
+    # Equal ids and texts have one fingerprint, so an id and text is of one component.
+    distinct = prints.groupBy("fp", "id", "key").agg(F.count("*"))
+    chosen = distinct.join(classes, F.col("fp") == F.col("class_fp")).groupBy("root").agg(first)
+    at, hash = unused(docs, "__id", "__key")
+    chosen = written(
+        chosen.select(F.col("first.id").alias(at), F.col("first.key").alias(hash)),
+        "simhash-chosen",
     )
-    nameless = (
-        docs.filter(F.col(id).isNull())
-        .withColumn("__fp", with_fingerprint(F.col(text), shingle))
-        .join(classes.filter("__component_id is null"), F.col("__fp") == F.col("__class_fp"))
-        .groupBy("__root")
-        .agg(row)
+    here = F.col(id).eqNullSafe(F.col(at)) & (key == F.col(hash))
+    rest = [F.col(f"`{c}`") for c in docs.columns if c != text]
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    return (
+        docs.join(chosen, here, "left_semi")
+        .groupBy(F.col(id).alias("__id"), key.alias("__key"))
+        .agg(F.min_by(row, F.to_json(F.struct(*rest))).alias("__row"))
+        .select("__row.*")
     )
-    return named.select("__row").unionByName(nameless.select("__row")).select("__row.*")
