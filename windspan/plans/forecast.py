@@ -111,6 +111,8 @@ def regular_features(
     """
     if calendar not in ("time", "interpolate"):
         raise ValueError(f"unknown calendar: {calendar}")
+    if calendar == "time":
+        features = features.drop(*calendar_parts("time"))  # set below, so not drawn along the line
     numbers = feature_columns(features)
     features = exclude_times(
         features.withColumns({c: F.col(f"`{c}`").cast("double") for c in numbers}),

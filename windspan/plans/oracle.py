@@ -348,6 +348,45 @@ _SLOPES = """with m as (
 _SIGNATURE = ", ".join(f"{c}: double" for c in _SERIES_COLUMNS.split(", "))
 _ODD = "time between timestamp '2024-01-05 00:00:00' and timestamp '2024-01-05 02:00:00'"
 
+
+def _stumps(weights: list[float]) -> str:
+    """Trees of one split, each fitted to twice what the ones before leave, and their weighted sum.
+
+    A split lies midway between two neighbour values of a feature; that with the least squares
+    left over wins, the first feature and value among equals.
+    """
+    parts = [
+        """points as (
+          select site, time, month(time) % 2 = 1 as train, energy_kwh as y, 0e0 as p,
+            [n_orders::double, year(time)::double, month(time)::double, day(time)::double] as x
+          from daily_all)"""
+    ]
+    rows = "points"
+    for i, weight in enumerate(weights):
+        label = "y" if i == 0 else "2e0 * (y - p)"
+        parts.append(f"""sums{i} as materialized (
+          select j, x, count(*) as n, sum(r) as s
+          from (select generate_subscripts(x, 1) as j, unnest(x) as x, {label} as r from {rows} where train)
+          group by j, x),
+        cuts{i} as materialized (
+          select j, (x + lead(x) over along) / 2 as cut,
+            sum(n) over so_far as n, sum(s) over so_far as s,
+            sum(n) over (partition by j) as all_n, sum(s) over (partition by j) as all_s
+          from sums{i}
+          window along as (partition by j order by x),
+            so_far as (partition by j order by x rows between unbounded preceding and current row)),
+        split{i} as materialized (
+          select j, cut, s / n as low, (all_s - s) / (all_n - n) as high
+          from cuts{i} where cut is not null
+          order by s * s / n + (all_s - s) * (all_s - s) / (all_n - n) desc, j, cut limit 1),
+        tree{i} as materialized (
+          select p.* replace (p + {weight!r} * case when x[j] <= cut then low else high end as p)
+          from {rows} p, split{i})""")
+        rows = f"tree{i}"
+    return f"""with {", ".join(parts)}
+    select site, time, round(p, 2) as prediction from {rows} where not train"""
+
+
 _SPLIT = """select site, time, energy_kwh, n_orders, cast(year(time) as int) as year,
       cast(month(time) as int) as month, cast(day(time) as int) as day,
       cast(hour(time) as int) as hour, {part} as part
@@ -628,6 +667,8 @@ def oracle_sql() -> dict[str, str]:
         "elastic_net": _sql("daily_all", _coefficients("0.5e0", "1.5e0")),
         "lasso": _sql("daily_all", _coefficients("50e0", "0e0")),
         "ridge": _sql("daily_all", _coefficients("0e0", "3e0 / n")),
+        "stump_forest": _sql("daily_all", _stumps([1.0])),
+        "stump_boost": _sql("daily_all", _stumps([1.0, 0.1, 0.1])),
         "search_scores": _sql("days", _search_scores(_RIDGE, True)),
         "search_net": _sql("days", _search_scores(_NET, False)),
         "dual_model": _sql("daily_all", _DUAL),

@@ -613,6 +613,21 @@ def _tree_scores(kind):
     return query
 
 
+def _stump_scores(kind, **settings):
+    """Trees of one split on all rows and features, so that each has a closed form."""
+
+    def query(spark, d):
+        days = written(v.daily_all(spark, d).withColumns(calendar_parts("time")), "days")
+        train, test = split_rows(days, "month % 2 = 1", "month % 2 = 0")
+        estimator = tree_estimator(kind).setParams(maxDepth=1, maxBins=128, **settings)
+        estimator = estimator.setFeatureSubsetStrategy("all")
+        model = estimator.fit(assemble(train, DAY_CALENDAR))
+        made = model.transform(assemble(test, DAY_CALENDAR)).select("site", "time", "prediction")
+        return rounded(made, "prediction", places=2)
+
+    return query
+
+
 SEARCH_TRIES = SearchSettings()  # 20 draws for the high regime; 7 (ridge) or 15 for the low one
 
 
@@ -850,6 +865,8 @@ QUERIES: dict[str, Query] = {
     "ridge": _coefficients("ridge", 3.0, 0.0),
     "forest": _tree_scores("rf"),
     "boosted": _tree_scores("xgb"),
+    "stump_forest": _stump_scores("rf", numTrees=3, bootstrap=False),
+    "stump_boost": _stump_scores("xgb", maxIter=3, stepSize=0.1),
     "search_scores": _search_scores("ridge"),
     "search_net": _search_scores("elasticnet"),
     "forest_search": forest_search,
