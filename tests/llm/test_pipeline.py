@@ -2,6 +2,7 @@
 
 import corpus_pipeline as pipeline
 import pytest
+from pyspark.sql import functions as F
 from test_mixing import naive as naive_mix
 from test_simhash import naive_components, naive_fingerprint
 
@@ -66,3 +67,29 @@ def test_run(spark, sf_dir, steps):
         map(tuple, steps[-1].select(*names).collect())
     )
     assert pipeline.ORACLE_SQL is None
+
+
+def through(spark, docs, sf_dir):
+    made = []
+    for name, stage in pipeline.STAGES:
+        kept = written(stage(spark, docs, sf_dir), name)
+        made.append((name, kept))
+        docs = kept
+    return made
+
+
+def test_rows_of_every_kind(spark, clashing, sf_dir):
+    """Null, empty, blank, repeated and very long rows, clashing names and a map column."""
+    docs = clashing.withColumn("tags", F.create_map(F.lit("a"), F.col("n_chars")))
+    made = through(spark, docs, sf_dir)
+    for name, kept in made[:-1]:
+        assert kept.columns == docs.columns, name
+    assert set(docs.columns) <= set(made[-1][1].columns)
+    texts = {r.text for r in docs.collect() if r.text and any(c.isalpha() for c in r.text)}
+    assert {r.text for r in made[1][1].collect()} == texts  # nothing near any other here
+    assert {r.text for r in made[2][1].collect()} == texts
+
+
+def test_no_rows(spark, empty, sf_dir):
+    for name, kept in through(spark, empty, sf_dir):
+        assert kept.count() == 0, name
