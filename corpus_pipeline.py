@@ -3,6 +3,15 @@
 Each stage takes what the one before it kept and returns the columns of `documents`; the last one
 adds shard, slot and what they follow from. Between stages the table is written and read again.
 No SQL counterpart: fingerprints, language scores and templates are beyond it.
+
+Defined results
+    null, empty or blank text   no language: the document goes in the first stage
+    one id with unlike texts    documents of their own in every stage
+    repeated rows               one SimHash component: one row stays
+    null ids                    after all others of their component; else like any id
+    very long texts             whole in every stage
+    empty table                 no rows
+    other columns               kept, of any type and name, as far as the last stage, which adds its own
 """
 
 from __future__ import annotations
