@@ -171,14 +171,34 @@ def _all_places(width: int, window: int, starts: list[int] | None) -> Column:
     return places if width == window else F.filter(places, _begins(starts))
 
 
+def _near_placeholders(width: int) -> Column:
+    """Where windows of `width` tokens begin that hold a placeholder; the others are the same by
+    template and by words."""
+    n = F.size("__values")
+    marks = F.filter(
+        F.sequence(F.lit(0), n - 1), lambda p: F.get("__kinds", p) != F.get("__values", p)
+    )
+    around = F.transform(
+        marks, lambda p: F.sequence(F.greatest(p - (width - 1), F.lit(0)), F.least(p, n - width))
+    )
+    found = F.array_distinct(F.flatten(around))
+    return F.when(n >= width, found).otherwise(F.array().cast("array<int>"))
+
+
 def scanned_hashes(window: int, whole: list[int], starts: list[int] | None) -> Column:
     """The hashes, by template and by words, of all windows of a document that items are looked for
     in, as one array."""
-    parts = []
-    for width in [window, *whole]:
+
+    def hashes(places: Column, name: str, width: int) -> Column:
+        return F.transform(places, lambda i: _window_hash(F.col(name), i, width))
+
+    parts = [
+        hashes(_places(F.col("__values"), window), "__values", window),
+        hashes(_near_placeholders(window), "__kinds", window),
+    ]
+    for width in whole:
         places = _all_places(width, window, starts)
-        for hashes in (F.col("__values"), F.col("__kinds")):
-            parts.append(F.transform(places, lambda i: _window_hash(hashes, i, width)))
+        parts += [hashes(places, name, width) for name in ("__values", "__kinds")]
     return F.concat(*parts)
 
 
