@@ -7,6 +7,7 @@ import xxhash
 
 from windspan.llm import simhash
 from windspan.llm.components import component_labels
+from windspan.session import setting
 
 
 def naive_fingerprint(text, n=3):
@@ -100,6 +101,13 @@ def test_representatives(documents, clashing):
     assert ids == [(False, 1), (False, 4), (False, 5), (False, 6), (False, 7), (False, 8), (False, 9)]
 
 
+def test_representatives_shuffle_texts_once(spark, documents):
+    """One exchange for the rows and one for the chosen keys, though neither side is broadcast."""
+    with setting(spark, "spark.sql.autoBroadcastJoinThreshold", "-1"):
+        plan = simhash.representatives(documents)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and plan.count("Exchange hashpartitioning") == 2
+
+
 def test_null_ids_of_different_texts_stay(spark):
     rows = [(None, "red green blue yellow"), (None, "un deux trois quatre cinq"), (None, None)]
     docs = spark.createDataFrame(rows * 2, "doc_id long, text string")

@@ -30,7 +30,6 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
 from windspan.llm.components import component_labels
-from windspan.llm.names import unused
 from windspan.session import written
 
 BITS = 64
@@ -227,17 +226,17 @@ def representatives(
     # Equal ids and texts have one fingerprint, so an id and text is of one component.
     distinct = prints.groupBy("fp", "id", "key").agg(F.count("*"))
     chosen = distinct.join(classes, F.col("fp") == F.col("class_fp")).groupBy("root").agg(first)
-    at, hash = unused(docs, "__id", "__key")
     chosen = written(
-        chosen.select(F.col("first.id").alias(at), F.col("first.key").alias(hash)),
-        "simhash-chosen",
+        chosen.select(F.struct("first.id", "first.key").alias("__chosen")), "simhash-chosen"
     )
-    here = F.col(id).eqNullSafe(F.col(at)) & (key == F.col(hash))
     rest = [F.col(f"`{c}`") for c in docs.columns if c != text]
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    # Texts are shuffled once, copies combined before: the join is by the key that groups the rows,
+    # of the very type it is stored with. In a struct a null id equals a null id.
+    at = F.struct(F.col(id).alias("id"), key.alias("key")).cast(chosen.schema["__chosen"].dataType)
     return (
-        docs.join(chosen, here, "left_semi")
-        .groupBy(F.col(id).alias("__id"), key.alias("__key"))
+        docs.groupBy(at.alias("__at"))
         .agg(F.min_by(row, F.to_json(F.struct(*rest))).alias("__row"))
+        .join(chosen, F.col("__at") == F.col("__chosen"), "left_semi")
         .select("__row.*")
     )
